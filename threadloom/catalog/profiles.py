@@ -171,7 +171,7 @@ _LINES = (
     [("nulls", c, f"count(*) - count({c})") for c in _TYPES]
     + [("duplicates", "rows", "count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM tweets))"),
        ("duplicates", "tweet_id", "count(*) - count(DISTINCT tweet_id)"),
-       ("valid_links", "reply", "(SELECT count(*) FROM replies WHERE target IN (SELECT tweet_id FROM tweets))"),
+       ("valid_links", "reply", "max((SELECT count(*) FROM replies WHERE target IN (SELECT tweet_id FROM tweets)))"),
        ("valid_links", "parent", "count_if(in_response_to_tweet_id IN (SELECT tweet_id FROM tweets))"),
        ("directions", "inbound", "count_if(inbound)"), ("directions", "outbound", "count_if(NOT inbound)"),
        ("directions", "inbound_pct", s.pct2("count_if(inbound)", "count(inbound)")),

@@ -22,7 +22,7 @@ def name_cluster(terms: Column, n_terms: int = 10) -> Column:
 def sensitive_found(message: Column) -> Column:
     """Sensitive keywords in the message, in list order."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    return F.filter(F.array(*[F.lit(w) for w in rules.SENSITIVE]), lambda w: F.contains(low, w))
+    return F.array_compact(F.array(*[F.when(low.contains(w), w) for w in rules.SENSITIVE]))
 
 
 def asks_for_human(message: Column) -> Column:

@@ -16,6 +16,10 @@ def norm(v: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    """Unit vector in double precision; a zero vector stays as it is."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+    """Unit vector in double precision; a zero vector stays as it is.
+
+    The length is paired with the cells rather than captured by the function, so
+    that it is computed once per vector.
+    """
+    lengths = F.array_repeat(norm(v), F.size(v))
+    return F.zip_with(v, lengths, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))

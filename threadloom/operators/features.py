@@ -26,9 +26,12 @@ def words(c: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 
 
-def terms(c: Column, stop_words: list[str] | None = None) -> Column:
-    """Words and pairs of neighbouring words; pairs are built after stop words are gone."""
-    w = words(c, stop_words)
+def terms(w: Column) -> Column:
+    """The words and the pairs of neighbouring words, of a word array without stop words.
+
+    Takes a column and not the expression behind it, which would be evaluated
+    again at each of its uses.
+    """
     pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
 
@@ -38,7 +41,8 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words: list[str]
     return (
         df.select(F.col(id_col), F.col(text_col))
         .repartition(F.col(id_col))
-        .select(id_col, F.explode_outer(terms(F.col(text_col), stop_words)).alias("term"))
+        .select(id_col, words(F.col(text_col), stop_words).alias("__words"))
+        .select(id_col, F.explode_outer(terms(F.col("__words"))).alias("term"))
         .groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     )
 
@@ -83,13 +87,14 @@ class TermModel:
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, indices, values): unit-length sparse rows, empty for documents without known terms."""
         entry = F.when(F.col("index").isNotNull(), F.struct("index", "weight"))
-        rows = self.weights(df, id_col, text_col).groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("e"))
-        raw = F.transform("e", lambda x: x["weight"])
-        length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+        # the squares are summed here: a length computed from the array would be evaluated once per element
+        rows = self.weights(df, id_col, text_col).groupBy(id_col).agg(
+            F.sort_array(F.collect_list(entry)).alias("e"),
+            F.sum(F.when(F.col("index").isNotNull(), F.col("weight") * F.col("weight"))).alias("squares"),
+        )
         return rows.select(
-            id_col, F.transform("e", lambda x: x["index"]).alias("indices"), raw.alias("raw"), length.alias("length")
-        ).select(
-            id_col, "indices", F.transform("raw", lambda x: x / F.greatest("length", F.lit(1e-300))).alias("values")
+            id_col, F.col("e.index").alias("indices"),
+            F.transform("e", lambda x: x["weight"] / F.sqrt("squares")).alias("values"),
         )
 
     def transform_to_vectors(self, df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:

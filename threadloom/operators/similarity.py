@@ -123,7 +123,9 @@ def exact_top_k(
     scores below it. Up to `broadcast_bytes` of queries are broadcast and the
     documents stay where they are; beyond that both sides are blocked.
     """
-    queries, corpus = queries.select(*_columns(queries)), corpus.select(*_columns(corpus))
+    # renamed copies: both sides may be the same table
+    queries = queries.select(*_columns(queries)).toDF(*_columns(queries))
+    corpus = corpus.select(*_columns(corpus)).toDF(*_columns(corpus))
     n_q, size = _bytes(queries, dim)
     if size <= broadcast_bytes:
         hits = _send_queries(queries, corpus, k, dim, skip_same, floor)
