@@ -1,6 +1,6 @@
 """All runnable queries, grouped by subject."""
 
-from . import exchanges, judgements, profiles, similarity, texts  # noqa: F401
+from . import exchanges, judgements, learning, profiles, similarity, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

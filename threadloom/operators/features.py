@@ -37,10 +37,15 @@ def terms(w: Column) -> Column:
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(id, term, tf); a document without terms keeps one row with a null term."""
+    """(id, term, tf); a document without terms keeps one row with a null term.
+
+    The partition count is given, as texts grow about tenfold when cut into terms
+    and adaptive coalescing would judge them by their size before that.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         df.select(F.col(id_col), F.col(text_col))
-        .repartition(F.col(id_col))
+        .repartition(n, F.col(id_col))
         .select(id_col, words(F.col(text_col), stop_words).alias("__words"))
         .select(id_col, F.explode_outer(terms(F.col("__words"))).alias("term"))
         .groupBy(id_col, "term").agg(F.count("*").alias("tf"))

@@ -22,14 +22,21 @@ from .features import TermModel, fit_terms
 # --------------------------------------------------------------- clustering
 
 
-def fit_projection(features: DataFrame, k: int = 100) -> np.ndarray:
+def fit_projection(features: DataFrame, k: int = 100, seed: int = SEED, rounds: int = 20) -> np.ndarray:
     """Right singular vectors (terms x k) of the uncentred term matrix.
 
-    The decomposition works on the terms x terms product, whose size depends on
-    the vocabulary limit and not on the number of documents.
+    Spark sums the terms x terms product in one pass over the documents. Its size
+    depends on the vocabulary limit alone, and its leading eigenvectors are found
+    on the driver by subspace iteration.
     """
     rows = MLUtils.convertVectorColumnsFromML(features.select("features"), "features")
-    return RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
+    product = RowMatrix(rows).computeGramianMatrix().toArray()
+    width = min(k + 10, len(product))
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(product), width)))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(product @ q)
+    _, vectors = np.linalg.eigh(q.T @ product @ q)
+    return q @ vectors[:, ::-1][:, :k]
 
 
 def project(rows: DataFrame, id_col: str, basis: np.ndarray | None, size: int) -> DataFrame:
@@ -260,30 +267,36 @@ def fit_regression(train: DataFrame, label_col: str, max_iter: int = 1000) -> tu
     return model, list(indexer.labels)
 
 
+def _halves(df: DataFrame, id_col: str, value_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    rows = df.select(F.col(id_col).alias("item_id"), F.col(value_col).alias("value"), F.col(label_col).alias("truth"))
+    split = stratified_split(rows, "item_id", "truth")
+    return split.filter(~F.col("is_test")), split.filter("is_test")
+
+
+def _judged(predicted: DataFrame) -> DataFrame:
+    return predicted.select("item_id", "truth", F.col("intent").alias("prediction"), "confidence")
+
+
 def train_text_classifier(
     df: DataFrame, id_col: str, text_col: str, label_col: str, settings: TermSettings = CLASSIFIER_TERMS, max_iter: int = 1000
 ) -> tuple[IntentClassifier, DataFrame]:
-    """Classifier and its predictions (id, truth, prediction) on the held-out part."""
-    split = stratified_split(df.select(id_col, text_col, label_col), id_col, label_col)
-    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-    terms = fit_terms(train, id_col, text_col, settings)
-    model, classes = fit_regression(terms.transform_to_vectors(train, id_col, text_col, keep=[label_col]), label_col, max_iter)
+    """Classifier and its predictions (item_id, truth, prediction, confidence) on the held-out part."""
+    train, test = _halves(df, id_col, text_col, label_col)
+    terms = fit_terms(train, "item_id", "value", settings)
+    model, classes = fit_regression(terms.transform_to_vectors(train, "item_id", "value", keep=["truth"]), "truth", max_iter)
     classifier = IntentClassifier(model, classes, terms)
-    held = classifier.predict_features(
-        terms.transform_to_vectors(test, id_col, text_col, keep=[label_col]), [id_col, label_col]
-    ).select(F.col(id_col).alias("item_id"), F.col(label_col).alias("truth"), F.col("intent").alias("prediction"), "confidence")
-    return classifier, held
+    held = terms.transform_to_vectors(test, "item_id", "value", keep=["truth"])
+    return classifier, _judged(classifier.predict_features(held, ["item_id", "truth"]))
 
 
 def train_vector_classifier(
     df: DataFrame, id_col: str, vector_col: str, label_col: str, max_iter: int = 1000
 ) -> tuple[IntentClassifier, DataFrame]:
     """As above, on vectors that came with the rows."""
-    split = stratified_split(df.select(id_col, vector_col, label_col), id_col, label_col)
-    rows = split.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    model, classes = fit_regression(rows.filter(~F.col("is_test")).select(label_col, "features"), label_col, max_iter)
+    def featured(part: DataFrame) -> DataFrame:
+        return part.select("item_id", "truth", array_to_vector(F.col("value").cast("array<double>")).alias("features"))
+
+    train, test = _halves(df, id_col, vector_col, label_col)
+    model, classes = fit_regression(featured(train).select("truth", "features"), "truth", max_iter)
     classifier = IntentClassifier(model, classes)
-    held = classifier.predict_features(rows.filter("is_test"), [id_col, label_col]).select(
-        F.col(id_col).alias("item_id"), F.col(label_col).alias("truth"), F.col("intent").alias("prediction"), "confidence"
-    )
-    return classifier, held
+    return classifier, _judged(classifier.predict_features(featured(test), ["item_id", "truth"]))
