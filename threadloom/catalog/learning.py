@@ -121,8 +121,8 @@ def m4(spark, sf_dir):
     """Share of the squared weight the projection keeps, per document."""
     docs = _docs(spark, sf_dir)
     model = features.fit_terms(docs, "id", "text", TermSettings(5, 0.8, 1000, True))
-    basis = intents.fit_projection(model.transform_to_vectors(docs, "id", "text"), 100)
-    dense = intents.project(model.transform(docs, "id", "text"), "id", basis, model.size)
+    rows = model.stage_rows(docs, "id", "text")
+    dense = intents.project(rows.sparse(), "id", intents.fit_projection(rows.vectors(), 100), model.size)
     cells = vector_to_array("features")
     return dense.select("id", F.aggregate(cells, F.lit(0.0), lambda a, x: a + x * x).alias("kept"), F.size(cells).alias("dims"))
 

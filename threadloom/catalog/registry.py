@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def six_decimals(c: Column) -> Column:
+    """Rounded in binary, half away from zero, as DuckDB does it.
+
+    Spark's own `round` works on the shortest decimal text and differs where a
+    value was rounded to more places before.
+    """
+    return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint, fractions as doubles with six decimals."""
     cols = []
@@ -32,8 +41,8 @@ def comparable(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("bigint") if f.dataType.scale == 0 else F.round(c.cast("double"), 6)
+            c = c.cast("bigint") if f.dataType.scale == 0 else six_decimals(c.cast("double"))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = six_decimals(c.cast("double"))
         cols.append(c.alias(f.name))
     return df.select(*cols)

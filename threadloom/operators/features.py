@@ -62,6 +62,28 @@ def vocabulary(counts: DataFrame, n_docs: int, settings: TermSettings) -> DataFr
     )
 
 
+@dataclass
+class StagedRows:
+    """Sparse rows on disk, readable as arrays or as ML vectors.
+
+    The vector type is stored as a struct of (type, size, indices, values), so a
+    struct column read back under the vector type is a vector, without a Python
+    function. The files also cut the lineage for iterative training.
+    """
+
+    spark: SparkSession
+    path: str
+    fields: list[T.StructField]
+
+    def vectors(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.fields, T.StructField("features", VectorUDT())])).parquet(self.path)
+
+    def sparse(self) -> DataFrame:
+        cells = T.StructType([T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+        raw = self.spark.read.schema(T.StructType([*self.fields, T.StructField("features", cells)])).parquet(self.path)
+        return raw.select(*[f.name for f in self.fields], "features.indices", "features.values")
+
+
 @dataclass
 class TermModel:
     """Fitted vocabulary with document frequencies; `table` is in term order."""
@@ -102,14 +124,8 @@ class TermModel:
             F.transform("e", lambda x: x["weight"] / F.sqrt("squares")).alias("values"),
         )
 
-    def transform_to_vectors(self, df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
-        """As `transform`, with an ML vector column `features`, and `keep` columns of `df` attached.
-
-        The rows go through Parquet: the vector type is stored as a struct of
-        (type, size, indices, values), so a plain struct column read back under
-        the vector type is a vector, without a Python function. The table also
-        cuts the lineage for iterative training.
-        """
+    def stage_rows(self, df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> "StagedRows":
+        """Rows of `transform` written to the scratch folder, with `keep` columns of `df`."""
         rows = self.transform(df, id_col, text_col)
         if keep:
             rows = rows.join(df.select(id_col, *keep), id_col)
@@ -120,8 +136,11 @@ class TermModel:
                 F.lit(0).cast("tinyint").alias("type"), F.lit(self.size).cast("int").alias("size"), "indices", "values"
             ).alias("features"),
         ).write.parquet(path)
-        kept = [df.schema[c] for c in (id_col, *keep)]
-        return df.sparkSession.read.schema(T.StructType([*kept, T.StructField("features", VectorUDT())])).parquet(path)
+        return StagedRows(df.sparkSession, path, [df.schema[c] for c in (id_col, *keep)])
+
+    def transform_to_vectors(self, df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
+        """As `transform`, with an ML vector column `features`, through the scratch folder."""
+        return self.stage_rows(df, id_col, text_col, keep).vectors()
 
     def save(self, spark: SparkSession, path: str) -> None:
         meta = F.struct(F.lit(self.n_docs).cast("bigint").alias("n_docs"), F.lit(self.settings.min_df).alias("min_df"),

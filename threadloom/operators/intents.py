@@ -17,8 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS, SEED, TermSettings
 from ..functions import judgement, rules, text as tx
 from ..functions.ranking import hash_order, rank_by_hash
+from ..session import staged
 from .features import TermModel, fit_terms
 
+
+
+def _all_classes() -> Window:
+    """Window over a whole count table, of one row per class or cluster."""
+    return Window.partitionBy()
+
+
 # --------------------------------------------------------------- clustering
 
 
@@ -84,11 +92,7 @@ def examples(members: DataFrame, texts: DataFrame, id_col: str, text_col: str, n
 
 def cluster_sizes(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    total = sizes.agg(F.sum("size").alias("total"))
-    # one row on the right side
-    return sizes.join(F.broadcast(total)).select(
-        "cluster_id", "size", F.round(F.col("size") / F.col("total") * 100, 2).alias("pct")
-    )
+    return sizes.withColumn("pct", F.round(F.col("size") / F.sum("size").over(_all_classes()) * 100, 2))
 
 
 def taxonomy(members: DataFrame, weights: DataFrame, texts: DataFrame, id_col: str, text_col: str, report: int = 10) -> DataFrame:
@@ -109,11 +113,8 @@ def taxonomy(members: DataFrame, weights: DataFrame, texts: DataFrame, id_col: s
 
 def intent_distribution(labelled: DataFrame, column: str = "intent") -> DataFrame:
     """Messages and share per intent; clusters of one name are counted together."""
-    counts = labelled.groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(
-        F.col(column).alias("intent"), "n", F.round(F.col("n") / F.col("total") * 100, 2).alias("pct")
-    )
+    counts = labelled.groupBy(F.col(column).alias("intent")).agg(F.count("*").alias("n"))
+    return counts.withColumn("pct", F.round(F.col("n") / F.sum("n").over(_all_classes()) * 100, 2))
 
 
 def name_members(members: DataFrame, names: DataFrame) -> DataFrame:
@@ -150,15 +151,15 @@ def discover(
 ) -> tuple[IntentModel, DataFrame]:
     """Fitted model and the taxonomy of its clusters."""
     clean = df.filter(F.col(text_col).isNotNull()).select(id_col, tx.clean_for_clustering(F.col(text_col)).alias("clean"))
-    clean = clean.filter(F.length("clean") > 10)
+    clean = staged(clean.filter(F.length("clean") > 10), "clean")
     terms = fit_terms(clean, id_col, "clean", settings)
-    features = terms.transform_to_vectors(clean, id_col, "clean")
-    basis = fit_projection(features, components) if terms.size > components else None
-    rows = terms.transform(clean, id_col, "clean")
-    dense = project(rows, id_col, basis, terms.size)
+    rows = terms.stage_rows(clean, id_col, "clean")
+    basis = fit_projection(rows.vectors(), components, seed) if terms.size > components else None
+    dense = staged(project(rows.sparse(), id_col, basis, terms.size), "projected")
     model = KMeans(k=k, seed=seed, featuresCol="features").fit(dense)
     members = model.transform(dense).select(id_col, F.col("prediction").alias("cluster_id"))
-    found = taxonomy(members, term_weights(rows, terms, id_col), clean, id_col, "clean")
+    found = staged(taxonomy(members, term_weights(rows.sparse(), terms, id_col), clean, id_col, "clean"), "taxonomy")
+    found = found.orderBy(F.desc("size"), "cluster_id")
     names = {r["cluster_id"]: r["name"] for r in found.select("cluster_id", "name").collect()}  # k rows
     return IntentModel(terms, basis, model, names), found
 
@@ -184,9 +185,8 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_share: flo
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     """(label, weight) with weight n / (classes * n_c); one row per class."""
     counts = df.groupBy(label_col).agg(F.count("*").alias("n_c"))
-    total = counts.agg(F.sum("n_c").alias("n"), F.count("*").alias("classes"))
-    return counts.join(F.broadcast(total)).select(
-        label_col, (F.col("n") / (F.col("classes") * F.col("n_c"))).alias("weight")
+    return counts.select(
+        label_col, (F.sum("n_c").over(_all_classes()) / (F.count("*").over(_all_classes()) * F.col("n_c"))).alias("weight")
     )
 
 
@@ -269,7 +269,7 @@ def fit_regression(train: DataFrame, label_col: str, max_iter: int = 1000) -> tu
 
 def _halves(df: DataFrame, id_col: str, value_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     rows = df.select(F.col(id_col).alias("item_id"), F.col(value_col).alias("value"), F.col(label_col).alias("truth"))
-    split = stratified_split(rows, "item_id", "truth")
+    split = staged(stratified_split(rows, "item_id", "truth"), "split")
     return split.filter(~F.col("is_test")), split.filter("is_test")
 
 
