@@ -55,21 +55,23 @@ def j2(spark, sf_dir):
 @query("w2_first_brand_child", s.with_(s.TWEETS, s.SLICED, s.pairs(), body="""
 SELECT in_response_to_tweet_id AS parent, brand, tweet_id AS response_id, text FROM children WHERE rn = 1"""))
 def w2(spark, sf_dir):
-    return threads.first_child(_sliced(spark, sf_dir)).select(
-        "parent", F.col("c_brand").alias("brand"), "child.response_id", F.col("child.r_text").alias("text")
-    )
+    child = threads.first_child(_sliced(spark, sf_dir))
+    texts = st.tweets(spark, sf_dir).select(F.col("tweet_id").alias("response_id"), "text")
+    return child.select("parent", F.col("c_brand").alias("brand"), F.col("child_id").alias("response_id")).join(texts, "response_id")
 
 
 @query("j3_pair_assembly", s.with_(s.TWEETS, s.SLICED, s.pairs(), body="""
 SELECT tweet_id, response_id, brand, by_reply_id, r_text, support_author FROM pairs"""))
 def j3(spark, sf_dir):
-    return threads.pair_replies(_sliced(spark, sf_dir)).select("tweet_id", "response_id", "brand", "by_reply_id", "r_text", "support_author")
+    sliced = _sliced(spark, sf_dir)
+    return threads.attach_texts(threads.pair_replies(sliced), sliced).select("tweet_id", "response_id", "brand", "by_reply_id", "r_text", "support_author")
 
 
 @query("j4_ancestor_context", s.with_(*s.ALL_CONVERSATIONS, body="SELECT tweet_id, response_id, conversation_context FROM ctx"))
 def j4(spark, sf_dir):
     sliced = _sliced(spark, sf_dir)
-    return threads.add_context(threads.pair_replies(sliced), sliced).select("tweet_id", "response_id", "conversation_context")
+    pairs = threads.ancestors(threads.pair_replies(sliced), sliced)
+    return threads.attach_texts(pairs, sliced).select("tweet_id", "response_id", "conversation_context")
 
 
 _STAGED = """staged AS (SELECT CAST(tweet_id AS VARCHAR) AS tweet_id, author_id, inbound, created_at, text, response_tweet_id,

@@ -5,7 +5,8 @@ the handle an inbound one opens with), so `brand` is a column and all brands are
 rebuilt in one job. Joins are on message ids. A parent or reply id shared by very
 many messages makes the left side of a join skewed while the right side stays
 unique, the case adaptive skew joins split. Messages without an id to follow are
-spread by their own id rather than piling up on null.
+spread by their own id rather than piling up on null. Links are followed on ids
+alone; texts are shuffled once, when it is known which are needed.
 """
 
 from __future__ import annotations
@@ -52,12 +53,13 @@ def pairs_by_reply_id(sliced: DataFrame, pick: str = "last") -> DataFrame:
 def first_child(sliced: DataFrame) -> DataFrame:
     """Per customer message the brand's first reply naming it as parent.
 
-    An aggregate, so a message with very many replies is reduced before the shuffle.
+    An aggregate over ids, so a message with very many replies is reduced before
+    the shuffle.
     """
     return (
         replies_of(sliced).filter(F.col("r_parent").isNotNull())
         .groupBy(F.col("r_parent").alias("parent"), F.col("r_brand").alias("c_brand"))
-        .agg(F.min_by(F.struct("response_id", "r_text", "support_author"), "response_id").alias("child"))
+        .agg(F.min("response_id").alias("child_id"))
     )
 
 
@@ -67,20 +69,21 @@ def pairs_by_parent(sliced: DataFrame) -> DataFrame:
     left = customers_of(sliced).join(done, "tweet_id", "left_anti")
     child = first_child(sliced)
     return left.join(child, (left["tweet_id"] == child["parent"]) & (left["brand"] == child["c_brand"])).select(
-        *[left[c] for c in left.columns], "child.response_id", "child.r_text", "child.support_author"
+        *[left[c] for c in left.columns], F.col("child_id").alias("response_id")
     )
 
 
 def pair_replies(sliced: DataFrame, pick: str = "last") -> DataFrame:
     """Both methods in one pass: the named reply if it holds, else the first child.
 
-    One row per (customer message, reply).
+    One row per (customer message, reply), ids only; texts are attached once at the
+    end, when all ids are known.
     """
-    c = customers_of(sliced, pick)
+    c = customers_of(sliced, pick).select("brand", "tweet_id", "in_response_to_tweet_id", "named_reply")
     named = F.coalesce(F.col("named_reply"), F.col("tweet_id"))
-    r = replies_of(sliced).drop("r_parent")
+    r = replies_of(sliced).select(F.col("response_id").alias("m1_id"), "r_brand")
     by_id = c.withColumn("__key", named).join(
-        r.withColumnsRenamed({"response_id": "m1_id", "r_text": "m1_text", "support_author": "m1_author"}),
+        r,
         (F.col("__key") == F.col("m1_id")) & (F.col("brand") == F.col("r_brand")) & F.col("named_reply").isNotNull(),
         "left",
     )
@@ -88,33 +91,24 @@ def pair_replies(sliced: DataFrame, pick: str = "last") -> DataFrame:
     joined = by_id.join(
         child, (F.col("tweet_id") == F.col("parent")) & (F.col("brand") == F.col("c_brand")), "left"
     )
-    by_reply_id = F.col("m1_id").isNotNull()
-    named_row = F.struct(
-        F.col("m1_id").alias("response_id"), F.col("m1_text").alias("r_text"), F.col("m1_author").alias("support_author")
-    )
     return (
-        joined.withColumn("__f", F.when(by_reply_id, named_row).otherwise(F.col("child")))
-        .filter(F.col("__f.response_id").isNotNull())
-        .select(
-            "brand", "tweet_id", "author_id", "created_at", "text", "in_response_to_tweet_id", "__f.*",
-            by_reply_id.alias("by_reply_id"),
+        joined.select(
+            "brand", "tweet_id", "in_response_to_tweet_id", F.coalesce("m1_id", "child_id").alias("response_id"),
+            F.col("m1_id").isNotNull().alias("by_reply_id"),
         )
+        .filter(F.col("response_id").isNotNull())
         .dropDuplicates(["tweet_id", "response_id"])
     )
 
 
-def add_context(pairs: DataFrame, sliced: DataFrame, depth: int = 3) -> DataFrame:
-    """Adds `conversation_context`: up to `depth` ancestors in the brand's messages, oldest first."""
-    role = F.when(F.col("inbound"), "customer").otherwise("support")
-    ancestors = sliced.select(
-        F.col("tweet_id").alias("a_id"), F.col("brand").alias("a_brand"),
-        F.col("in_response_to_tweet_id").alias("a_next"),
-        F.concat(F.lit("["), role, F.lit("]: "), tx.clean_text(F.col("text"))).alias("a_line"),
+def ancestors(pairs: DataFrame, sliced: DataFrame, depth: int = 3) -> DataFrame:
+    """Adds `ancestor_ids`: up to `depth` parents in the brand's messages, nearest first."""
+    known = sliced.select(
+        F.col("tweet_id").alias("a_id"), F.col("brand").alias("a_brand"), F.col("in_response_to_tweet_id").alias("a_next")
     )
     out = pairs.withColumn("__next", F.col("in_response_to_tweet_id"))
-    lines = []
     for hop in range(1, depth + 1):
-        a = ancestors.withColumnsRenamed({c: f"{c}{hop}" for c in ancestors.columns})
+        a = known.withColumnsRenamed({c: f"{c}{hop}" for c in known.columns})
         out = (
             out.withColumn("__key", F.coalesce("__next", "tweet_id"))
             .join(
@@ -124,12 +118,44 @@ def add_context(pairs: DataFrame, sliced: DataFrame, depth: int = 3) -> DataFram
                 "left",
             )
             .withColumn("__next", F.col(f"a_next{hop}"))
-            .drop("__key", f"a_id{hop}", f"a_brand{hop}", f"a_next{hop}")
+            .drop("__key", f"a_brand{hop}", f"a_next{hop}")
         )
-        lines.insert(0, F.col(f"a_line{hop}"))
+    found = [F.col(f"a_id{hop}") for hop in range(1, depth + 1)]
+    return out.withColumn("ancestor_ids", F.array_compact(F.array(*found))).drop("__next", *[f"a_id{h}" for h in range(1, depth + 1)])
+
+
+def attach_texts(pairs: DataFrame, sliced: DataFrame, depth: int = 3) -> DataFrame:
+    """Texts of the customer message, the reply and the ancestors, by a single join.
+
+    Every pair lists the messages it needs, the list meets the texts once, and the
+    pieces are put together per pair. `conversation_context` runs oldest first.
+    """
+    context = F.col("ancestor_ids") if "ancestor_ids" in pairs.columns else F.array().cast("array<bigint>")
+    wanted = F.concat(F.array("tweet_id", "response_id"), context)
+    keys = ["brand", "tweet_id", "response_id", "in_response_to_tweet_id", "by_reply_id"]
+    refs = pairs.select(*keys, F.posexplode(wanted).alias("slot", "ref_id"))
+    messages = sliced.select(
+        F.col("tweet_id").alias("m_id"), F.col("inbound").alias("m_inbound"), F.col("text").alias("m_text"),
+        F.col("author_id").alias("m_author"), F.col("created_at").alias("m_created"),
+    )
+    slot = F.col("slot")
+    role = F.when(F.col("m_inbound"), "customer").otherwise("support")
+    line = F.concat(F.lit("["), role, F.lit("]: "), tx.clean_text(F.col("m_text")))
+    pieces = refs.join(messages, F.col("ref_id") == F.col("m_id")).select(
+        *keys, slot,
+        F.when(slot < 2, F.struct(F.col("m_text").alias("text"), F.col("m_author").alias("author"), F.col("m_created").alias("created"))).alias("message"),
+        F.when(slot >= 2, line).alias("line"),
+    )
+    whole = pieces.groupBy(*keys).agg(
+        F.max(F.when(slot == 0, F.col("message"))).alias("c"),
+        F.max(F.when(slot == 1, F.col("message"))).alias("r"),
+        *[F.max(F.when(slot == 1 + hop, F.col("line"))).alias(f"line{hop}") for hop in range(1, depth + 1)],
+    )
     # concat_ws leaves out the hops that found nothing
-    return out.withColumn("conversation_context", F.concat_ws(" | ", *lines)).drop(
-        "__next", *[f"a_line{h}" for h in range(1, depth + 1)]
+    return whole.select(
+        *keys, F.col("c.text").alias("text"), F.col("c.author").alias("author_id"), F.col("c.created").alias("created_at"),
+        F.col("r.text").alias("r_text"), F.col("r.author").alias("support_author"),
+        F.concat_ws(" | ", *[F.col(f"line{hop}") for hop in range(depth, 0, -1)]).alias("conversation_context"),
     )
 
 

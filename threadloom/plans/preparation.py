@@ -10,7 +10,8 @@ from ..sources import tables
 
 def raw_conversations(tweets: DataFrame, brand: str | None = None, pick: str = "last") -> DataFrame:
     sliced = threads.brand_slice(tweets, brand)
-    return threads.as_conversations(threads.add_context(threads.pair_replies(sliced, pick), sliced))
+    pairs = threads.ancestors(threads.pair_replies(sliced, pick), sliced)
+    return threads.as_conversations(threads.attach_texts(pairs, sliced))
 
 
 def prepare(tweets: DataFrame, brand: str | None = None, pick: str = "last") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import EscalationLimits, RetrievalSettings
 from ..operators import decisions, retrieval, similarity
 from ..operators.intents import IntentClassifier
+from ..session import staged
 
 
 def triage(
@@ -33,7 +34,8 @@ def triage(
         )
         messages = messages.drop("intent", "intent_confidence").join(predicted, "id", "left")
     pool = similarity.top_k(messages, documents, settings.pool, dim, method, skip_same)
-    hits = retrieval.rerank(pool, messages, documents, settings)
+    # at most top_k rows per message, used three times below: searched once
+    hits = staged(retrieval.rerank(pool, messages, documents, settings), "hits")
     replies = decisions.draft_replies(messages, hits, documents, settings).select(
         "id", "reply", F.col("confidence").alias("reply_confidence"), "summary",
         F.col("escalate").alias("generator_escalates"), F.col("reason").alias("generator_reason"), "n_cases",
