@@ -11,7 +11,9 @@ alone; texts are shuffled once, when it is known which are needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 
@@ -124,11 +126,15 @@ def ancestors(pairs: DataFrame, sliced: DataFrame, depth: int = 3) -> DataFrame:
     return out.withColumn("ancestor_ids", F.array_compact(F.array(*found))).drop("__next", *[f"a_id{h}" for h in range(1, depth + 1)])
 
 
-def attach_texts(pairs: DataFrame, sliced: DataFrame, depth: int = 3) -> DataFrame:
+def attach_texts(
+    pairs: DataFrame, sliced: DataFrame, depth: int = 3, prepare: Callable[[Column], Column] = lambda text: text
+) -> DataFrame:
     """Texts of the customer message, the reply and the ancestors, by a single join.
 
     Every pair lists the messages it needs, the list meets the texts once, and the
     pieces are put together per pair. `conversation_context` runs oldest first.
+    `prepare` is applied to message and reply below the aggregate, so that filters
+    on the result do not repeat its work.
     """
     context = F.col("ancestor_ids") if "ancestor_ids" in pairs.columns else F.array().cast("array<bigint>")
     wanted = F.concat(F.array("tweet_id", "response_id"), context)
@@ -143,7 +149,7 @@ def attach_texts(pairs: DataFrame, sliced: DataFrame, depth: int = 3) -> DataFra
     line = F.concat(F.lit("["), role, F.lit("]: "), tx.clean_text(F.col("m_text")))
     pieces = refs.join(messages, F.col("ref_id") == F.col("m_id")).select(
         *keys, slot,
-        F.when(slot < 2, F.struct(F.col("m_text").alias("text"), F.col("m_author").alias("author"), F.col("m_created").alias("created"))).alias("message"),
+        F.when(slot < 2, F.struct(prepare(F.col("m_text")).alias("text"), F.col("m_author").alias("author"), F.col("m_created").alias("created"))).alias("message"),
         F.when(slot >= 2, line).alias("line"),
     )
     whole = pieces.groupBy(*keys).agg(
@@ -159,13 +165,13 @@ def attach_texts(pairs: DataFrame, sliced: DataFrame, depth: int = 3) -> DataFra
     )
 
 
-def as_conversations(pairs: DataFrame, collapse: bool = True) -> DataFrame:
-    """Pairs with context as conversation records, before filtering."""
+def as_conversations(pairs: DataFrame) -> DataFrame:
+    """Pairs with cleaned texts and context as conversation records, before filtering."""
     return pairs.select(
         tx.conversation_id(F.col("tweet_id"), F.col("response_id")).alias("conversation_id"),
         "brand",
-        tx.clean_text(F.col("text"), collapse).alias("customer_message"),
-        tx.clean_text(F.col("r_text"), collapse).alias("historical_support_response"),
+        F.col("text").alias("customer_message"),
+        F.col("r_text").alias("historical_support_response"),
         F.col("created_at").alias("timestamp"),
         "conversation_context",
         F.col("author_id").alias("customer_author"),

@@ -11,7 +11,7 @@ from ..sources import tables
 def raw_conversations(tweets: DataFrame, brand: str | None = None, pick: str = "last") -> DataFrame:
     sliced = threads.brand_slice(tweets, brand)
     pairs = threads.ancestors(threads.pair_replies(sliced, pick), sliced)
-    return threads.as_conversations(threads.attach_texts(pairs, sliced))
+    return threads.as_conversations(threads.attach_texts(pairs, sliced, prepare=threads.tx.clean_text))
 
 
 def prepare(tweets: DataFrame, brand: str | None = None, pick: str = "last") -> DataFrame:
