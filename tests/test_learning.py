@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.config import TermSettings
-from threadloom.operators import features, intents, similarity
+from threadloom.operators import features, golden, intents, similarity
 from threadloom.plans import training, triage
 from threadloom.sources import standins as st
 from threadloom.streaming import scoring
@@ -66,7 +66,11 @@ def test_training_job(spark, talk, tmp_path):
         talk.select("conversation_id", "customer_message"), str(tmp_path), vectors, target=40, k=4,
         discovery=SETTINGS, classification=SETTINGS, baseline=TermSettings(2, 0.9, 300), max_iter=30,
     )
-    assert out.labelled.count() == 240 and out.golden.count() == 40
+    assert out.labelled.count() == 240
+    # all messages are of usual length, so the share kept for unusual ones stays empty
+    plan = golden.allocate(out.labelled.groupBy("intent").agg(F.count("*").alias("c")), 40).collect()
+    assert sum(r["n"] for r in plan) == 40
+    assert out.golden.count() == sum(r["n"] - int(r["n"] * 0.2) for r in plan)
     assert 0 <= out.metrics.first()["accuracy"] <= 1
     assert out.index.documents.count() == 240
     trained_on = set(r["item_id"] for r in out.held_out.select("item_id").collect())

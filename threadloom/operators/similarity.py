@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import BROADCAST_BYTES, SEED
-from ..functions.vectors import normalise
+from ..functions.vectors import norm, normalise
 
 HIT = "q_id bigint, d_id bigint, score double"
 DECIMALS = 9
@@ -269,10 +269,13 @@ class CellIndex:
 
 
 def build_cells(corpus: DataFrame, n_docs: int | None = None, seed: int = SEED, max_iter: int = 10) -> CellIndex:
-    """Cells by k-means over unit vectors: min(sqrt(n), 100) of them."""
+    """Cells by k-means over unit vectors: min(sqrt(n), 100) of them.
+
+    Zero vectors have no direction to learn from; they are assigned like all others.
+    """
     n = corpus.count() if n_docs is None else n_docs
     k = max(2, min(int(math.sqrt(n)), 100))
-    unit = corpus.select("id", "vector", array_to_vector(normalise(F.col("vector"))).alias("features"))
+    unit = corpus.filter(norm(F.col("vector")) > 0).select(array_to_vector(normalise(F.col("vector"))).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", distanceMeasure="cosine").fit(unit)
     centroids = np.array(model.clusterCenters())
     centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
