@@ -11,8 +11,9 @@ from ..sources import tables
 
 def run(conversations: DataFrame, out_dir: str, target: int = 200, seed: int = SEED) -> DataFrame:
     """Writes the golden set, its review layout and its distributions; returns the set as written."""
-    tables.write_parquet(golden.build_golden_set(conversations, target, seed), f"{out_dir}/golden", partition_by=None)
-    written = conversations.sparkSession.read.parquet(f"{out_dir}/golden")
+    built = golden.build_golden_set(conversations, target, seed)
+    tables.write_parquet(built, f"{out_dir}/golden", partition_by=None)
+    written = conversations.sparkSession.read.schema(built.schema).parquet(f"{out_dir}/golden")
     tables.write_csv(golden.review_table(written), f"{out_dir}/review")
     tables.write_report(golden.distributions(written), f"{out_dir}/golden_metadata")
     return written

@@ -59,8 +59,10 @@ def run(tweets: DataFrame, out_dir: str, brand: str | None = None, sample: int =
 
     Returns the contract findings; with `fail` an error finding raises.
     """
-    tables.write_parquet(prepare(tweets, brand), f"{out_dir}/conversations")
-    written = tweets.sparkSession.read.parquet(f"{out_dir}/conversations")
+    prepared = prepare(tweets, brand)
+    tables.write_parquet(prepared, f"{out_dir}/conversations")
+    # the schema is given, as an empty result leaves no file to take it from
+    written = tweets.sparkSession.read.schema(prepared.schema).parquet(f"{out_dir}/conversations")
     findings = contract.check(written, contract.CONTRACT_A)
     tables.write_report(findings, f"{out_dir}/contract")
     tables.write_csv(tables.sample_table(written, "conversation_id", sample), f"{out_dir}/sample")

@@ -39,7 +39,7 @@ def run(
 
     def stage(df: DataFrame, name: str) -> DataFrame:
         tables.write_parquet(df, f"{out_dir}/{name}", partition_by=None)
-        return spark.read.parquet(f"{out_dir}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out_dir}/{name}")
 
     model, found = intents.discover(conversations, "conversation_id", "customer_message", k, discovery, seed)
     taxonomy = stage(found, "taxonomy")
