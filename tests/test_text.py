@@ -17,7 +17,7 @@ def test_clean_text(spark, text, want):
     assert value(spark, tx.clean_text(F.col("t")), t=text) == want
 
 
-@pytest.mark.parametrize("text,want", [("@spotify help me", "spotify"), ("hello world", None), (None, None), (" @X y", "x")])
+@pytest.mark.parametrize("text,want", [("@acme help me", "acme"), ("hello world", None), (None, None), (" @X y", "x")])
 def test_extract_mention(spark, text, want):
     assert value(spark, tx.extract_mention(F.col("t")), t=text) == want
 
