@@ -4,7 +4,7 @@ Nothing else in the library imports this subpackage. `QUERIES` and `ORACLES`
 hold what the driver runs.
 """
 
-from . import exact_dedup  # noqa: F401
+from . import exact_dedup, simhash, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
