@@ -4,7 +4,7 @@ Nothing else in the library imports this subpackage. `QUERIES` and `ORACLES`
 hold what the driver runs.
 """
 
-from . import byte_bpe, exact_dedup, pitman_yor, simhash, token_counts, warc  # noqa: F401
+from . import byte_bpe, decontaminate, exact_dedup, pitman_yor, simhash, token_counts, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
