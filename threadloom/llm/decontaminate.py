@@ -115,7 +115,7 @@ def count_grams(docs: DataFrame, items, grams, text: str) -> dict[int, int]:
     """Occurrences in all documents of the block's own n-grams."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, keys = items.value, grams.value
+        block, keys = Items(*items.value), grams.value
         widths = sorted({int(k) & 3 for k in keys})
         counts = np.zeros(len(keys), np.int64)
         for batch in batches:
@@ -202,15 +202,16 @@ def _blocks(benchmark: DataFrame, item_text: str, item_id: str, block_bytes: int
 def mark(docs: DataFrame, block: Items, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """Every row as struct `row` with `leaks`, the items of the block found in it. One pass for counts, one for leaks."""
     context = docs.sparkSession.sparkContext
-    items = context.broadcast(block)
+    items = context.broadcast((block.ids, block.vocabulary, block.words))
     all_keys = [block.keys(w, block.width(i)) for i, w in enumerate(block.words) if len(w)]
     grams = context.broadcast(np.unique(np.concatenate(all_keys)) if all_keys else np.empty(0, np.int64))
     seeds = context.broadcast(seeds_of(block, count_grams(docs, items, grams, text)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+        known = Items(*items.value)
         for batch in batches:
-            found = [leaks_in(t, items.value, seeds.value, min_score) for t in batch.column("text").to_pylist()]
+            found = [leaks_in(t, known, seeds.value, min_score) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], names=["row", "leaks"])
 
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text] or [F.lit(None).alias("none")]).alias("row"), F.col(text).cast("string").alias("text"))
