@@ -31,9 +31,10 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -133,7 +134,7 @@ class TreeEncoder:
         return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
 
-def decode(ids: memoryview, token_bytes: list[bytes]) -> bytes:
+def decode(ids: Sequence[int], token_bytes: list[bytes]) -> bytes:
     """Bytes of the ids, concatenated pairwise up a tree of blocks."""
     level = [b"".join(map(token_bytes.__getitem__, ids[i : i + 4096])) for i in range(0, len(ids), 4096)]
     while len(level) > 1:
@@ -187,7 +188,7 @@ class TextEncoder:
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
-    """The kept columns as struct `row`, `n_tokens`, digests of ids and decoded bytes and, if wanted, the packed `ids`.
+    """The kept columns as struct `row`, `n_tokens`, digests of ids and decoded bytes and, if wanted, the `ids`.
 
     `rank_path` is read on the driver; a vocabulary is a few megabytes and its
     size does not depend on the data. Rows stay where they are: no shuffle.
@@ -205,22 +206,25 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep
                 pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
                 pa.array([hashlib.sha256(encoder.decode(i)).hexdigest() for i in ids]),
             ]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=["row", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+            if with_ids:
+                ends = np.cumsum([0] + [len(i) // 4 for i in ids])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     packed = df.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
-    return map_batches(packed, work, f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return map_batches(packed, work, f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode_ids(df: DataFrame, rank_path: str, ids: str = "ids") -> DataFrame:
-    """All columns but `ids` as struct `row`, and `decoded`, the bytes of the packed ids (null: empty)."""
+    """All columns but `ids` as struct `row`, and `decoded`, the bytes of the ids (null: empty)."""
     with open(rank_path, "rb") as f:
         rank_file = df.sparkSession.sparkContext.broadcast(f.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(rank_file.value, "")
         for batch in batches:
-            decoded = [encoder.decode(i or b"") for i in batch.column("ids").to_pylist()]
+            decoded = [decode(i or [], encoder.token_bytes) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(decoded, pa.binary())], names=["row", "decoded"])
 
     packed = df.select(F.struct(*[F.col(c) for c in df.columns if c != ids]).alias("row"), F.col(ids).alias("ids"))

@@ -39,19 +39,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(starts: np.ndarray, ids: np.ndarray, values: np.ndarray, target: np.ndarray, size: int, k: int, *, epochs: int = 8, rate: float = 0.1, l1: float = 0.0, l2: float = 1e-5, least_rows: int = 3, batch: int = 128, seed: int = 11) -> Machine:
+def train(starts: np.ndarray, ids: np.ndarray, values: np.ndarray, target: np.ndarray, size: int, k: int, *, epochs: int = 8, rate: float = 0.1, l1: float = 0.0, l2: float = 1e-5, least_rows: int = 3, batch: int = 128, seed: int = 11, start: Machine | None = None) -> Machine:
     """Logistic loss against targets in [0, 1], by AdaGrad over shuffled batches.
 
     `l1` shrinks weights step by step (truncated gradient), so terms of no use
     end at zero. Features of fewer than `least_rows` training rows stay at zero.
-    Factors move only for features seen in a batch.
+    With `start`, training goes on from its bias and weights, and factors are
+    learned for the features whose weight is not zero there: only terms of some
+    use alone can be of use in pairs, which keeps rare terms from being learned
+    by heart.
     """
     rng = np.random.default_rng(seed)
     common = np.bincount(ids, minlength=size) >= least_rows
-    weights = np.zeros(size)
+    weights = np.zeros(size) if start is None else start.weights.copy()
+    if start is not None:
+        common &= start.weights != 0
     factors = np.where(common[:, None], rng.normal(0, 0.01, (size, k)), 0.0)
     rate_at = np.clip(target.mean(), 1e-3, 1 - 1e-3) if len(target) else 0.5
-    bias, bias_sum = float(np.log(rate_at / (1 - rate_at))), 1.0
+    bias, bias_sum = float(np.log(rate_at / (1 - rate_at))) if start is None else start.bias, 1.0
     weight_sum, factor_sum = np.full(size, 1e-2), np.full((size, k), 1e-2)
     rows = len(starts) - 1
     for _ in range(epochs):

@@ -7,11 +7,11 @@ insult and a group) can count for more than both alone.
 
 Learned from at most `TRAIN_ROWS` labelled rows outside the held-out part,
 taken in the order of a hash of their id (the bound is that of the training
-sample; every row is scored). Nothing but the text enters a score.
+sample; every row is scored): the weights first, then weights and factors. Nothing but the text enters a score.
 
 Defined results: a null or empty text has no terms and gets the score of the
-bias; null labels and null ids are not learned from; repeated labels count
-repeatedly; documents without label are scored alike; without any training row
+bias; null labels and null ids are not learned from; an id is learned from once,
+with the larger of its labels and one of its texts; documents without label are scored alike; without any training row
 all scores are 0.5; repeated rows give repeated result rows; other columns are
 not read; an empty table gives an empty result.
 """
@@ -54,7 +54,7 @@ class Terms(dict):
 
 def sample(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str, parts: int, rows: int) -> DataFrame:
     """`features`, `y` of the training rows. Ids are chosen from the labels; only their texts are read."""
-    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("double").alias("y")).dropna().where(~held_out("id", parts))
+    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("double").alias("y")).dropna().where(~held_out("id", parts)).groupBy("id").agg(F.max("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int32())), batch.column("y")], names=["id", "features", "y"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return map_batches(texts.join(F.broadcast(chosen), "id"), work, "id long, features array<int>, y double")
+    return map_batches(texts.join(F.broadcast(chosen), "id"), work, "id long, features array<int>, y double").dropDuplicates(["id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", parts: int = 5, rows: int = TRAIN_ROWS) -> Machine:
@@ -76,7 +76,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     lengths = np.array([len(x) for x in features], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])
     ids = features.flatten().to_numpy().astype(np.int64)
-    return train(starts, ids, np.ones(len(ids)), data.column("y").to_numpy(), 1 << BITS, FACTORS, l1=2e-4)
+    ones, y = np.ones(len(ids)), data.column("y").to_numpy()
+    linear = train(starts, ids, ones, y, 1 << BITS, 0, epochs=30, rate=1.0, l1=5e-4, least_rows=5)
+    return train(starts, ids, ones, y, 1 << BITS, FACTORS, epochs=10, rate=0.2, l1=2e-4, l2=1e-6, least_rows=5, start=linear)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", id_col: str = "doc_id") -> DataFrame:
