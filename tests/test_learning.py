@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.config import TermSettings
-from threadloom.operators import features, golden, intents, similarity
+from threadloom.operators import features, golden, intents, metrics, similarity
 from threadloom.plans import training, triage
 from threadloom.sources import standins as st
 from threadloom.streaming import scoring
@@ -83,7 +83,7 @@ def test_triage_keeps_every_message(spark):
         [(1, "login fails", "account_access", 0.9, [1.0, 0.5]), (2, "nothing near", "other", 0.9, [-1.0, -1.0]), (3, "broken", None, None, [1.0, 1.0])],
         "id bigint, text string, intent string, intent_confidence double, vector array<double>",
     )
-    got = {r["id"]: r for r in triage.triage(msgs, docs, 2, method="exact").collect()}
+    got = {r["id"]: r for r in triage.triage(msgs, docs, 2).collect()}
     assert set(got) == {1, 2, 3}
     assert got[1]["decision"] == "AUTO_HANDLE" and got[1]["reply"] == "reply 4"
     assert got[2]["decision_source"] == "insufficient_evidence" and got[2]["n_cases"] == 0
@@ -106,7 +106,33 @@ def test_stream_equals_batch_and_replays_are_harmless(spark, data_dir, tmp_path)
     assert streamed() == sorted(batch)
 
 
-def test_switch_between_exact_and_cells(spark):
+def test_exact_unless_an_index_is_given(spark):
     v = spark.range(30).select("id", F.array(F.cos("id").cast("float"), F.sin("id").cast("float")).alias("vector"))
-    exact = similarity.top_k(v, v, 3, 2, "auto").count()
-    assert exact == 90 and similarity.top_k(v, v, 1, 2, "cells").count() == 30
+    assert similarity.top_k(v, v, 3, 2).count() == 90
+    assert similarity.top_k(v, v, 1, 2, similarity.build_cells(v, 4), probe=2).count() == 30
+
+
+def test_unusable_vectors_escalate(spark):
+    """Null, NaN, null cells and wrong lengths, among messages and among documents."""
+    bad = [None, [float("nan"), 1.0], [None, 1.0], [1.0, 2.0, 3.0], []]
+    docs = spark.createDataFrame(
+        [(i, "login fails", f"reply {i}", [1.0, float(i)]) for i in range(5)] + [(10 + i, "login fails", "never", v) for i, v in enumerate(bad)],
+        "id bigint, text string, reply string, vector array<double>",
+    )
+    msgs = spark.createDataFrame(
+        [(1, "login fails", "account_access", 0.9, [1.0, 0.5])] + [(20 + i, "login fails", "account_access", 0.9, v) for i, v in enumerate(bad)],
+        "id bigint, text string, intent string, intent_confidence double, vector array<double>",
+    )
+    index = similarity.build_cells(docs.filter("id < 10 OR size(vector) = 2"), 2)
+    for kwargs in ({}, {"index": index, "probe": 2}):
+        got = {r["id"]: r for r in triage.triage(msgs, docs, 2, **kwargs).collect()}
+        assert got[1]["reply"] == "reply 4"
+        assert all(got[20 + i]["decision_source"] == "insufficient_evidence" for i in range(len(bad)))
+
+
+def test_missing_outcomes_count_as_wrong(spark):
+    gold = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id bigint, true_intent string")
+    done = spark.createDataFrame([(1, "a", True, 0.5)], "id bigint, intent string, should_escalate boolean, escalation_score double")
+    row = metrics.classification(triage.evaluate_golden(done, gold)).first()
+    assert row["accuracy"] == pytest.approx(1 / 3)
+    assert {r["label"] for r in metrics.per_class(triage.evaluate_golden(done, gold)).collect()} == {"a", "b"}

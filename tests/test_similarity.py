@@ -36,10 +36,10 @@ def brute(data, k, skip_same):
     return out
 
 
-@pytest.mark.parametrize("limit", [similarity.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [similarity.BROADCAST_BYTES, 8000])
 @pytest.mark.parametrize("skip_same", [True, False])
 def test_exact_top_k(table, data, limit, skip_same):
-    got = similarity.exact_top_k(table, table, 4, DIM, skip_same, broadcast_bytes=limit, block_rows=70).collect()
+    got = similarity.exact_top_k(table, table, 4, DIM, skip_same, broadcast_bytes=limit).collect()
     assert {(r["q_id"], r["d_id"], r["rank"]) for r in got} == brute(data, 4, skip_same)
 
 
@@ -53,12 +53,12 @@ def test_floor_drops_low_scores(table):
     assert similarity.exact_top_k(table, table, 5, DIM, floor=0.9).filter("score < 0.9").isEmpty()
 
 
-@pytest.mark.parametrize("limit", [similarity.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [similarity.BROADCAST_BYTES, 8000])
 def test_cell_search(spark, table, data, tmp_path, limit):
-    index = similarity.build_cells(table.withColumn("vector", F.col("vector").cast("array<float>")))
+    index = similarity.build_cells(table.withColumn("vector", F.col("vector").cast("array<float>")), 20)
     index.save(str(tmp_path / "i"))
     index = similarity.CellIndex.load(spark, str(tmp_path / "i"))
-    got = index.search(table.withColumn("vector", F.col("vector").cast("array<float>")), 4, skip_same=False, broadcast_bytes=limit, block_rows=40).collect()
+    got = index.search(table.withColumn("vector", F.col("vector").cast("array<float>")), 4, 10, skip_same=False, broadcast_bytes=limit).collect()
     ranks = Counter(r["q_id"] for r in got)
     assert set(ranks.values()) == {4}
     scores = {(r["q_id"], r["d_id"]): r["score"] for r in got}

@@ -22,19 +22,24 @@ SELECT tweet_id, decision_source <> 'policy_and_confidence_gate' AS should_escal
   CASE WHEN decision_source = 'sensitive_content' THEN 'Sensitive keywords detected: ' || found
        WHEN decision_source = 'explicit_human_request' THEN {s.q(rules.HUMAN_REASON)}
        WHEN decision_source = 'llm_recommendation' THEN {s.q(rules.GENERATOR_REASON)}
-       WHEN decision_source = 'insufficient_evidence' AND no_case THEN {s.q(rules.NO_CASES_REASON)} END AS reason
+       WHEN decision_source = 'insufficient_evidence' AND no_case THEN {s.q(rules.NO_CASES_REASON)}
+       WHEN decision_source = 'insufficient_evidence' THEN format('Low retrieval quality (best similarity: {{:.2f}} < @quality)', best_score)
+       WHEN decision_source = 'low_intent_confidence' THEN format('Low intent confidence ({{:.2f}} < threshold @confidence)', coalesce(intent_confidence, 0)::DOUBLE) END AS reason
 FROM decided"""
 
 
+def _decision_sql(confidence: float = 0.4, quality: float = 0.3) -> str:
+    return _DECISION_SQL.replace("@confidence", str(confidence)).replace("@quality", str(quality))
+
+
 def _decision_columns(df):
-    """Signals side by side; reasons quoting a number are left to the unit tests."""
+    """Signals side by side."""
     sig = F.col("signals")
-    quotes_number = F.col("escalation_reason").contains("(")
     return df.select(
         "tweet_id", "should_escalate", "decision", "decision_source", "escalation_score", "escalation_threshold",
         sig["explicit_human_request"].alias("asked"), sig["sensitive_content"].alias("sensitive"),
         sig["low_intent_confidence"].alias("unsure"), sig["low_retrieval_quality"].alias("weak"),
-        sig["llm_recommendation"].alias("advised"), F.when(~quotes_number, F.col("escalation_reason")).alias("reason"),
+        sig["llm_recommendation"].alias("advised"), F.col("escalation_reason").alias("reason"),
     )
 
 
@@ -42,17 +47,17 @@ def _requests(spark, sf_dir):
     return st.requests(st.tweets(spark, sf_dir))
 
 
-@query("d1_escalation", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests"), body=_DECISION_SQL))
+@query("d1_escalation", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests"), body=_decision_sql()))
 def d1(spark, sf_dir):
     return _decision_columns(decisions.decide(_requests(spark, sf_dir)))
 
 
-@query("d1_escalation_unconfigured", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests", 0.45, 0.35), body=_DECISION_SQL))
+@query("d1_escalation_unconfigured", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests", 0.45, 0.35), body=_decision_sql(0.45, 0.35)))
 def d1_unconfigured(spark, sf_dir):
     return _decision_columns(decisions.decide(_requests(spark, sf_dir), UNCONFIGURED_LIMITS))
 
 
-@query("d4_escalation_without_generator", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests", generator="false"), body=_DECISION_SQL))
+@query("d4_escalation_without_generator", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests", generator="false"), body=_decision_sql()))
 def d4(spark, sf_dir):
     return _decision_columns(decisions.decide(_requests(spark, sf_dir).drop("generator_escalates")))
 
@@ -61,7 +66,7 @@ _BROKEN = """broken AS (SELECT tweet_id, text, CASE WHEN tweet_id % 3 <> 0 THEN
   CASE WHEN tweet_id % 4 <> 0 THEN best_score END AS best_score, generator_escalates FROM requests)"""
 
 
-@query("d11_failed_stages_escalate", s.with_(s.TWEETS, s.REQUESTS, _BROKEN, s.decided("broken"), body=_DECISION_SQL))
+@query("d11_failed_stages_escalate", s.with_(s.TWEETS, s.REQUESTS, _BROKEN, s.decided("broken"), body=_decision_sql()))
 def d11(spark, sf_dir):
     tid = F.col("tweet_id")
     broken = (
@@ -121,7 +126,7 @@ _TRIAGE = (s.VECTORS, s.reranked(), _DRAFTED, s.decided("drafted", generator="es
 
 def _triaged(spark, sf_dir):
     v = st.vectors(spark, sf_dir)
-    return triage.triage(v.withColumn("intent_confidence", (F.col("id") % 100) / 100.0), v, DIM, method="exact", skip_same=True)
+    return triage.triage(v.withColumn("intent_confidence", (F.col("id") % 100) / 100.0), v, DIM, skip_same=True)
 
 
 @query("d3_triage", s.with_(*_TRIAGE, body=f"""

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS, TermSettings
+from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS
 from ..operators import features, intents, metrics
 from ..plans import preparation, training
 from ..session import scratch_path
 from ..sources import standins as st, tables, tweets as raw
 from ..streaming import scoring
 from . import sql as s
-from .judgements import _DECISION_SQL, _decision_columns
+from .judgements import _decision_columns, _decision_sql
 from .registry import query
 from .similarity import _DISCOVERY, _docs
 from .texts import _naming_sql
@@ -113,14 +113,11 @@ def m9_weights(spark, sf_dir):
 
 # --------------------------------------------------------------------- models
 
-MAX_ITER = 60
-
-
 @query("m4_projection")
 def m4(spark, sf_dir):
     """Share of the squared weight the projection keeps, per document."""
     docs = _docs(spark, sf_dir)
-    model = features.fit_terms(docs, "id", "text", TermSettings(5, 0.8, 1000, True))
+    model = features.fit_terms(docs, "id", "text", DISCOVERY_TERMS)
     rows = model.stage_rows(docs, "id", "text")
     dense = intents.project(rows.sparse(), "id", intents.fit_projection(rows.vectors(), 100), model.size)
     cells = vector_to_array("features")
@@ -128,7 +125,7 @@ def m4(spark, sf_dir):
 
 
 def _discovered(spark, sf_dir):
-    return intents.discover(_docs(spark, sf_dir), "id", "text", k=10, settings=TermSettings(5, 0.8, 1000, True))
+    return intents.discover(_docs(spark, sf_dir), "id", "text", k=10, settings=DISCOVERY_TERMS)
 
 
 @query("m5_clusters")
@@ -151,21 +148,21 @@ def m7(spark, sf_dir):
 
 @query("m9_text_classifier")
 def m9(spark, sf_dir):
-    _, held = intents.train_text_classifier(st.documents(spark, sf_dir), "doc_id", "text", "lang", CLASSIFIER_TERMS, MAX_ITER)
+    _, held = intents.train_text_classifier(st.documents(spark, sf_dir), "doc_id", "text", "lang", CLASSIFIER_TERMS)
     return metrics.classification(held)
 
 
 @query("m9_vector_classifier")
 def m9_vectors(spark, sf_dir):
     emb = st.table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
-    _, held = intents.train_vector_classifier(emb, "vec_id", "embedding", "label", MAX_ITER)
+    _, held = intents.train_vector_classifier(emb, "vec_id", "embedding", "label")
     return metrics.classification(held)
 
 
 @query("m11_predict_intents")
 def m11(spark, sf_dir):
     docs = st.documents(spark, sf_dir)
-    classifier, _ = intents.train_text_classifier(docs, "doc_id", "text", "lang", CLASSIFIER_TERMS, MAX_ITER)
+    classifier, _ = intents.train_text_classifier(docs, "doc_id", "text", "lang", CLASSIFIER_TERMS)
     rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "my account login").otherwise("").alias("context"))
     out = classifier.predict(rows, "doc_id", "text", "context")
     total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
@@ -176,9 +173,7 @@ def m11(spark, sf_dir):
 def d8(spark, sf_dir):
     emb = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     out = training.run(
-        st.strata(spark, sf_dir).select("conversation_id", "customer_message"), scratch_path(spark, "training"), emb,
-        discovery=TermSettings(5, 0.8, 1000, True), max_iter=MAX_ITER,
-    )
+        st.strata(spark, sf_dir).select("conversation_id", "customer_message"), scratch_path(spark, "training"), emb)
     return out.metrics
 
 
@@ -248,7 +243,7 @@ def s9(spark, sf_dir):
 # --------------------------------------------------------------------- streams
 
 
-@query("t1_stream_scoring", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests", generator="false"), body=_DECISION_SQL))
+@query("t1_stream_scoring", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests", generator="false"), body=_decision_sql()))
 def t1(spark, sf_dir):
     """Escalation of arriving messages, joined with known best scores; equals the batch job."""
     conv = st.table(spark, sf_dir, "conversations")

@@ -130,7 +130,7 @@ def a8_accounts(spark, sf_dir):
     return audit.brand_volumes(st.tweets(spark, sf_dir)).agg(F.count("*").alias("accounts"))
 
 
-_SETTINGS = BrandScoreSettings(min_outbound=5, min_inbound=5, sample_openings=20)
+_SETTINGS = BrandScoreSettings(min_outbound=5, min_inbound=5)
 _OPENING = r"array_to_string(regexp_split_to_array(" + s.strip(r"regexp_replace(text, '^@[A-Za-z0-9_]+\s*', '')") + r", '\s+')[1:3], ' ')"
 
 
@@ -142,10 +142,9 @@ touch AS (
   FROM volumes v JOIN named t ON t.author_lower = v.brand OR t.target = v.brand GROUP BY v.brand
 ),
 openings AS (
-  SELECT target AS brand, {_OPENING} AS opening, row_number() OVER (PARTITION BY target ORDER BY md5('42:' || CAST(tweet_id AS VARCHAR)), tweet_id) AS rn
-  FROM named WHERE inbound AND target IS NOT NULL
+  SELECT target AS brand, {_OPENING} AS opening FROM named WHERE inbound AND target IS NOT NULL
 ),
-diversity AS (SELECT brand, count(DISTINCT opening)::DOUBLE / count(*) AS d FROM openings WHERE rn <= 20 GROUP BY brand),
+diversity AS (SELECT brand, count(DISTINCT opening)::DOUBLE / count(*) AS d FROM openings GROUP BY brand),
 parts AS (
   SELECT v.brand, v.outbound AS o, v.inbound AS i, t.answered::DOUBLE / v.inbound AS completeness, t.with_parent::DOUBLE / t.n_all AS parents, d.d,
     v.inbound::DOUBLE / v.outbound AS ratio

@@ -38,7 +38,7 @@ class RetrievalSettings:
 class BrandScoreSettings:
     min_outbound: int = 500
     min_inbound: int = 100
-    sample_openings: int = 2000
+    sample_openings: int | None = None  # all
 
 
 @dataclass(frozen=True)

@@ -115,13 +115,17 @@ def top_brands(df: DataFrame, n: int = 30) -> DataFrame:
     return brand_volumes(df).orderBy(F.desc("total"), "brand").limit(n)
 
 
-def opening_diversity(df: DataFrame, sample: int) -> DataFrame:
-    """Share of distinct openings among at most `sample` inbound messages per brand."""
+def opening_diversity(df: DataFrame, sample: int | None = None) -> DataFrame:
+    """Share of distinct openings among the inbound messages of each brand.
+
+    All are counted, combined before the shuffle; `sample` takes that many per
+    brand in hash order instead.
+    """
     inbound = df.filter("inbound").select(
         tx.extract_mention(F.col("text"), strip_first=False).alias("brand"), "tweet_id",
         tx.opening_words(F.col("text")).alias("opening"),
     ).filter(F.col("brand").isNotNull())
-    picked = top_per_group(
+    picked = inbound if sample is None else top_per_group(
         inbound, ["brand"], [hash_order(F.col("tweet_id")), F.col("tweet_id")], sample, salt=F.col("tweet_id")
     )
     openings = picked.groupBy("brand", "opening").agg(F.count("*").alias("n"))

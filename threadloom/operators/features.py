@@ -145,7 +145,8 @@ class TermModel:
     def save(self, spark: SparkSession, path: str) -> None:
         meta = F.struct(F.lit(self.n_docs).cast("bigint").alias("n_docs"), F.lit(self.settings.min_df).alias("min_df"),
                         F.lit(self.settings.max_df).alias("max_df"), F.lit(self.settings.max_features).alias("max_features"),
-                        F.lit(self.settings.sublinear).alias("sublinear"))
+                        F.lit(self.settings.sublinear).alias("sublinear"),
+                        (F.lit(None) if self.stop_words is None else F.array(*[F.lit(w) for w in self.stop_words])).cast("array<string>").alias("stop_words"))
         self.as_frame(spark).withColumn("meta", meta).coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
@@ -153,7 +154,7 @@ class TermModel:
         rows = spark.read.parquet(path).orderBy("index").toPandas()
         m = rows["meta"].iloc[0]
         settings = TermSettings(m["min_df"], m["max_df"], m["max_features"], m["sublinear"])
-        return cls(rows[["term", "df", "cf"]], int(m["n_docs"]), settings)
+        return cls(rows[["term", "df", "cf"]], int(m["n_docs"]), settings, None if m["stop_words"] is None else list(m["stop_words"]))
 
 
 def fit_terms(

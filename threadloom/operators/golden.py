@@ -129,7 +129,7 @@ def unknown_updates(golden: DataFrame, updates: DataFrame) -> DataFrame:
     return updates.select("conversation_id").distinct().join(golden.select("conversation_id"), "conversation_id", "left_anti")
 
 
-def apply_updates(golden: DataFrame, updates: DataFrame, order_col: str | None = None, strict: bool = True) -> DataFrame:
+def apply_updates(golden: DataFrame, updates: DataFrame, order_col: str, strict: bool = True) -> DataFrame:
     """Golden rows with human fields set by the last update of each id.
 
     The last update wins by `order_col`. With `strict` an id that is not in the
@@ -138,8 +138,7 @@ def apply_updates(golden: DataFrame, updates: DataFrame, order_col: str | None =
     fields = ["human_intent", "human_escalation", "human_reason", "reviewer_notes"]
     if strict and not unknown_updates(golden, updates).isEmpty():
         raise KeyError("an update names a conversation that is not in the golden set")
-    order = F.col(order_col) if order_col else F.lit(0)
-    last = updates.groupBy("conversation_id").agg(F.max_by(F.struct(*fields), order).alias("__u"))
+    last = updates.groupBy("conversation_id").agg(F.max_by(F.struct(*fields), F.col(order_col)).alias("__u"))
     out = golden.join(last, "conversation_id", "left")
     given = F.col("__u").isNotNull()
     for f in fields:

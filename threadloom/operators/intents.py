@@ -119,7 +119,8 @@ def intent_distribution(labelled: DataFrame, column: str = "intent") -> DataFram
 
 def name_members(members: DataFrame, names: DataFrame) -> DataFrame:
     """Intent name of every member; clusters without a name get the default."""
-    return members.join(names.select("cluster_id", F.col("name").alias("intent")), "cluster_id", "left").withColumn(
+    small = F.broadcast(names.select("cluster_id", F.col("name").alias("intent")))  # one row per cluster
+    return members.join(small, "cluster_id", "left").withColumn(
         "intent", F.coalesce("intent", F.lit(rules.DEFAULT_INTENT))
     )
 
@@ -154,7 +155,7 @@ def discover(
     clean = staged(clean.filter(F.length("clean") > 10), "clean")
     terms = fit_terms(clean, id_col, "clean", settings)
     rows = terms.stage_rows(clean, id_col, "clean")
-    basis = fit_projection(rows.vectors(), components, seed) if terms.size > components else None
+    basis = fit_projection(rows.vectors(), min(components, terms.size), seed)
     dense = staged(project(rows.sparse(), id_col, basis, terms.size), "projected")
     model = KMeans(k=k, seed=seed, featuresCol="features").fit(dense)
     members = model.transform(dense).select(id_col, F.col("prediction").alias("cluster_id"))
@@ -192,8 +193,8 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 
 def encode_labels(df: DataFrame, label_col: str) -> DataFrame:
     """(label, code): labels numbered in alphabetical order."""
-    model = StringIndexer(inputCol=label_col, outputCol="code", stringOrderType="alphabetAsc").fit(df)
-    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(model.labels)], "label string, code bigint")
+    labels = df.select(F.col(label_col).alias("label")).filter(F.col("label").isNotNull()).distinct()  # one row per class
+    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("code"))
 
 
 @dataclass
@@ -255,7 +256,7 @@ def fit_regression(train: DataFrame, label_col: str, max_iter: int = 1000) -> tu
     Balanced weights sum to n, so the mean loss needs a penalty of 1/n.
     """
     indexer = StringIndexer(inputCol=label_col, outputCol="code", stringOrderType="alphabetAsc").fit(train)
-    weighted = indexer.transform(train).join(class_weights(train, label_col), label_col).cache()
+    weighted = indexer.transform(train).join(F.broadcast(class_weights(train, label_col)), label_col).cache()
     try:
         n = weighted.count()
         model = LogisticRegression(

@@ -14,8 +14,8 @@ from ..functions.parsing import extract_score, judge_overall, parse_judge
 
 
 def pair_by_key(truth: DataFrame, predicted: DataFrame, key: str = "item_id") -> DataFrame:
-    """Truth next to prediction, by key and not by position."""
-    return truth.join(predicted, key)
+    """Truth next to prediction, by key and not by position; a missing prediction is null and counts as wrong."""
+    return truth.join(predicted, key, "left")
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -28,9 +28,13 @@ def confusion_counts(df: DataFrame) -> DataFrame:
 
 
 def per_class(df: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of every label in truth or prediction."""
-    sides = confusion_counts(df).select("n", "truth", "prediction", F.explode(F.array_distinct(F.array("truth", "prediction"))).alias("label"))
-    is_true, is_pred = F.col("truth") == F.col("label"), F.col("prediction") == F.col("label")
+    """Precision, recall, F1 and support of every label in truth or prediction.
+
+    A missing prediction lowers the recall of its truth and is no label.
+    """
+    labels = F.array_compact(F.array_distinct(F.array("truth", "prediction")))
+    sides = confusion_counts(df).select("n", "truth", "prediction", F.explode(labels).alias("label"))
+    is_true, is_pred = F.col("truth") == F.col("label"), F.col("prediction").eqNullSafe(F.col("label"))
     counts = sides.groupBy("label").agg(
         F.sum(F.when(is_true & is_pred, F.col("n")).otherwise(0)).alias("tp"),
         F.sum(F.when(is_pred, F.col("n")).otherwise(0)).alias("predicted"),
@@ -159,23 +163,38 @@ def agreement(scores: DataFrame, min_pairs: int = 3) -> DataFrame:
     ).filter(F.col("n_samples") >= min_pairs)
 
 
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d, f, m = 1.0, 0.0, 1.0, 0
+    while True:
+        if m == 0:
+            step = 1.0
+        elif m % 2 == 0:
+            k = m // 2
+            step = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+        else:
+            k = (m - 1) // 2
+            step = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        d = 1 / (1 + step * d or tiny)
+        c = 1 + step / c or tiny
+        f *= c * d
+        if m and abs(1 - c * d) < 1e-15:
+            return front * (f - 1)
+        m += 1
+
+
 def two_sided_p(r: float, n: int) -> float:
     """p-value of a correlation r over n pairs, from Student's t with n - 2 degrees of freedom."""
     if r is None or n < 3 or math.isnan(r):
         return math.nan
-    if abs(r) >= 1:
-        return 0.0
-    df = n - 2
-    t2 = r * r * df / (1 - r * r)
-    if df > 5000:
-        return math.erfc(math.sqrt(t2 / 2))
-    # tail as an integral of sin^(df-1) over the angle with sin^2 = df / (df + t^2)
-    top = math.asin(math.sqrt(df / (df + t2)))
-    nodes, weights = np.polynomial.legendre.leggauss(400)
-    angle = 0.5 * top * (nodes + 1)
-    log_beta = math.lgamma(df / 2) + math.lgamma(0.5) - math.lgamma((df + 1) / 2)
-    integral = 0.5 * top * float(np.sum(weights * np.sin(angle) ** (df - 1)))
-    return min(1.0, 2 * integral / math.exp(log_beta))
+    # t^2 = r^2 df / (1 - r^2), so df / (df + t^2) is 1 - r^2
+    return incomplete_beta((n - 2) / 2, 0.5, max(0.0, 1 - r * r))
 
 
 def with_p_value(agreed: DataFrame) -> DataFrame:

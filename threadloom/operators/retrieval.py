@@ -13,10 +13,13 @@ from ..functions.vectors import normalise
 
 
 def build_documents(conversations: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Retrieval table: five document fields and the vector, missing text as ''."""
+    """Retrieval table: five document fields and the vector, missing text as ''.
+
+    A conversation without a vector keeps its row; searches pass it over.
+    """
     fields = ["customer_message", "historical_support_response", "conversation_context", "brand"]
     have = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in conversations.columns else F.lit("").alias(c) for c in fields]
-    return conversations.select("conversation_id", *have).join(vectors, "conversation_id")
+    return conversations.select("conversation_id", *have).join(vectors, "conversation_id", "left")
 
 
 def embed(df: DataFrame, text_col: str, encode, out: str = "vector") -> DataFrame:

@@ -2,8 +2,8 @@
 
 No row pair is ever written out: matrix blocks are multiplied inside Arrow
 batches and each task emits only the best k documents per query it saw. Queries
-are sent to the documents when they were measured to be small; otherwise both
-sides are cut into blocks of bounded size laid out on a grid.
+are sent to the documents, in chunks of measured size, and documents stay where
+they are.
 
 Scores are rounded to nine decimals so that ties break by document id and not by
 the order floating-point sums happened to run in.
@@ -11,9 +11,9 @@ the order floating-point sums happened to run in.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import BROADCAST_BYTES, SEED
 from ..functions.vectors import norm, normalise
+from ..session import staged
 
 HIT = "q_id bigint, d_id bigint, score double"
 DECIMALS = 9
@@ -34,8 +35,9 @@ def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
     if "vector" in pdf.columns:
         return np.array(pdf["vector"].tolist(), dtype=np.float64).reshape(len(pdf), dim)
     out = np.zeros((len(pdf), dim))
-    for i, (idx, val) in enumerate(zip(pdf["indices"], pdf["values"])):
-        out[i, idx] = val
+    if len(pdf):
+        rows = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["indices"]])
+        out[rows, np.concatenate(pdf["indices"].tolist()).astype(np.int64)] = np.concatenate(pdf["values"].tolist())
     return out
 
 
@@ -66,17 +68,24 @@ def _block_top_k(q_ids, qm, d_ids, dm, k: int, skip_same: bool, floor: float | N
 
 
 class _Best:
-    """Running best k per query over many blocks."""
+    """Running best k per query over many blocks, kept by slice of queries.
+
+    A block touches the list of its own slice only.
+    """
 
     def __init__(self, k: int):
         self.k = k
-        self.parts = [np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([])]
+        self.parts: dict = {}
 
-    def add(self, part) -> None:
-        self.parts = list(_trim(*[np.concatenate(p) for p in zip(self.parts, part)], self.k))
+    def add(self, slot, part) -> None:
+        old = self.parts.get(slot)
+        self.parts[slot] = part if old is None else _trim(*[np.concatenate(p) for p in zip(old, part)], self.k)
 
     def frame(self) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("q_id", "d_id", "score"), self.parts)))
+        none = (np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([]))
+        columns = [np.concatenate(p) for p in zip(none, *self.parts.values())]
+        # a query met in several slots still gets its k best alone
+        return pd.DataFrame(dict(zip(("q_id", "d_id", "score"), _trim(*columns, self.k))))
 
 
 def _slices(n: int, size: int) -> Iterator[slice]:
@@ -97,13 +106,20 @@ def _columns(df: DataFrame) -> list[str]:
     return ["id", "vector"] if "vector" in df.columns else ["id", "indices", "values"]
 
 
-def _bytes(df: DataFrame, dim: int) -> tuple[int, int]:
-    """Rows and bytes of a vector table, counted without moving it."""
+def _usable(df: DataFrame, dim: int) -> DataFrame:
+    """Rows whose vector can be compared; sparse rows come from the library itself."""
+    if "vector" not in df.columns:
+        return df
+    v = F.col("vector")
+    return df.filter(v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+
+
+def _bytes(df: DataFrame, dim: int) -> int:
+    """Bytes of a vector table, counted without moving it."""
     if "vector" in df.columns:
-        n = df.count()
-        return n, n * (dim * 8 + 8)
+        return df.count() * (dim * 8 + 8)
     n, cells = df.agg(F.count("*"), F.coalesce(F.sum(F.size("indices")), F.lit(0))).first()
-    return n, cells * 12 + n * 8
+    return cells * 12 + n * 8
 
 
 def exact_top_k(
@@ -114,25 +130,24 @@ def exact_top_k(
     skip_same: bool = False,
     floor: float | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = 8192,
 ) -> DataFrame:
     """Exact top k documents per query: (q_id, d_id, score, rank).
 
     Both tables have `id` and either `vector` or sparse `indices`/`values`.
     `skip_same` leaves out a document with the query's own id, `floor` drops
-    scores below it. Up to `broadcast_bytes` of queries are broadcast and the
-    documents stay where they are; beyond that both sides are blocked.
+    scores below it. Documents stay where they are; queries are sent to them,
+    beyond `broadcast_bytes` in several chunks. Rows without a usable vector
+    (null, wrong length, null or NaN cells) take no part on either side.
     """
     # renamed copies: both sides may be the same table
     queries = queries.select(*_columns(queries)).toDF(*_columns(queries))
     corpus = corpus.select(*_columns(corpus)).toDF(*_columns(corpus))
-    n_q, size = _bytes(queries, dim)
+    queries, corpus = _usable(queries, dim), _usable(corpus, dim)
+    size = _bytes(queries, dim)
     if size <= broadcast_bytes:
         hits = _send_queries(queries, corpus, k, dim, skip_same, floor)
     else:
-        n_d = corpus.count()
-        q_blocks, d_blocks = (max(1, math.ceil(n / block_rows)) for n in (n_q, n_d))
-        hits = _grid(queries, corpus, k, dim, skip_same, floor, q_blocks, d_blocks)
+        hits = _in_chunks(queries, size, broadcast_bytes, lambda part: _send_queries(part, corpus, k, dim, skip_same, floor))
     return rank_hits(hits, k)
 
 
@@ -149,53 +164,37 @@ def _send_queries(queries, corpus, k, dim, skip_same, floor) -> DataFrame:
             for d in _slices(len(batch), step):
                 dm = _matrix(batch.iloc[d], dim)
                 for s in _slices(len(q), step):
-                    best.add(_block_top_k(q_ids[s], _matrix(q.iloc[s], dim), ids[d], dm, k, skip_same, floor))
+                    best.add(s.start, _block_top_k(q_ids[s], _matrix(q.iloc[s], dim), ids[d], dm, k, skip_same, floor))
         yield best.frame()
 
     return corpus.mapInPandas(search, HIT)
 
 
-def _grid(queries, corpus, k, dim, skip_same, floor, q_blocks, d_blocks) -> DataFrame:
-    """Every (query block, document block) cell is one bounded group."""
-    def block(n):
-        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-
-    def across(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    q = queries.withColumn("qb", block(q_blocks)).withColumn("db", across(d_blocks))
-    d = corpus.withColumn("db", block(d_blocks)).withColumn("qb", across(q_blocks))
-    step = _block_rows(dim)
-
-    def search(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(k)
-        q_ids, d_ids = qs["id"].to_numpy(np.int64), ds["id"].to_numpy(np.int64)
-        for di in _slices(len(ds), step):
-            dm = _matrix(ds.iloc[di], dim)
-            for qi in _slices(len(qs), step):
-                best.add(_block_top_k(q_ids[qi], _matrix(qs.iloc[qi], dim), d_ids[di], dm, k, skip_same, floor))
-        return best.frame()
+def _in_chunks(queries: DataFrame, size: int, limit: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`search` over chunks of queries of about `limit` bytes each, one after another.
 
-    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(search, HIT)
+    Documents are read once per chunk and never moved; the hits of a chunk are
+    written to the scratch folder before the next one is sent.
+    """
+    n = max(1, -(-size // max(limit, 1)))
+    parts = [staged(search(queries.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == c)), "hits") for c in range(n)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass
 class CellIndex:
     """Documents assigned to cells by inner product with unit centroids.
 
-    There are at most 100 centroids, so they and the per-cell counts stay small.
+    Their number was chosen by the caller; centroids are held by the driver.
     """
 
     centroids: np.ndarray
     documents: DataFrame  # id, vector, cell
 
-    @property
-    def probe(self) -> int:
-        return min(10, len(self.centroids))
-
     def save(self, path: str) -> None:
+        """Documents laid out by cell, each cell in a few files, so a search reads the cells it probes."""
         spark = self.documents.sparkSession
-        self.documents.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/documents")
+        self.documents.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/documents")
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
         spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
@@ -204,95 +203,71 @@ class CellIndex:
         rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
         return cls(np.array([r["centroid"] for r in rows]), spark.read.parquet(f"{path}/documents"))
 
-    def search(self, queries: DataFrame, k: int, skip_same: bool = False,
-               broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 8192) -> DataFrame:
-        """Approximate top k: exact scores inside the cells nearest to each query."""
-        dim, probe, centroids = self.centroids.shape[1], self.probe, self.centroids
-        n_q, size = _bytes(queries, dim)
-        queries = queries.select("id", "vector")
-        step = _block_rows(dim)
-
-        def nearest(m: np.ndarray) -> np.ndarray:
-            return np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :probe]
+    def search(self, queries: DataFrame, k: int, probe: int, skip_same: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        """Approximate top k: exact scores inside the `probe` cells nearest to each query.
 
+        With as many cells probed as there are, the search is exact. Cells that no
+        query probes are not read.
+        """
+        dim = self.centroids.shape[1]
+        queries = _usable(queries.select("id", "vector"), dim)
+        size = _bytes(queries, dim)
         if size <= broadcast_bytes:
-            sent = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
-
-            def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                q = sent.value
-                qm, q_ids = _matrix(q, dim), q["id"].to_numpy(np.int64)
-                cells = nearest(qm) if len(q) else np.empty((0, probe), dtype=int)
-                best = _Best(k)
-                for batch in batches:
-                    for cell, part in batch.groupby("cell"):
-                        wanted = (cells == cell).any(axis=1)
-                        dm, ids = _matrix(part, dim), part["id"].to_numpy(np.int64)
-                        for s in _slices(int(wanted.sum()), step):
-                            best.add(_block_top_k(q_ids[wanted][s], qm[wanted][s], ids, dm, k, skip_same, None))
-                yield best.frame()
-
-            return rank_hits(self.documents.mapInPandas(scan, HIT), k)
-
-        # large query sets: one group per (cell, slice of the cell, slice of its queries)
-        counts = {r["cell"]: r["count"] for r in self.documents.groupBy("cell").count().collect()}  # <= 100 rows
-        slices = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, math.ceil(n / block_rows)))])
-        q_slices = max(1, math.ceil(n_q * probe / len(centroids) / block_rows))
-
-        def probe_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b.assign(cell=[list(map(int, c)) for c in nearest(_matrix(b, dim))]) if len(b) else b.assign(cell=[])
-
-        def piece(n):
-            return F.pmod(F.xxhash64("id"), n).cast("int")
-
-        q = (
-            queries.mapInPandas(probe_cells, "id bigint, vector array<float>, cell array<int>")
-            .withColumn("cell", F.explode("cell")).filter(slices[F.col("cell")].isNotNull())
-            .withColumn("qs", piece(F.lit(q_slices)))
-            .withColumn("ds", F.explode(F.sequence(F.lit(0), slices[F.col("cell")] - 1)))
-        )
-        d = self.documents.withColumn("ds", piece(slices[F.col("cell")])).withColumn(
-            "qs", F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1)))
-        )
-
-        def match(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-            best = _Best(k)
-            if len(qs) and len(ds):
-                dm, d_ids = _matrix(ds, dim), ds["id"].to_numpy(np.int64)
-                for s in _slices(len(qs), step):
-                    part = qs.iloc[s]
-                    best.add(_block_top_k(part["id"].to_numpy(np.int64), _matrix(part, dim), d_ids, dm, k, skip_same, None))
-            return best.frame()
+            return rank_hits(self._scan(queries, k, probe, skip_same), k)
+        return rank_hits(_in_chunks(queries, size, broadcast_bytes, lambda part: self._scan(part, k, probe, skip_same)), k)
 
-        keys = ("cell", "qs", "ds")
-        return rank_hits(q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(match, HIT), k)
-
-
-def build_cells(corpus: DataFrame, n_docs: int | None = None, seed: int = SEED, max_iter: int = 10) -> CellIndex:
-    """Cells by k-means over unit vectors: min(sqrt(n), 100) of them.
+    def _scan(self, queries: DataFrame, k: int, probe: int, skip_same: bool) -> DataFrame:
+        dim = self.centroids.shape[1]
+        step = _block_rows(dim)
+        q = queries.toPandas()  # size was checked by the caller
+        qm, q_ids = _matrix(q, dim), q["id"].to_numpy(np.int64)
+        near = np.argsort(-(qm @ self.centroids.T), axis=1, kind="stable")[:, :probe]
+        sent = queries.sparkSession.sparkContext.broadcast((qm, q_ids, near))
 
-    Zero vectors have no direction to learn from; they are assigned like all others.
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qm, q_ids, near = sent.value
+            best = _Best(k)
+            for batch in batches:
+                for cell, part in batch.groupby("cell"):
+                    wanted = np.flatnonzero((near == cell).any(axis=1))
+                    ids = part["id"].to_numpy(np.int64)
+                    for d in _slices(len(part), step):
+                        dm = _matrix(part.iloc[d], dim)
+                        for s in _slices(len(wanted), step):
+                            rows = wanted[s]
+                            best.add((cell, s.start), _block_top_k(q_ids[rows], qm[rows], ids[d], dm, k, skip_same, None))
+            yield best.frame()
+
+        probed = [int(c) for c in np.unique(near)]
+        return self.documents.filter(F.col("cell").isin(probed)).mapInPandas(scan, HIT)
+
+
+def build_cells(corpus: DataFrame, cells: int, seed: int = SEED, max_iter: int = 10) -> CellIndex:
+    """Index with `cells` cells by k-means over unit vectors.
+
+    Zero vectors have no direction to learn from; they are assigned like all
+    others. Rows without a vector, or with null or NaN cells, are left out.
     """
-    n = corpus.count() if n_docs is None else n_docs
-    k = max(2, min(int(math.sqrt(n)), 100))
-    unit = corpus.filter(norm(F.col("vector")) > 0).select(array_to_vector(normalise(F.col("vector"))).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", distanceMeasure="cosine").fit(unit)
+    v = F.col("vector")
+    corpus = corpus.filter(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+    unit = corpus.filter(norm(v) > 0).select(array_to_vector(normalise(v)).alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features", distanceMeasure="cosine").fit(unit)
     centroids = np.array(model.clusterCenters())
     centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
     dim = centroids.shape[1]
+    kind = corpus.schema["vector"].dataType.simpleString()
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             cell = np.argmax(_matrix(b, dim) @ centroids.T, axis=1) if len(b) else np.array([], dtype=int)
             yield b.assign(cell=cell.astype(np.int32))
 
-    documents = corpus.select("id", "vector").mapInPandas(assign, "id bigint, vector array<float>, cell int")
+    documents = _usable(corpus, dim).select("id", "vector").mapInPandas(assign, f"id bigint, vector {kind}, cell int")
     return CellIndex(centroids, documents)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, method: str = "auto", skip_same: bool = False) -> DataFrame:
-    """Exact search, or cells: `auto` switches to cells above 100,000 documents."""
-    n = corpus.count() if method == "auto" else None
-    if method == "exact" or (n is not None and n < 100_000):
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, index: CellIndex | None = None, probe: int = 10, skip_same: bool = False) -> DataFrame:
+    """Exact search, or a search of `probe` cells when an index is given; never chosen by size."""
+    if index is None:
         return exact_top_k(queries, corpus, k, dim, skip_same)
-    return build_cells(corpus, n).search(queries, k, skip_same)
+    return index.search(queries, k, probe, skip_same)

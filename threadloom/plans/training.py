@@ -32,7 +32,7 @@ class Trained:
 def run(
     conversations: DataFrame, out_dir: str, vectors: DataFrame | None = None, target: int = 200, seed: int = SEED, k: int = 10,
     discovery: TermSettings = DISCOVERY_TERMS, classification: TermSettings = CLASSIFIER_TERMS,
-    baseline: TermSettings = BASELINE_TERMS, max_iter: int = 1000,
+    baseline: TermSettings = BASELINE_TERMS, max_iter: int = 1000, cells: int = 100,
 ) -> Trained:
     """`conversations` has a numeric or text conversation_id and customer_message."""
     spark = conversations.sparkSession
@@ -54,7 +54,7 @@ def run(
     scores = stage(metrics.classification(held), "metrics")
     index = None
     if vectors is not None:
-        index = similarity.build_cells(vectors, seed=seed)
+        index = similarity.build_cells(vectors, cells, seed)
         index.save(f"{out_dir}/index")
         index = similarity.CellIndex.load(spark, f"{out_dir}/index")
     base = fit_terms(

@@ -17,15 +17,17 @@ def triage(
     classifier: IntentClassifier | None = None,
     settings: RetrievalSettings = RetrievalSettings(),
     limits: EscalationLimits = EscalationLimits(),
-    method: str = "auto",
+    index: similarity.CellIndex | None = None,
+    probe: int = 10,
     skip_same: bool = False,
 ) -> DataFrame:
     """One row per message: intent, best cases, reply and decision.
 
     `messages` has id, text, vector and optionally context, draft and retry_draft;
     intent and intent_confidence come from the classifier unless they are columns
-    already. `documents` has id, text, reply and vector. A message without intent
-    or past cases is escalated, never dropped.
+    already. `documents` has id, text, reply and vector. Cases are searched exactly,
+    or in `probe` cells of an `index` over the same documents. A message without
+    intent, usable vector or past cases is escalated, never dropped.
     """
     if classifier is not None:
         context = "context" if "context" in messages.columns else None
@@ -33,7 +35,8 @@ def triage(
             "id", "intent", F.col("confidence").alias("intent_confidence")
         )
         messages = messages.drop("intent", "intent_confidence").join(predicted, "id", "left")
-    pool = similarity.top_k(messages, documents, settings.pool, dim, method, skip_same)
+    messages = staged(messages, "messages")  # used by search, drafts and decision: classified once
+    pool = similarity.top_k(messages, documents, settings.pool, dim, index, probe, skip_same)
     # at most top_k rows per message, used three times below: searched once
     hits = staged(retrieval.rerank(pool, messages, documents, settings), "hits")
     replies = decisions.draft_replies(messages, hits, documents, settings).select(
@@ -46,8 +49,11 @@ def triage(
 
 
 def evaluate_golden(triaged: DataFrame, golden: DataFrame) -> DataFrame:
-    """Truth next to the triage outcome: (item_id, truth, prediction, should_escalate, escalation_score)."""
-    return golden.join(triaged, "id").select(
+    """Truth next to the triage outcome: (item_id, truth, prediction, should_escalate, escalation_score).
+
+    A golden item without an outcome keeps a null prediction, which counts as wrong.
+    """
+    return golden.join(triaged, "id", "left").select(
         F.col("id").alias("item_id"), F.col("true_intent").alias("truth"), F.col("intent").alias("prediction"),
         "should_escalate", "escalation_score",
     )
