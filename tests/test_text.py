@@ -12,16 +12,26 @@ def value(spark, expr, **cols):
 @pytest.mark.parametrize("text,want", [
     ("@brand hello world", "hello world"), ("@brand check https://example.com", "check [URL]"), (None, ""),
     ("  @Brand \n two\t lines \n", "two lines"), ("mid @brand stays", "mid @brand stays"),
+    ("@Café help me please\u00a0", "help me please"), ("\u2003@Ünal\u00a0 hi\x1cthere https://a.b/c\u00a0x", "hi there [URL] x"),
 ])
 def test_clean_text(spark, text, want):
     assert value(spark, tx.clean_text(F.col("t")), t=text) == want
 
 
-@pytest.mark.parametrize("text,want", [("@acme help me", "acme"), ("hello world", None), (None, None), (" @X y", "x")])
+@pytest.mark.parametrize("text,want", [("@acme help me", "acme"), ("hello world", None), (None, None), (" @X y", "x"), ("@Café help", "café"), ("\u00a0@日本_1 x", "日本_1")])
 def test_extract_mention(spark, text, want):
     assert value(spark, tx.extract_mention(F.col("t")), t=text) == want
 
 
+def test_words_are_parted_by_every_blank(spark):
+    assert value(spark, tx.word_count(F.col("t")), t=" a\u00a0b\u2003c\x1fd ") == 4
+    assert value(spark, tx.opening_words(F.col("t")), t="@Café un\u00a0deux trois quatre") == "un deux trois"
+
+
+def test_blanks_kept_variant_is_ascii(spark):
+    assert value(spark, tx.clean_text(F.col("t"), collapse=False), t="@Café  x") == "é  x"
+
+
 def test_mention_without_strip(spark):
     assert value(spark, tx.extract_mention(F.col("t"), strip_first=False), t=" @x y") is None
 

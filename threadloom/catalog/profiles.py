@@ -131,7 +131,7 @@ def a8_accounts(spark, sf_dir):
 
 
 _SETTINGS = BrandScoreSettings(min_outbound=5, min_inbound=5)
-_OPENING = r"array_to_string(regexp_split_to_array(" + s.strip(r"regexp_replace(text, '^@[A-Za-z0-9_]+\s*', '')") + r", '\s+')[1:3], ' ')"
+_OPENING = r"array_to_string(regexp_split_to_array(" + s.strip(f"regexp_replace(text, '^@{s.NAME}{s.SPACE}*', '')") + f", '{s.SPACE}+')[1:3], ' ')"
 
 
 @query("a9_brand_scores", s.with_(s.TWEETS, _VOLUMES, f"""

@@ -45,13 +45,13 @@ _DISCOVERY = s.tfidf("g", "documents", "doc_id", "text", 5, 0.8, 5_000, True)
 @query("m2_vocabulary", s.with_(_FIT, body="SELECT term, df, cf FROM b_vocab"))
 def m2(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return features.vocabulary(features.term_counts(docs, "id", "text"), docs.count(), BASELINE_TERMS)
+    return features.vocabulary(features.term_frequencies(docs, "text"), docs.count(), BASELINE_TERMS)
 
 
 @query("m2_discovery_vocabulary", s.with_(_DISCOVERY, body="SELECT term, df, cf FROM g_vocab"))
 def m2_discovery(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return features.vocabulary(features.term_counts(docs, "id", "text"), docs.count(), DISCOVERY_TERMS)
+    return features.vocabulary(features.term_frequencies(docs, "text"), docs.count(), DISCOVERY_TERMS)
 
 
 def _long(rows, model):
@@ -156,7 +156,7 @@ def j11_grid(spark, sf_dir):
     return similarity.exact_top_k(v, v, 15, DIM, skip_same=True, broadcast_bytes=100_000)
 
 
-CELLS, PROBE = 24, 12
+CELLS, PROBE = 24, 16
 
 
 @query("m14_cell_search")

@@ -13,18 +13,22 @@ def with_(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body.strip()
 
 
+SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\p{Z}]"  # what counts as white space, spelled for this dialect
+NAME = r"[\p{L}\p{N}_]+"
+
+
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def mention(x: str) -> str:
-    return rf"lower(nullif(regexp_extract({x}, '^@([A-Za-z0-9_]+)', 1), ''))"
+    return f"lower(nullif(regexp_extract({x}, '^@({NAME})', 1), ''))"
 
 
 def clean(x: str) -> str:
-    t = rf"regexp_replace({strip(x)}, '^@[A-Za-z0-9_]+\s*', '')"
-    t = rf"regexp_replace({t}, 'https?://\S+', '[URL]', 'g')"
-    t = strip(rf"regexp_replace({t}, '\s+', ' ', 'g')")
+    t = f"regexp_replace({strip(x)}, '^@{NAME}{SPACE}*', '')"
+    t = f"regexp_replace({t}, 'https?://[^{SPACE[1:]}+', '[URL]', 'g')"
+    t = strip(f"regexp_replace({t}, '{SPACE}+', ' ', 'g')")
     return f"coalesce({t}, '')"
 
 
@@ -34,7 +38,8 @@ def clean_keep_space(x: str) -> str:
 
 
 def n_words(x: str) -> str:
-    return rf"CASE WHEN {x} IS NULL THEN NULL WHEN {strip(x)} = '' THEN 0 ELSE len(regexp_split_to_array({strip(x)}, '\s+')) END"
+    pieces = f"len(regexp_split_to_array({strip(x)}, '{SPACE}+'))"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {strip(x)} = '' THEN 0 ELSE {pieces} END"
 
 
 def any_of(x: str, words: list[str]) -> str:

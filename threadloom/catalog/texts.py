@@ -38,7 +38,7 @@ def _clustering_sql(x: str) -> str:
 
 
 _tweets("p5_clean_for_clustering", f"{_clustering_sql('text')} AS clean", lambda: tx.clean_for_clustering(T()).alias("clean"))
-_OPENING = r"regexp_split_to_array(" + s.strip(r"regexp_replace(text, '^@[A-Za-z0-9_]+\s*', '')") + r", '\s+')"
+_OPENING = r"regexp_split_to_array(" + s.strip(f"regexp_replace(text, '^@{s.NAME}{s.SPACE}*', '')") + f", '{s.SPACE}+')"
 _tweets("p6_opening_words", f"array_to_string({_OPENING}[1:3], ' ') AS opening", lambda: tx.opening_words(T()).alias("opening"))
 _tweets(
     "p7_conversation_id",

@@ -5,8 +5,10 @@ is in the sibling modules.
 """
 
 # --- fixed values: handles and links -------------------------------------
-HANDLE = r"@[A-Za-z0-9_]+"
-URL = r"https?://\S+"
+HANDLE = r"@[\p{L}\p{N}_]+"
+ASCII_HANDLE = r"@[A-Za-z0-9_]+"
+SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+URL = r"https?://[^\t-\r\x1c-\x20\x85\p{Z}]+"
 URL_MARK = "[URL]"
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]{2,}"

@@ -9,7 +9,7 @@ from . import rules
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space (Spark's `trim` handles blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{rules.SPACE}+|{rules.SPACE}+$", "")
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -23,19 +23,21 @@ def contains_any(c: Column, words: list[str]) -> Column:
 def extract_mention(c: Column, strip_first: bool = True) -> Column:
     """Handle the text opens with, lower-cased; null when it opens otherwise."""
     source = strip(c) if strip_first else c
-    return F.lower(F.nullif(F.regexp_extract(source, "^@([A-Za-z0-9_]+)", 1), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(source, rf"^@({rules.WORD})", 1), F.lit("")))
 
 
 def clean_text(c: Column, collapse: bool = True) -> Column:
     """Drop the opening handle, mark links, tidy white space; null gives ''.
 
-    With `collapse=False` the text is not stripped and inner white space stays.
+    With `collapse=False` the text is not stripped and inner white space stays;
+    that variant knows ASCII handles and blanks alone.
     """
-    t = strip(c) if collapse else c
-    t = F.regexp_replace(t, rf"^{rules.HANDLE}\s*", "")
+    if not collapse:
+        t = F.regexp_replace(F.regexp_replace(c, rf"^{rules.ASCII_HANDLE}\s*", ""), r"https?://\S+", rules.URL_MARK)
+        return F.coalesce(t, F.lit(""))
+    t = F.regexp_replace(strip(c), rf"^{rules.HANDLE}{rules.SPACE}*", "")
     t = F.regexp_replace(t, rules.URL, rules.URL_MARK)
-    if collapse:
-        t = strip(F.regexp_replace(t, r"\s+", " "))
+    t = strip(F.regexp_replace(t, rf"{rules.SPACE}+", " "))
     return F.coalesce(t, F.lit(""))
 
 
@@ -46,8 +48,8 @@ def clean_for_clustering(c: Column) -> Column:
         (rf"@{rules.WORD}", ""),
         (rules.URL, ""),
         (r"\[url\]", ""),
-        (r"[^a-z0-9\s.,!?]", " "),
-        (r"\s+", " "),
+        (rf"[^a-z0-9{rules.SPACE[1:-1]}.,!?]", " "),
+        (rf"{rules.SPACE}+", " "),
     ):
         t = F.regexp_replace(t, pattern, put)
     return strip(t)
@@ -55,13 +57,13 @@ def clean_for_clustering(c: Column) -> Column:
 
 def opening_words(c: Column, n: int = 3) -> Column:
     """First `n` words after the opening handle."""
-    body = strip(F.regexp_replace(c, rf"^{rules.HANDLE}\s*", ""))
-    return F.array_join(F.slice(F.split(body, r"\s+"), 1, n), " ")
+    body = strip(F.regexp_replace(c, rf"^{rules.HANDLE}{rules.SPACE}*", ""))
+    return F.array_join(F.slice(F.split(body, rf"{rules.SPACE}+"), 1, n), " ")
 
 
 def word_count(c: Column) -> Column:
     body = strip(c)
-    return F.when(c.isNull(), None).when(body == "", 0).otherwise(F.size(F.split(body, r"\s+"))).cast("bigint")
+    return F.when(c.isNull(), None).when(body == "", 0).otherwise(F.size(F.split(body, rf"{rules.SPACE}+"))).cast("bigint")
 
 
 def char_count(c: Column) -> Column:

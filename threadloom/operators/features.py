@@ -1,9 +1,9 @@
 """TF-IDF as DataFrame arithmetic.
 
-Documents are hashed by id once, as raw text; counting, weighting and
-normalising all work per document after that and need no further shuffle. The
-vocabulary is the model: at most `max_features` rows, so it may be held by the
-driver and broadcast.
+Texts stay where they are: the vocabulary comes from counts combined by term,
+and a document's terms leave it as vocabulary numbers. The vocabulary is the
+model: at most `max_features` rows, so it may be held by the driver and
+broadcast.
 """
 
 from __future__ import annotations
@@ -36,28 +36,25 @@ def terms(w: Column) -> Column:
     return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(id, term, tf); a document without terms keeps one row with a null term.
+def term_frequencies(df: DataFrame, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
+    """(term, df, cf): rows holding the term, and its occurrences.
 
-    The partition count is given, as texts grow about tenfold when cut into terms
-    and adaptive coalescing would judge them by their size before that.
+    A row's terms are sorted, so the first of each run counts for `df`; both
+    numbers are combined by term before the shuffle, and no text is moved.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = F.transform("__terms", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(F.col("__terms"), i - 1) != x)).alias("first")))
     return (
-        df.select(F.col(id_col), F.col(text_col))
-        .repartition(n, F.col(id_col))
-        .select(id_col, words(F.col(text_col), stop_words).alias("__words"))
-        .select(id_col, F.explode_outer(terms(F.col("__words"))).alias("term"))
-        .groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+        df.select(words(F.col(text_col), stop_words).alias("__words"))
+        .select(F.sort_array(terms(F.col("__words"))).alias("__terms"))
+        .select(F.inline(runs))
+        .groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("cf"))
     )
 
 
-def vocabulary(counts: DataFrame, n_docs: int, settings: TermSettings) -> DataFrame:
+def vocabulary(frequencies: DataFrame, n_docs: int, settings: TermSettings) -> DataFrame:
     """(term, df, cf) of the terms kept: by document share, then by corpus frequency."""
     return (
-        counts.filter(F.col("term").isNotNull())
-        .groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        .filter((F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n_docs))
+        frequencies.filter((F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n_docs))
         .orderBy(F.desc("cf"), "term").limit(settings.max_features)
     )
 
@@ -103,19 +100,23 @@ class TermModel:
         df = spark.createDataFrame(rows, "term string, df bigint, cf bigint, index int")
         return df.withColumn("idf", F.log((1 + self.n_docs) / (1 + F.col("df"))) + 1)
 
-    def weights(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, index, term, weight) before normalisation; terms outside the vocabulary have null index."""
-        counts = term_counts(df, id_col, text_col, self.stop_words)
+    def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, indices, values): unit-length sparse rows, empty for documents without known terms.
+
+        Terms become vocabulary numbers where the text is; what is shuffled by id
+        are numbers. A row without a number keeps every document.
+        """
+        vocab = F.broadcast(self.as_frame(df.sparkSession).select("term", "index", "idf"))  # at most max_features rows
+        cut = df.select(F.col(id_col), words(F.col(text_col), self.stop_words).alias("__words"))
+        known = cut.select(id_col, F.explode(terms(F.col("__words"))).alias("term")).join(vocab, "term").select(id_col, "index", "idf")
+        every = df.select(F.col(id_col), F.lit(None).cast("int").alias("index"), F.lit(None).cast("double").alias("idf"))
+        counts = known.union(every).repartition(F.col(id_col)).groupBy(id_col, "index").agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
         tf = F.col("tf").cast("double")
         tf = 1 + F.log(tf) if self.settings.sublinear else tf
-        vocab = F.broadcast(self.as_frame(df.sparkSession))  # at most max_features rows
-        return counts.join(vocab, "term", "left").select(id_col, "index", "term", (tf * F.col("idf")).alias("weight"))
-
-    def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, indices, values): unit-length sparse rows, empty for documents without known terms."""
+        weighted = counts.select(id_col, "index", (tf * F.col("idf")).alias("weight"))
         entry = F.when(F.col("index").isNotNull(), F.struct("index", "weight"))
         # the squares are summed here: a length computed from the array would be evaluated once per element
-        rows = self.weights(df, id_col, text_col).groupBy(id_col).agg(
+        rows = weighted.groupBy(id_col).agg(
             F.sort_array(F.collect_list(entry)).alias("e"),
             F.sum(F.when(F.col("index").isNotNull(), F.col("weight") * F.col("weight"))).alias("squares"),
         )
@@ -161,5 +162,5 @@ def fit_terms(
     df: DataFrame, id_col: str, text_col: str, settings: TermSettings, stop_words: list[str] | None = None
 ) -> TermModel:
     n_docs = df.count()
-    table = vocabulary(term_counts(df, id_col, text_col, stop_words), n_docs, settings).toPandas()  # <= max_features rows
+    table = vocabulary(term_frequencies(df, text_col, stop_words), n_docs, settings).toPandas()  # <= max_features rows
     return TermModel(table.sort_values("term").reset_index(drop=True), n_docs, settings, stop_words)

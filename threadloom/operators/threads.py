@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from ..session import staged
 
 
 def brand_slice(tweets: DataFrame, brand: str | None = None) -> DataFrame:
@@ -28,13 +29,23 @@ def brand_slice(tweets: DataFrame, brand: str | None = None) -> DataFrame:
     return sliced.filter(F.col("brand").isNotNull() if brand is None else F.col("brand") == brand.lower())
 
 
+def id_table(tweets: DataFrame, brand: str | None = None) -> DataFrame:
+    """Brand, direction and ids of the messages of a brand, written once.
+
+    The brand is a pattern over the text; every step that follows links reads this
+    narrow table instead of working it out again.
+    """
+    columns = ["tweet_id", "brand", "author_lower", "author_id", "inbound", "in_response_to_tweet_id", "response_tweet_id"]
+    return staged(brand_slice(tweets, brand).select(*columns), "ids")
+
+
 def replies_of(sliced: DataFrame) -> DataFrame:
     """Messages written by the brand itself."""
     return sliced.filter(F.col("author_lower") == F.col("brand")).select(
         F.col("tweet_id").alias("response_id"),
         F.col("brand").alias("r_brand"),
         F.col("in_response_to_tweet_id").alias("r_parent"),
-        F.col("text").alias("r_text"),
+        *([F.col("text").alias("r_text")] if "text" in sliced.columns else []),
         F.col("author_id").alias("support_author"),
     )
 

@@ -1,4 +1,4 @@
-"""Conversation preparation: one lazy plan from messages to clean exchanges."""
+"""Conversation preparation: from messages over a staged id table to clean exchanges."""
 
 from __future__ import annotations
 
@@ -8,15 +8,16 @@ from ..operators import contract, threads
 from ..sources import tables
 
 
-def raw_conversations(tweets: DataFrame, brand: str | None = None, pick: str = "last") -> DataFrame:
-    sliced = threads.brand_slice(tweets, brand)
-    pairs = threads.ancestors(threads.pair_replies(sliced, pick), sliced)
-    return threads.as_conversations(threads.attach_texts(pairs, sliced, prepare=threads.tx.clean_text))
+def raw_conversations(tweets: DataFrame, brand: str | None = None, pick: str = "last", depth: int = 3) -> DataFrame:
+    """Pairs with texts and `depth` messages of context; texts are read for the brand and once more to be attached."""
+    ids = threads.id_table(tweets, brand)
+    pairs = threads.ancestors(threads.pair_replies(ids, pick), ids, depth)
+    return threads.as_conversations(threads.attach_texts(pairs, tweets, depth, threads.tx.clean_text))
 
 
-def prepare(tweets: DataFrame, brand: str | None = None, pick: str = "last") -> DataFrame:
+def prepare(tweets: DataFrame, brand: str | None = None, pick: str = "last", depth: int = 3) -> DataFrame:
     """Conversations of one brand, or of all when `brand` is None."""
-    raw = raw_conversations(tweets, brand, pick)
+    raw = raw_conversations(tweets, brand, pick, depth)
     return threads.dedup_messages(threads.flag_and_filter(raw)).drop("customer_tweet_id")
 
 
