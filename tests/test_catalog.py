@@ -1,11 +1,14 @@
 """Registered queries against their SQL twins, and the shape of their plans."""
 
 import math
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from threadloom.plans import preparation
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -62,5 +65,14 @@ def test_no_cross_join_and_no_python(spark, data_dir, name):
         assert bad not in text
 
 
+def test_preparation_reads_texts_once_after_the_id_table(spark, tmp_path):
+    rows = [(1, "u", True, "@acme help me now please", None, "2"), (2, "acme", False, "@u we are on it now", 1, None)]
+    spark.createDataFrame(rows, "tweet_id bigint, author_id string, inbound boolean, text string, in_response_to_tweet_id bigint, response_tweet_id string").withColumn(
+        "created_at", F.lit("Wed Oct 11 06:55:44 +0000 2017")).write.parquet(str(tmp_path / "t"))
+    prepared = preparation.prepare(spark.read.parquet(str(tmp_path / "t")))
+    scans = re.findall(r"ReadSchema: struct<([^>]*)>", prepared._jdf.queryExecution().optimizedPlan().toString() + plan(prepared))
+    assert sum("text:string" in x for x in scans) == 1 and prepared.count() == 1
+
+
 def test_dedup_limits_rows_before_the_shuffle(spark, data_dir):
     assert plan(QUERIES["w1_dedup_messages"](spark, data_dir)).count("WindowGroupLimit") == 2

@@ -26,13 +26,13 @@ def talk(spark):
 def test_projection_matches_numpy(spark, talk):
     model = features.fit_terms(talk, "conversation_id", "customer_message", SETTINGS)
     rows = model.stage_rows(talk, "conversation_id", "customer_message")
-    basis = intents.fit_projection(rows.vectors(), 5, rounds=60)
+    basis = intents.fit_projection(rows.sparse(), model.size, 5, rounds=60)
     dense = np.zeros((240, model.size))
     for r in rows.sparse().collect():
         dense[r["conversation_id"], r["indices"]] = r["values"]
     s = np.linalg.svd(dense, compute_uv=False)[:5]
     assert np.linalg.norm(dense @ basis, axis=0) == pytest.approx(s, rel=1e-4)
-    out = intents.project(rows.sparse(), "conversation_id", basis, model.size).orderBy("conversation_id").collect()
+    out = intents.project(rows.sparse(), "conversation_id", basis).orderBy("conversation_id").collect()
     assert np.array([r["features"].toArray() for r in out]) == pytest.approx(dense @ basis, abs=1e-9)
 
 
@@ -130,6 +130,28 @@ def test_unusable_vectors_escalate(spark):
         assert all(got[20 + i]["decision_source"] == "insufficient_evidence" for i in range(len(bad)))
 
 
+def test_saved_terms_keep_their_stop_words(spark, talk, tmp_path):
+    model = features.fit_terms(talk, "conversation_id", "customer_message", SETTINGS, stop_words=["problem", "my"])
+    model.save(spark, str(tmp_path / "t"))
+    again = features.TermModel.load(spark, str(tmp_path / "t"))
+    assert again.stop_words == ["problem", "my"]
+    rows = [m.transform(talk, "conversation_id", "customer_message").orderBy("conversation_id").collect() for m in (model, again)]
+    assert rows[0] == rows[1] and any(len(r["indices"]) for r in rows[0])
+
+
+def test_lazy_scoring_equals_the_model(spark, talk):
+    classifier, _ = intents.train_text_classifier(talk, "conversation_id", "customer_message", "intent", SETTINGS)
+    odd = talk.select("conversation_id", "customer_message").union(spark.createDataFrame([(900, ""), (901, None), (902, "unknown words alone")], talk.select("conversation_id", "customer_message").schema))
+    lazy = {r["conversation_id"]: r for r in classifier.predict(odd, "conversation_id", "customer_message").collect()}
+    vectors = classifier.terms.transform_to_vectors(odd, "conversation_id", "customer_message")
+    for r in classifier.predict_features(vectors, ["conversation_id"]).collect():
+        got = lazy.pop(r["conversation_id"])
+        assert got["intent"] == r["intent"] and all(got["probabilities"][c] == pytest.approx(p, abs=1e-9) for c, p in r["probabilities"].items())
+    assert not lazy
+    text = classifier.predict(odd, "conversation_id", "customer_message")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Pandas" not in text
+
+
 def test_missing_outcomes_count_as_wrong(spark):
     gold = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id bigint, true_intent string")
     done = spark.createDataFrame([(1, "a", True, 0.5)], "id bigint, intent string, should_escalate boolean, escalation_score double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contract, golden, intents, threads
 from ..plans import preparation
+from ..session import scratch_path
 from ..sources import standins as st, tables, tweets as raw
 from . import sql as s
 from .registry import query
@@ -96,6 +97,18 @@ def s6(spark, sf_dir):
         WHERE i.is_inbound AND NOT o.is_inbound GROUP BY o.brand_id""")
 
 
+@query("s6_bucketed_table", s.with_(s.TWEETS, _STAGED, _SQL_JOIN, body=f"""
+SELECT brand, {s.count()} AS n FROM joined GROUP BY brand"""))
+def s6_bucketed(spark, sf_dir):
+    """The same from a materialised table, bucketed by the key of the join."""
+    path = scratch_path(spark, "staged_messages")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    tables.publish_table(raw.stage(st.tweets(spark, sf_dir)), name, bucket_by="tweet_id", buckets=8, path=path)
+    return spark.sql(f"""
+        SELECT o.brand_id AS brand, count(*) AS n FROM {name} i JOIN {name} o ON i.response_tweet_id = o.tweet_id
+        WHERE i.is_inbound AND NOT o.is_inbound GROUP BY o.brand_id""")
+
+
 @query("w1_dedup_messages", s.with_(*s.ALL_CONVERSATIONS, body="SELECT conversation_id, brand, customer_message FROM deduped WHERE rn = 1"))
 def w1(spark, sf_dir):
     rows = threads.flag_and_filter(preparation.raw_conversations(st.tweets(spark, sf_dir)), with_word_count=False)

@@ -11,7 +11,7 @@ from ..plans import evaluation, triage
 from ..sources import standins as st
 from . import sql as s
 from .registry import query
-from .similarity import DIM, _asks, _ASKED, _docs, _hits, _SIMILAR
+from .similarity import DIM, _asks, _ASKED, _docs, _flagged, _hits, _RELEVANT, _SIMILAR
 
 # --------------------------------------------------------------- escalation
 
@@ -268,7 +268,8 @@ def _approaches(spark, sf_dir):
     keep = ("id", "reply", "confidence", "should_escalate")
     trivial = baselines.canned(asks).select(F.lit("trivial").alias("approach"), *keep)
     simple = baselines.nearest_reply(asks, _docs(spark, sf_dir)).select(F.lit("simple").alias("approach"), *keep)
-    return trivial.unionByName(simple)
+    system = _triaged(spark, sf_dir).select(F.lit("system").alias("approach"), "id", "reply", F.col("intent_confidence").alias("confidence"), "should_escalate")
+    return trivial.unionByName(simple).unionByName(system)
 
 
 _APPROACHES = f"""
@@ -277,31 +278,47 @@ approaches AS (
   UNION ALL
   SELECT 'simple', b.item_id, coalesce(d.source, ''), coalesce(n.score, 0), coalesce(n.score, 0) < 0.1::DOUBLE
   FROM benchmark b LEFT JOIN nearest n ON n.q_id = b.item_id AND n."rank" = 1 LEFT JOIN documents d ON d.doc_id = n.d_id
+  UNION ALL
+  SELECT 'system', id, reply, intent_confidence, decision_source <> 'policy_and_confidence_gate' FROM decided
 )"""
 
 
-@query("a26_compare_approaches", s.with_(_ASKED, _SIMILAR, _APPROACHES, body=f"""
+@query("a26_compare_approaches", s.with_(*_TRIAGE, _ASKED, _SIMILAR, _APPROACHES, body=f"""
 SELECT approach, {s.count()} AS n, {s.r6('avg(confidence)')} AS mean_confidence, {s.r6('avg(CASE WHEN should_escalate THEN 1 ELSE 0 END)')} AS escalation_rate,
   {s.r6('avg(length(reply))')} AS mean_reply_chars FROM approaches GROUP BY approach"""))
 def a26(spark, sf_dir):
     return metrics.compare_approaches(_approaches(spark, sf_dir))
 
 
-@query("u4_concatenated_approaches", s.with_(_ASKED, _SIMILAR, _APPROACHES, body=f"SELECT approach, id, reply, {s.r6('confidence')} AS confidence, should_escalate FROM approaches"))
+@query("u4_concatenated_approaches", s.with_(*_TRIAGE, _ASKED, _SIMILAR, _APPROACHES, body=f"SELECT approach, id, reply, {s.r6('confidence')} AS confidence, should_escalate FROM approaches"))
 def u4(spark, sf_dir):
     return _approaches(spark, sf_dir)
 
 
+_COMPARED = f"""
+compared AS (
+  SELECT approach, {s.count()} AS n, {s.r6('avg(confidence)')} AS mean_confidence, {s.r6('avg(CASE WHEN should_escalate THEN 1 ELSE 0 END)')} AS escalation_rate,
+    {s.r6('avg(length(reply))')} AS mean_reply_chars FROM approaches GROUP BY approach
+)"""
+_COMPARED_METRICS = ("n", "mean_confidence", "escalation_rate", "mean_reply_chars")
+_RANKING_METRICS = {f"{kind}_at_{k}": f"avg({value})" for k in (1, 3, 5) for kind, value in (
+    ("recall", f"CASE WHEN n > 0 THEN hit{k}::DOUBLE / n END"), ("precision", f"hit{k}::DOUBLE / greatest(got{k}, 1)"))} | {"mrr": "avg(coalesce(1.0::DOUBLE / first_hit, 0))"}
+
+
 @query("d10_quick_evaluation", s.with_(
-    *_TRIAGE, _PRED, body=f"""
+    *_TRIAGE, _PRED, _ASKED, _SIMILAR, _APPROACHES, _COMPARED, _RELEVANT, body=f"""
 SELECT 'intent' AS section, unnest(['accuracy', 'macro_precision', 'macro_recall', 'macro_f1', 'weighted_f1']) AS metric,
   unnest([{s.r6('sum(tp)::DOUBLE / sum(support)')}, {s.r6('avg("precision")')}, {s.r6('avg(recall)')}, {s.r6('avg(f1)')}, {s.r6('sum(f1 * support) / sum(support)')}]) AS value FROM pc
 UNION ALL SELECT 'retrieval', unnest(['mean_top1', 'n_queries']), unnest([{s.r6('avg(score)')}, count(*)::DOUBLE]) FROM hits WHERE "rank" = 1
+UNION ALL SELECT 'approach', approach || '.' || unnest([{", ".join(f"'{m}'" for m in _COMPARED_METRICS)}]), unnest([{", ".join(f"{m}::DOUBLE" for m in _COMPARED_METRICS)}]) FROM compared
+UNION ALL SELECT 'retrieval', unnest([{", ".join(f"'{m}'" for m in _RANKING_METRICS)}]), unnest([{", ".join(s.r6(v) for v in _RANKING_METRICS.values())}]) FROM per_q
 UNION ALL SELECT 'escalation', unnest(['n', 'escalation_rate', 'mean_score']), unnest([count(*)::DOUBLE,
   {s.r6("avg(CASE WHEN decision_source <> 'policy_and_confidence_gate' THEN 1 ELSE 0 END)")}, {s.r6(f'avg({s.DECISION_SCORE})')}]) FROM decided"""))
 def d10(spark, sf_dir):
+    flagged, n_relevant = _flagged(spark, sf_dir)
     return evaluation.quick_report(
-        predictions=st.predictions(spark, sf_dir), hits=_hits(spark, sf_dir), decisions=_triaged(spark, sf_dir)
+        predictions=st.predictions(spark, sf_dir), approaches=_approaches(spark, sf_dir), hits=_hits(spark, sf_dir),
+        flagged_hits=flagged, n_relevant=n_relevant, decisions=_triaged(spark, sf_dir),
     )
 
 

@@ -6,15 +6,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS
-from ..operators import features, intents, metrics
+from ..operators import features, intents, metrics, similarity
 from ..plans import preparation, training
 from ..session import scratch_path
 from ..sources import standins as st, tables, tweets as raw
 from ..streaming import scoring
 from . import sql as s
-from .judgements import _decision_columns, _decision_sql
+from .judgements import _decision_columns, _decision_sql, _TRIAGE
 from .registry import query
-from .similarity import _DISCOVERY, _docs
+from .similarity import _DISCOVERY, _docs, CELLS, DIM
 from .texts import _naming_sql
 
 # ------------------------------------------------- clusters given as languages
@@ -119,7 +119,7 @@ def m4(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     model = features.fit_terms(docs, "id", "text", DISCOVERY_TERMS)
     rows = model.stage_rows(docs, "id", "text")
-    dense = intents.project(rows.sparse(), "id", intents.fit_projection(rows.vectors(), 100), model.size)
+    dense = intents.project(rows.sparse(), "id", intents.fit_projection(rows.sparse(), model.size, 100))
     cells = vector_to_array("features")
     return dense.select("id", F.aggregate(cells, F.lit(0.0), lambda a, x: a + x * x).alias("kept"), F.size(cells).alias("dims"))
 
@@ -146,6 +146,18 @@ def m7(spark, sf_dir):
     return model.assign(_docs(spark, sf_dir), "id", "text")
 
 
+@query("s9_saved_discovery", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS changed FROM documents")
+def s9_discovery(spark, sf_dir):
+    """A discovery model read back labels every message as before."""
+    model, _ = _discovered(spark, sf_dir)
+    path = scratch_path(spark, "intents")
+    model.save(spark, path)
+    docs = _docs(spark, sf_dir)
+    again = intents.IntentModel.load(spark, path).assign(docs, "id", "text").select("id", F.col("intent").alias("again"))
+    both = model.assign(docs, "id", "text").join(again, "id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("intent") != F.col("again")).alias("changed"))
+
+
 @query("m9_text_classifier")
 def m9(spark, sf_dir):
     _, held = intents.train_text_classifier(st.documents(spark, sf_dir), "doc_id", "text", "lang", CLASSIFIER_TERMS)
@@ -174,7 +186,7 @@ def d8(spark, sf_dir):
     emb = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     out = training.run(
         st.strata(spark, sf_dir).select("conversation_id", "customer_message"), scratch_path(spark, "training"), emb)
-    return out.metrics
+    return out.metrics.withColumn("model", F.lit("terms")).unionByName(out.vector_metrics.withColumn("model", F.lit("vectors")))
 
 
 # ------------------------------------------------------------ files and tables
@@ -243,6 +255,20 @@ def s9(spark, sf_dir):
 # --------------------------------------------------------------------- streams
 
 
+@query("t1_stream_triage", s.with_(*_TRIAGE, body=f"""
+SELECT id, intent, reply, {s.r6('best_score')} AS best_score, n_cases, decision_source, {s.DECISION_SCORE} AS escalation_score FROM decided"""))
+def t1_triage(spark, sf_dir):
+    """Triage of arriving messages against a static history through a cell index; equals the batch job."""
+    history = st.vectors(spark, sf_dir)
+    source, sink = scratch_path(spark, "arriving"), scratch_path(spark, "triaged")
+    history.withColumn("intent_confidence", (F.col("id") % 100) / 100.0).repartition(2).write.parquet(source)
+    arriving = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    index = similarity.build_cells(history, CELLS)
+    job = scoring.triage_job(history, DIM, index=index, probe=CELLS, skip_same=True)
+    scoring.start(arriving, sink, scratch_path(spark, "stream-state"), job).awaitTermination()
+    return spark.read.parquet(sink).select("id", "intent", "reply", "best_score", "n_cases", "decision_source", "escalation_score")
+
+
 @query("t1_stream_scoring", s.with_(s.TWEETS, s.REQUESTS, s.decided("requests", generator="false"), body=_decision_sql()))
 def t1(spark, sf_dir):
     """Escalation of arriving messages, joined with known best scores; equals the batch job."""

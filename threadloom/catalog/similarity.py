@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..config import BASELINE_TERMS, DISCOVERY_TERMS
-from ..functions import vectors as vec
+from ..functions import rules, vectors as vec
 from ..operators import baselines, features, retrieval, similarity
 from ..session import scratch_path
 from ..sources import standins as st
@@ -112,6 +113,21 @@ def m12(spark, sf_dir):
     )
 
 
+@query("m12_embed", s.with_("""
+c AS (SELECT doc_id AS id, [length(t)::DOUBLE, (length(t) - length(replace(t, ' ', '')))::DOUBLE, (length(t) - length(replace(t, 'e', '')))::DOUBLE] AS v
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS len FROM c)""",
+    body=f"SELECT id, {s.r6('CASE WHEN len > 0 THEN v[1] / len ELSE 0 END')} AS a, {s.r6('CASE WHEN len > 0 THEN v[2] / len ELSE 0 END')} AS b, {s.r6('CASE WHEN len > 0 THEN v[3] / len ELSE 0 END')} AS c FROM n"))
+def m12_embed(spark, sf_dir):
+    """An encoder plugged in: counts of characters, blanks and the letter e."""
+    @F.pandas_udf("array<float>")
+    def counts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(len(t)), float(t.count(" ")), float(t.count("e"))])
+
+    v = retrieval.embed(_docs(spark, sf_dir), "text", counts)
+    return v.select("id", *[F.col("vector")[i].alias(n) for i, n in enumerate("abc")])
+
+
 @query("m15_retrieval_table", """
 SELECT d.doc_id AS conversation_id, coalesce(d.text, '') AS customer_message, coalesce(d.source, '') AS historical_support_response,
   '' AS conversation_context, coalesce(d.lang, '') AS brand, CAST(len(e.embedding) AS BIGINT) AS dim
@@ -253,7 +269,7 @@ evidence AS (
 )"""
 
 
-@query("p24_prompts", s.with_(s.VECTORS, s.reranked(), _PROMPT, body=r"""
+@query("p24_prompts", s.with_(s.VECTORS, s.reranked(), _PROMPT, body=f"SELECT *, {s.q(rules.SYSTEM_PROMPT)} AS system FROM (" + r"""
 SELECT v.id, 'CURRENT CUSTOMER MESSAGE:' || chr(10) || v.text || chr(10) || chr(10) || '[Predicted Intent: ' || v.intent || ' (Confidence: '
   || format('{:.2f}', (v.id % 100) / 100.0::DOUBLE) || ')]' || chr(10) || chr(10) || 'CURRENT CONVERSATION CONTEXT:' || chr(10) || v.reply || chr(10)
   || '(Context helps to understand the message; it is no permission to invent facts)'
@@ -267,7 +283,7 @@ SELECT v.id, 'CURRENT CUSTOMER MESSAGE:' || chr(10) || v.text || chr(10) || chr(
   || chr(10) || chr(10) || 'HISTORICAL EVIDENCE:' || chr(10) || coalesce(e.blocks, 'None found. (Escalate: there is no evidence)')
   || chr(10) || chr(10) || 'INSTRUCTIONS:' || chr(10) || 'Draft a reply from the HISTORICAL EVIDENCE only. Answer with one JSON object with the fields reply, '
   || 'grounded_claims, evidence_ids, needs_escalation and grounding_confidence (0.0 to 1.0).' || chr(10) || 'Return ONLY valid JSON.' AS prompt
-FROM vectors v LEFT JOIN evidence e ON e.q_id = v.id WHERE v.reply = ''"""))
+FROM vectors v LEFT JOIN evidence e ON e.q_id = v.id WHERE v.reply = '')"""))
 def p24(spark, sf_dir):
     v = st.vectors(spark, sf_dir)
     return retrieval.prompts(v.withColumn("confidence", (F.col("id") % 100) / 100.0).withColumn("context", F.col("reply")), _hits(spark, sf_dir), v)

@@ -21,6 +21,13 @@ DM_REDIRECT = [
     r"follow\s*(us|me)\s*(so|and)",
 ]
 
+# --- own wording: what the drafting model is told once ---------------------
+SYSTEM_PROMPT = (
+    "You draft replies for a customer support team. Use only what the historical evidence says. "
+    "Never claim to have looked at or changed an account, and never promise refunds or dates. "
+    "If the evidence does not answer the message, ask for escalation. Answer with one JSON object."
+)
+
 # --- fixed values: explicit request for a person ---------------------------
 HUMAN_REQUEST = [
     r"\bconnect\s+(?:me\s+)?(?:with\s+)?(?:a\s+)?human\b",

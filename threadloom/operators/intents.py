@@ -10,8 +10,6 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS, SEED, TermSettings
@@ -30,38 +28,83 @@ def _all_classes() -> Window:
 # --------------------------------------------------------------- clustering
 
 
-def fit_projection(features: DataFrame, k: int = 100, seed: int = SEED, rounds: int = 20) -> np.ndarray:
-    """Right singular vectors (terms x k) of the uncentred term matrix.
+TERM_BLOCK = 256
+CELLS_AT_ONCE = 1 << 15
 
-    Spark sums the terms x terms product in one pass over the documents. Its size
-    depends on the vocabulary limit alone, and its leading eigenvectors are found
-    on the driver by subspace iteration.
+
+def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """Product of the terms x terms matrix with the columns of `q`, summed on the executors.
+
+    A task adds up its rows and emits the sum in blocks of terms; blocks are added
+    per number. The matrix itself is never made.
     """
-    rows = MLUtils.convertVectorColumnsFromML(features.select("features"), "features")
-    product = RowMatrix(rows).computeGramianMatrix().toArray()
-    width = min(k + 10, len(product))
-    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(product), width)))
+    sent = rows.sparkSession.sparkContext.broadcast(q)
+
+    def partial(batches):
+        v = sent.value
+        total = np.zeros_like(v)
+        for b in batches:
+            lengths = np.array([len(x) for x in b["indices"]], dtype=np.int64)
+            ends = np.cumsum(lengths)
+            lo = 0
+            while lo < len(b):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - lengths[lo] + CELLS_AT_ONCE, side="right")))
+                some = [i for i in range(lo, hi) if lengths[i]]
+                lo = hi
+                if not some:
+                    continue
+                idx = np.concatenate([b["indices"].iloc[i] for i in some]).astype(np.int64)
+                val = np.concatenate([b["values"].iloc[i] for i in some])
+                n = lengths[some]
+                product = np.add.reduceat(val[:, None] * v[idx], np.cumsum(n) - n)
+                order = np.argsort(idx, kind="stable")
+                cells = (val[:, None] * np.repeat(product, n, axis=0))[order]
+                terms, first = np.unique(idx[order], return_index=True)
+                total[terms] += np.add.reduceat(cells, first)
+        for at in range(0, len(total), TERM_BLOCK):
+            yield pd.DataFrame({"block": [at], "part": [total[at : at + TERM_BLOCK].tobytes()]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in parts["part"])
+        return pd.DataFrame({"block": [parts["block"].iloc[0]], "part": [total.tobytes()]})
+
+    kind = "block int, part binary"
+    found = rows.select("indices", "values").mapInPandas(partial, kind).groupBy("block").applyInPandas(add, kind).collect()
+    out = np.zeros_like(q)
+    for r in found:  # terms x columns in all
+        part = np.frombuffer(r["part"]).reshape(-1, q.shape[1])
+        out[r["block"] : r["block"] + len(part)] = part
+    return out
+
+
+def fit_projection(rows: DataFrame, size: int, k: int = 100, seed: int = SEED, rounds: int = 7) -> np.ndarray:
+    """Right singular vectors (terms x k) of the uncentred term matrix, by randomised subspace iteration.
+
+    `rows` has sparse `indices` and `values` over `size` terms. Every round is one
+    pass over the rows; the driver holds terms x (k + 10) numbers.
+    """
+    k = min(k, size)
+    width = min(k + 10, size)
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))
     for _ in range(rounds):
-        q, _ = np.linalg.qr(product @ q)
-    _, vectors = np.linalg.eigh(q.T @ product @ q)
+        q, _ = np.linalg.qr(_gram_times(rows, q))
+    _, vectors = np.linalg.eigh(q.T @ _gram_times(rows, q))
     return q @ vectors[:, ::-1][:, :k]
 
 
-def project(rows: DataFrame, id_col: str, basis: np.ndarray | None, size: int) -> DataFrame:
-    """(id, features): sparse rows times the basis, or made dense when there is none."""
-    width = size if basis is None else basis.shape[1]
+def project(rows: DataFrame, id_col: str, basis: np.ndarray) -> DataFrame:
+    """(id, features): sparse rows times the basis, summed for a batch of rows at once."""
     sent = rows.sparkSession.sparkContext.broadcast(basis)
 
     def apply(batches):
         v = sent.value
         for b in batches:
-            out = np.zeros((len(b), width))
-            for i, (idx, val) in enumerate(zip(b["indices"], b["values"])):
-                if len(idx):
-                    if v is None:
-                        out[i, idx] = val
-                    else:
-                        out[i] = np.asarray(val) @ v[np.asarray(idx)]
+            out = np.zeros((len(b), v.shape[1]))
+            lengths = np.array([len(x) for x in b["indices"]], dtype=np.int64)
+            some = np.flatnonzero(lengths)
+            if len(some):
+                cells = np.concatenate(b["values"].tolist())[:, None] * v[np.concatenate(b["indices"].tolist()).astype(np.int64)]
+                out[some] = np.add.reduceat(cells, (np.cumsum(lengths) - lengths)[some])
             yield pd.DataFrame({id_col: b[id_col], "dense": list(out)})
 
     key = rows.schema[id_col].dataType.simpleString()
@@ -130,7 +173,7 @@ class IntentModel:
     """Fitted discovery: vocabulary, projection, clusters and their names."""
 
     terms: TermModel
-    basis: np.ndarray | None
+    basis: np.ndarray
     clusters: KMeansModel
     names: dict[int, str]
 
@@ -138,9 +181,22 @@ class IntentModel:
         """(id, cluster_id) of every row, whatever its length."""
         clean = df.select(id_col, tx.clean_for_clustering(F.coalesce(F.col(text_col), F.lit(""))).alias("__clean"))
         rows = self.terms.transform(clean, id_col, "__clean")
-        dense = project(rows, id_col, self.basis, self.terms.size)
+        dense = project(rows, id_col, self.basis)
         return self.clusters.transform(dense).select(id_col, F.col("prediction").alias("cluster_id"))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.terms.save(spark, f"{path}/terms")
+        self.clusters.write().overwrite().save(f"{path}/clusters")
+        basis = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(self.basis)], "index int, row array<double>")
+        basis.write.mode("overwrite").parquet(f"{path}/basis")  # one row per term
+        spark.createDataFrame(list(self.names.items()), "cluster_id int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "IntentModel":
+        basis = np.array([r["row"] for r in spark.read.parquet(f"{path}/basis").orderBy("index").collect()])
+        names = {r["cluster_id"]: r["name"] for r in spark.read.parquet(f"{path}/names").collect()}
+        return cls(TermModel.load(spark, f"{path}/terms"), basis, KMeansModel.load(f"{path}/clusters"), names)
+
     def assign(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         names = df.sparkSession.createDataFrame(list(self.names.items()), "cluster_id int, name string")
         return name_members(self.cluster(df, id_col, text_col), names)
@@ -155,8 +211,8 @@ def discover(
     clean = staged(clean.filter(F.length("clean") > 10), "clean")
     terms = fit_terms(clean, id_col, "clean", settings)
     rows = terms.stage_rows(clean, id_col, "clean")
-    basis = fit_projection(rows.vectors(), min(components, terms.size), seed)
-    dense = staged(project(rows.sparse(), id_col, basis, terms.size), "projected")
+    basis = fit_projection(rows.sparse(), terms.size, components, seed)
+    dense = staged(project(rows.sparse(), id_col, basis), "projected")
     model = KMeans(k=k, seed=seed, featuresCol="features").fit(dense)
     members = model.transform(dense).select(id_col, F.col("prediction").alias("cluster_id"))
     found = staged(taxonomy(members, term_weights(rows.sparse(), terms, id_col), clean, id_col, "clean"), "taxonomy")
@@ -206,23 +262,49 @@ class IntentClassifier:
     terms: TermModel | None = None
 
     def predict_features(self, features: DataFrame, keep: list[str]) -> DataFrame:
-        p = vector_to_array("probability")
+        return self._decided(self.model.transform(features).select(*keep, vector_to_array("probability").alias("__p")), keep)
+
+    def _decided(self, scored: DataFrame, keep: list[str]) -> DataFrame:
+        """Best class from the probabilities in `__p`."""
+        p = F.col("__p")
         named = F.array(*[
             F.struct(p[i].alias("p"), F.lit(-i).alias("order"), F.lit(c).alias("c")) for i, c in enumerate(self.classes)
         ])
         best = best_class(named)
-        return self.model.transform(features).select(
+        return scored.select(
             *keep, best["c"].alias("intent"), best["p"].alias("confidence"),
             F.map_from_arrays(F.array(*[F.lit(c) for c in self.classes]), p).alias("probabilities"),
         )
 
+    def predict_sparse(self, rows: DataFrame, id_col: str) -> DataFrame:
+        """Predictions for TF-IDF rows (id, indices, values), lazily and in built-in expressions.
+
+        The coefficients are a table of one row per term, bounded by the vocabulary
+        and broadcast; a row's cells are summed per class where the row was made.
+        """
+        spark = rows.sparkSession
+        matrix, start = self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
+        table = spark.createDataFrame([(i, [float(x) for x in column]) for i, column in enumerate(matrix.T)], "index int, w array<double>")
+        cells = rows.select(id_col, F.explode_outer(F.arrays_zip("indices", "values")).alias("c")).select(
+            id_col, F.col("c.indices").alias("index"), F.col("c.values").alias("value")
+        )
+        classes = range(len(self.classes))
+        summed = cells.join(F.broadcast(table), "index", "left").groupBy(id_col).agg(
+            *[F.coalesce(F.sum(F.col("value") * F.col("w")[i]), F.lit(0.0)).alias(f"m{i}") for i in classes]
+        )
+        margins = summed.select(id_col, *[(F.col(f"m{i}") + float(start[i])).alias(f"m{i}") for i in classes])
+        top = F.array_max(F.array(*[F.col(f"m{i}") for i in classes]))
+        powers = margins.withColumn("__top", top).select(id_col, F.array(*[F.exp(F.col(f"m{i}") - F.col("__top")) for i in classes]).alias("__e"))
+        whole = powers.withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x))
+        return self._decided(whole.select(id_col, F.transform("__e", lambda x: x / F.col("__s")).alias("__p")), [id_col])
+
     def predict(self, df: DataFrame, id_col: str, text_col: str, context_col: str | None = None) -> DataFrame:
         """(id, intent, confidence, probabilities), with context and the account rule when given."""
         if context_col is None:
             inputs = df.select(id_col, F.col(text_col).alias("__in"))
         else:
             inputs = df.select(id_col, tx.with_context(F.col(context_col), F.col(text_col)).alias("__in"))
-        out = self.predict_features(self.terms.transform_to_vectors(inputs, id_col, "__in"), [id_col])
+        out = self.predict_sparse(self.terms.transform(inputs, id_col, "__in"), id_col)
         if context_col is None:
             return out
         joined = out.join(df.select(id_col, text_col, context_col), id_col)

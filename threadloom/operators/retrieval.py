@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import RetrievalSettings
-from ..functions import judgement, text as tx
+from ..functions import judgement, rules, text as tx
 from ..functions.parsing import prompt_text
 from ..functions.vectors import normalise
 
@@ -101,11 +101,11 @@ def mean_top_score(hits: DataFrame) -> DataFrame:
 
 
 def prompts(queries: DataFrame, hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """One prompt per query; at most k cases are gathered per query."""
+    """One prompt per query with the system prompt; at most k cases are gathered per query."""
     d = documents.select(F.col("id").alias("d_id"), F.col("text").alias("customer_message"), F.col("reply").alias("case_reply"))
     cases = hits.join(d, "d_id").groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct(
         "rank", "score", "customer_message", F.col("case_reply").alias("reply"), F.lit(None).cast("string").alias("resolution")
     ))).alias("evidence"))
     empty = F.array().cast("array<struct<rank:int,score:double,customer_message:string,reply:string,resolution:string>>")
     q = queries.join(cases.withColumnRenamed("q_id", "id"), "id", "left").withColumn("evidence", F.coalesce("evidence", empty))
-    return q.select("id", prompt_text(*[F.col(c) for c in ("text", "intent", "confidence", "context", "evidence")]).alias("prompt"))
+    return q.select("id", F.lit(rules.SYSTEM_PROMPT).alias("system"), prompt_text(*[F.col(c) for c in ("text", "intent", "confidence", "context", "evidence")]).alias("prompt"))

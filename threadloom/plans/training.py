@@ -27,6 +27,8 @@ class Trained:
     metrics: DataFrame
     index: similarity.CellIndex | None
     baseline: TermModel
+    vector_classifier: intents.IntentClassifier | None = None
+    vector_metrics: DataFrame | None = None
 
 
 def run(
@@ -43,6 +45,7 @@ def run(
 
     model, found = intents.discover(conversations, "conversation_id", "customer_message", k, discovery, seed)
     taxonomy = stage(found, "taxonomy")
+    model.save(spark, f"{out_dir}/discovery")
     named = model.assign(conversations, "conversation_id", "customer_message").select("conversation_id", "intent")
     labelled = stage(golden.attach_labels(conversations.drop("intent"), named), "labelled")
     tables.write_report(intents.intent_distribution(labelled), f"{out_dir}/intent_distribution")
@@ -52,8 +55,12 @@ def run(
     classifier.save(spark, f"{out_dir}/classifier")
     held = stage(held, "held_out")
     scores = stage(metrics.classification(held), "metrics")
-    index = None
+    index = vector_classifier = vector_scores = None
     if vectors is not None:
+        labelled_vectors = rest.select("conversation_id", "intent").join(vectors.withColumnRenamed("id", "conversation_id"), "conversation_id")
+        vector_classifier, vector_held = intents.train_vector_classifier(labelled_vectors, "conversation_id", "vector", "intent", max_iter)
+        vector_classifier.save(spark, f"{out_dir}/vector_classifier")
+        vector_scores = stage(metrics.classification(vector_held), "vector_metrics")
         index = similarity.build_cells(vectors, cells, seed)
         index.save(f"{out_dir}/index")
         index = similarity.CellIndex.load(spark, f"{out_dir}/index")
@@ -61,4 +68,4 @@ def run(
         conversations.select(F.col("conversation_id").alias("id"), F.col("customer_message").alias("text")), "id", "text", baseline
     )
     base.save(spark, f"{out_dir}/baseline")
-    return Trained(taxonomy, labelled, gold, classifier, held, scores, index, base)
+    return Trained(taxonomy, labelled, gold, classifier, held, scores, index, base, vector_classifier, vector_scores)

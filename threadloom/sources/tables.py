@@ -70,9 +70,11 @@ def publish_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def publish_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 64) -> None:
-    """Managed table; bucketed when later joins use the same key."""
+def publish_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 64, path: str | None = None) -> None:
+    """Table of the catalog, below `path` when given; bucketed when later joins use the same key."""
     w = df.write.mode("overwrite").format("parquet")
+    if path:
+        w = w.option("path", path)
     if bucket_by:
         w = w.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     w.saveAsTable(name)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import EscalationLimits
 from ..operators import decisions
+from ..plans import triage
 
 
 def with_history(messages: DataFrame, best_scores: DataFrame, key: str = "id") -> DataFrame:
@@ -21,6 +22,15 @@ def score(messages: DataFrame, limits: EscalationLimits = EscalationLimits()) ->
     return decisions.decide(messages, limits)
 
 
+def triage_job(documents: DataFrame, dim: int, **settings) -> Callable[[DataFrame], DataFrame]:
+    """The triage job over a static history, to be run on every micro-batch.
+
+    `settings` are those of the batch job; an `index` built beforehand keeps a
+    batch from reading the whole history.
+    """
+    return lambda batch: triage.triage(batch, documents, dim, **settings)
+
+
 def start(
     messages: DataFrame, sink: str, checkpoint: str, job: Callable[[DataFrame], DataFrame] = score, available_now: bool = True
 ) -> StreamingQuery:
