@@ -35,12 +35,17 @@ def duplicates(df: DataFrame, key: str = "tweet_id") -> DataFrame:
     return extra(df.columns, "rows").unionByName(extra([key], key))
 
 
+def _directions() -> dict:
+    inbound, outbound, known = F.count_if("inbound"), F.count_if(~F.col("inbound")), F.count("inbound")
+    return {"inbound": inbound, "outbound": outbound, "inbound_pct": pct(inbound, known), "outbound_pct": pct(outbound, known)}
+
+
+def _named(cells: dict) -> list:
+    return [c.alias(name) for name, c in cells.items()]
+
+
 def directions(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count_if("inbound").alias("inbound"), F.count_if(~F.col("inbound")).alias("outbound"),
-        pct(F.count_if("inbound"), F.count("inbound")).alias("inbound_pct"),
-        pct(F.count_if(~F.col("inbound")), F.count("inbound")).alias("outbound_pct"),
-    )
+    return df.agg(*_named(_directions()))
 
 
 def authors(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -48,29 +53,58 @@ def authors(df: DataFrame, approximate: bool = False) -> DataFrame:
     return df.agg(count("author_id").alias("authors"))
 
 
+def _dates() -> dict:
+    """Over `__at`, the parsed time."""
+    seconds = F.unix_timestamp(F.max("__at")) - F.unix_timestamp(F.min("__at"))
+    return {
+        "first": F.min("__at"), "last": F.max("__at"), "span_days": F.floor(seconds / 86400),
+        "unparsable": F.count_if(F.col("__at").isNull() & F.col("created_at").isNotNull()),
+    }
+
+
+def _derived(df: DataFrame) -> DataFrame:
+    """The time and the lengths the figures are about, worked out once per row."""
+    return df.withColumns({
+        "__at": tx.parse_created_at(F.col("created_at")), "__chars": tx.char_count(F.col("text")), "__words": tx.word_count(F.col("text")),
+    })
+
+
 def date_range(df: DataFrame) -> DataFrame:
-    at = tx.parse_created_at(F.col("created_at"))
-    return df.select("created_at", at.alias("at")).agg(
-        F.min("at").alias("first"), F.max("at").alias("last"),
-        F.floor((F.unix_timestamp(F.max("at")) - F.unix_timestamp(F.min("at"))) / 86400).alias("span_days"),
-        F.count_if(F.col("at").isNull() & F.col("created_at").isNotNull()).alias("unparsable"),
-    )
+    return _derived(df).agg(*_named(_dates()))
+
+
+def _texts(kinds: tuple = (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median))) -> dict:
+    """Over `__chars` and `__words`."""
+    return {f"{n}_{c}": f(f"__{c}") for c in ("chars", "words") for n, f in kinds} | {"empty": F.count_if(F.col("__chars").isNull())}
 
 
 def text_statistics(df: DataFrame) -> DataFrame:
     """Lengths of texts; the medians are exact, over the few distinct lengths."""
-    t = df.select(tx.char_count(F.col("text")).alias("chars"), tx.word_count(F.col("text")).alias("words"))
-    cells = [f(c).alias(f"{n}_{c}") for c in ("chars", "words")
-             for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median))]
-    return t.agg(*cells, F.count_if(F.col("chars").isNull()).alias("empty"))
+    return _derived(df).agg(*_named(_texts()))
+
+
+def _links() -> dict:
+    r, p, n = F.count("response_tweet_id"), F.count("in_response_to_tweet_id"), F.count("*")
+    return {"with_replies": r, "with_parent": p, "with_replies_pct": pct(r, n), "with_parent_pct": pct(p, n)}
 
 
 def link_presence(df: DataFrame) -> DataFrame:
-    r, p = F.count("response_tweet_id"), F.count("in_response_to_tweet_id")
-    return df.agg(
-        r.alias("with_replies"), p.alias("with_parent"),
-        pct(r, F.count("*")).alias("with_replies_pct"), pct(p, F.count("*")).alias("with_parent_pct"),
-    )
+    return df.agg(*_named(_links()))
+
+
+def figures(df: DataFrame) -> DataFrame:
+    """(section, item, value text) of everything one scan can tell: nulls, directions, dates, lengths, links."""
+    dates = _dates()
+    sections = {
+        "nulls": {c: F.count_if(F.col(c).isNull()) for c in df.columns}, "directions": _directions(),
+        "dates": {k: dates[k] for k in ("span_days", "unparsable")}, "texts": _texts((("min", F.min), ("max", F.max))), "links": _links(),
+    }
+    wide = _derived(df).agg(*[c.alias(f"{section}|{item}") for section, cells in sections.items() for item, c in cells.items()])
+    rows = [
+        F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), F.col(f"`{section}|{item}`").cast("string").alias("value"))
+        for section, cells in sections.items() for item in cells
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def link_validity(df: DataFrame) -> DataFrame:

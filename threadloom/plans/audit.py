@@ -18,20 +18,16 @@ def _long(df: DataFrame, section: str) -> DataFrame:
 
 
 def report(tweets: DataFrame) -> DataFrame:
-    """Figures of the audit as (section, item, value)."""
-    prof = audit.profile(tweets).select(F.lit("nulls").alias("section"), F.col("column").alias("item"), F.col("nulls").cast("string").alias("value"))
+    """Figures of the audit as (section, item, value).
+
+    One aggregate gives all that needs a single scan; duplicates, links and authors
+    have a shuffle of their own.
+    """
     dup = audit.duplicates(tweets).select(F.lit("duplicates").alias("section"), F.col("kind").alias("item"), F.col("n").cast("string").alias("value"))
     links = audit.link_validity(tweets).select(
         F.lit("valid_links").alias("section"), F.col("kind").alias("item"), F.col("valid").cast("string").alias("value")
     )
-    parts = [
-        prof, dup, links,
-        _long(audit.directions(tweets), "directions"),
-        _long(audit.authors(tweets), "authors"),
-        _long(audit.date_range(tweets).select("span_days", "unparsable"), "dates"),
-        _long(audit.text_statistics(tweets).select("min_chars", "max_chars", "min_words", "max_words", "empty"), "texts"),
-        _long(audit.link_presence(tweets), "links"),
-    ]
+    parts = [audit.figures(tweets), dup, links, _long(audit.authors(tweets), "authors")]
     return reduce(DataFrame.unionByName, parts)
 
 
