@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import contract, threads
+from ..session import temporary_stages
 from ..sources import tables
 
 
@@ -60,8 +61,9 @@ def run(tweets: DataFrame, out_dir: str, brand: str | None = None, sample: int =
 
     Returns the contract findings; with `fail` an error finding raises.
     """
-    prepared = prepare(tweets, brand)
-    tables.write_parquet(prepared, f"{out_dir}/conversations")
+    with temporary_stages(tweets.sparkSession):
+        prepared = prepare(tweets, brand)
+        tables.write_parquet(prepared, f"{out_dir}/conversations")
     # the schema is given, as an empty result leaves no file to take it from
     written = tweets.sparkSession.read.schema(prepared.schema).parquet(f"{out_dir}/conversations")
     findings = contract.check(written, contract.CONTRACT_A)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import BASELINE_TERMS, CLASSIFIER_TERMS, DISCOVERY_TERMS, SEED, TermSettings
 from ..operators import golden, intents, metrics, similarity
 from ..operators.features import TermModel, fit_terms
+from ..session import temporary_stages
 from ..sources import tables
 from . import golden as golden_job
 
@@ -31,7 +32,13 @@ class Trained:
     vector_metrics: DataFrame | None = None
 
 
-def run(
+def run(conversations: DataFrame, out_dir: str, *args, **kwargs) -> Trained:
+    """The job of `train`; its stages are deleted at the end, its results are those below `out_dir`."""
+    with temporary_stages(conversations.sparkSession):
+        return train(conversations, out_dir, *args, **kwargs)
+
+
+def train(
     conversations: DataFrame, out_dir: str, vectors: DataFrame | None = None, target: int = 200, seed: int = SEED, k: int = 10,
     discovery: TermSettings = DISCOVERY_TERMS, classification: TermSettings = CLASSIFIER_TERMS,
     baseline: TermSettings = BASELINE_TERMS, max_iter: int = 1000, cells: int = 100,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +42,36 @@ def scratch_root(spark: SparkSession) -> str:
     return made
 
 
+_OWNED: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New, unused path below the scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """New, unused path below the scratch folder, owned by the innermost `temporary_stages`."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Whatever is staged inside is deleted at the end, so a job leaves its results alone.
+
+    For jobs that write their results inside the block: frames that still read a
+    stage cannot be used after it.
+    """
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            delete_path(spark, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
