@@ -62,15 +62,16 @@ def _dates() -> dict:
     }
 
 
-def _derived(df: DataFrame) -> DataFrame:
-    """The time and the lengths the figures are about, worked out once per row."""
-    return df.withColumns({
-        "__at": tx.parse_created_at(F.col("created_at")), "__chars": tx.char_count(F.col("text")), "__words": tx.word_count(F.col("text")),
-    })
+def _with_time(df: DataFrame) -> DataFrame:
+    return df.withColumn("__at", tx.parse_created_at(F.col("created_at")))
+
+
+def _with_lengths(df: DataFrame) -> DataFrame:
+    return df.withColumns({"__chars": tx.char_count(F.col("text")), "__words": tx.word_count(F.col("text"))})
 
 
 def date_range(df: DataFrame) -> DataFrame:
-    return _derived(df).agg(*_named(_dates()))
+    return _with_time(df).agg(*_named(_dates()))
 
 
 def _texts(kinds: tuple = (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median))) -> dict:
@@ -80,7 +81,7 @@ def _texts(kinds: tuple = (("min", F.min), ("max", F.max), ("mean", F.avg), ("me
 
 def text_statistics(df: DataFrame) -> DataFrame:
     """Lengths of texts; the medians are exact, over the few distinct lengths."""
-    return _derived(df).agg(*_named(_texts()))
+    return _with_lengths(df).agg(*_named(_texts()))
 
 
 def _links() -> dict:
@@ -99,7 +100,7 @@ def figures(df: DataFrame) -> DataFrame:
         "nulls": {c: F.count_if(F.col(c).isNull()) for c in df.columns}, "directions": _directions(),
         "dates": {k: dates[k] for k in ("span_days", "unparsable")}, "texts": _texts((("min", F.min), ("max", F.max))), "links": _links(),
     }
-    wide = _derived(df).agg(*[c.alias(f"{section}|{item}") for section, cells in sections.items() for item, c in cells.items()])
+    wide = _with_lengths(_with_time(df)).agg(*[c.alias(f"{section}|{item}") for section, cells in sections.items() for item, c in cells.items()])
     rows = [
         F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), F.col(f"`{section}|{item}`").cast("string").alias("value"))
         for section, cells in sections.items() for item in cells
