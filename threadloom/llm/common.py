@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import delete_path, scratch_path
 
 #: Bytes of texts that a Python worker is handed at once.
 BATCH_BYTES = 16 << 20
@@ -28,10 +28,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared scratch folder and read back, which cuts its lineage."""
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The table written to the shared scratch folder (or `path`) and read back, which cuts its lineage."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,13 +40,7 @@ def drop_stage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of a staged table's files, from their statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        delete_path(spark, folder)
 
 
 def numbered(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -58,6 +52,23 @@ def numbered(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in keep])
 
 
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """Rows of the highest counts, at most `limit`, and all rows of any count taken.
+
+    The cut is read off a histogram of the counts (some thousand bars whatever
+    the table), so no task sorts or gathers the rows.
+    """
+    c = F.col(count)
+    bar = F.when(c < 256, c).otherwise(256 + F.floor(16 * F.log2(c / 256.0))).cast("long")
+    cut, taken = None, 0
+    for at, n in sorted(df.groupBy(bar.alias("bar")).count().collect(), reverse=True):
+        taken += n
+        if taken > limit:
+            break
+        cut = at
+    return df.where(bar >= cut) if cut is not None else df.limit(0)
+
+
 def held_out(id_col: str, parts: int) -> Column:
     """True for the rows set aside: crc32 of the id as text is divisible by `parts` (a null id is text "")."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == 0

@@ -82,10 +82,8 @@ def headers_of(pages: DataFrame, id_col: str, url: str, html: str, date: str) ->
 def payloads_of(pages: DataFrame, html: str) -> DataFrame:
     """`address` and `payload`, one row for each distinct payload."""
     body = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.sha2(body, 256).alias("address"), body.alias("payload"), F.monotonically_increasing_id().alias("at"))
-    # Addresses first: the narrow aggregate finds the row to keep, and only kept bytes are moved.
-    kept = rows.groupBy("address").agg(F.min("at").alias("at")).select("at")
-    return rows.join(kept, "at").select("address", "payload")
+    # A task keeps one payload of each address before the shuffle, so a hot one moves once per task.
+    return pages.select(F.sha2(body, 256).alias("address"), body.alias("payload")).dropDuplicates(["address"])
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
