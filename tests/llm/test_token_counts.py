@@ -32,5 +32,14 @@ def test_odd_texts(spark, odd_docs, library, head):
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
 
+def test_words_cut_together_as_one_by_one():
+    with open(PATH, encoding="utf-8") as f:
+        known = t.PreTokens(f.read())
+    words = [x.encode() for x in ("it's", "a\xa0b", "\xa0", "x\x1c", "É\u0301t", "日本", "1,2", "\u2003", "I'LL", "İ", "!!", "q\u3000")]
+    alone = {w: next(iter(known.of([w])))[1] for w in words}
+    assert dict(known.of(words)) == alone
+    assert alone[b"it's"] == ["it", "'s"]
+
+
 def test_empty_table(no_docs):
     assert t.count_tokens(no_docs, PATH).count() == 0

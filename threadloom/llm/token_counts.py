@@ -11,8 +11,8 @@ pre-tokens, is joined by shuffle; a key of that join occurs at most as often as
 the last of the head, or is longer than `HEAD_BYTES`, and adaptive joins split
 the rare case that such a one is frequent.
 
-White space ends a pre-token, so texts are cut at ASCII blanks first and each
-worker keeps the pre-tokens of the words it has met.
+White space ends a pre-token, so texts are cut at ASCII blanks first, and
+distinct words are cut into pre-tokens, many to a call of the library.
 
 Defined results: a null text counts as empty with no bytes and no tokens;
 special strings inside a text are one token each, as is the library's default;
@@ -30,18 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, numbered, stage
+from .common import map_batches, most_frequent, numbered, stage
 from .registry import query, table
 
 #: Pre-tokens that are broadcast, and their length in bytes at most.
 HEAD = 200_000
 HEAD_BYTES = 128
-#: Words a worker keeps or counts at once.
+#: Distinct words a worker counts, or keeps with their sums, at once.
 WORDS = 300_000
 
 
-class PreTokens(dict):
-    """Pre-tokens of words, by the tokenizer's own normalizer and pre-tokenizer; keeps the first `WORDS` words."""
+class PreTokens:
+    """Pre-tokens of words, by the tokenizer's own normalizer and pre-tokenizer."""
+
+    #: Words handed to the library in one call.
+    AT_ONCE = 512
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
@@ -57,12 +60,52 @@ class PreTokens(dict):
             text, found = self.special.subn(b" ", text)
         return text.split(), found
 
-    def __missing__(self, word: bytes) -> tuple[str, ...]:
-        normal = self.tokenizer.normalizer.normalize_str(word.decode())
-        found = tuple(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
-        if len(self) < WORDS and len(word) < 64:
-            self[word] = found
-        return found
+    def of(self, words: list[bytes]) -> Iterator[tuple[bytes, list[str]]]:
+        """Each word with its pre-tokens, many words to a call.
+
+        The words of a call are told apart by the blanks between them. Words that
+        hold white space of any kind are cut one by one, and so are those of a call
+        in which normalizing made or lost a blank.
+        """
+        joined, alone = [], []
+        for word in words:
+            text = word.decode()
+            (joined if text.split() == [text] else alone).append(word)
+        for at in range(0, len(joined), self.AT_ONCE):
+            part = joined[at : at + self.AT_ONCE]
+            normal = self.tokenizer.normalizer.normalize_str(b"\n".join(part).decode())
+            pieces = normal.split(" ")
+            if len(pieces) == len(part) and all(pieces):
+                yield from zip(part, self._cut(normal, pieces))
+            else:
+                alone += part
+        for word in alone:
+            normal = self.tokenizer.normalizer.normalize_str(word.decode())
+            yield word, [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _cut(self, normal: str, pieces: list[str]) -> list[list[str]]:
+        out: list[list[str]] = [[] for _ in pieces]
+        k, end = 0, len(pieces[0])
+        for found, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
+            while start >= end:
+                k += 1
+                end += 1 + len(pieces[k])
+            out[k].append(found)
+        return out
+
+
+def _parts(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in order, some at a time: one, or as many as come to `size` bytes."""
+    part: list[bytes] = []
+    taken = 0
+    for text in texts:
+        part.append(text.as_py())
+        taken += len(part[-1])
+        if taken >= size:
+            yield part
+            part, taken = [], 0
+    if part:
+        yield part
 
 
 def vocabulary(rows: DataFrame, tokenizer_json) -> DataFrame:
@@ -74,8 +117,9 @@ def vocabulary(rows: DataFrame, tokenizer_json) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             total: Counter = Counter()
-            for word, n in seen.items():
-                for p in known[word]:
+            for word, parts in known.of(list(seen)):
+                n = seen[word]
+                for p in parts:
                     total[p] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pre_token", "n"])
@@ -108,7 +152,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", id_col:
         tokenizer_json = spark.sparkContext.broadcast(f.read())
     rows = numbered(df, text, id_col)
     counted = vocabulary(rows, tokenizer_json)
-    top = counted.where(F.octet_length("pre_token") <= HEAD_BYTES).orderBy(F.desc("n"), "pre_token").limit(head_size).select("pre_token", "pieces").toArrow()
+    top = most_frequent(counted.where(F.octet_length("pre_token") <= HEAD_BYTES), "n", head_size).select("pre_token", "pieces").toArrow()
     head = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,26 +160,27 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", id_col:
         sums: dict[bytes, int | tuple[int, list[str]]] = {}
         for batch in batches:
             sizes, totals, rests = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                words, total = known.words(text)
-                rest: Counter = Counter()
-                for word, n in Counter(words).items():
-                    found = sums.get(word)
-                    if found is None:
-                        parts = known[word]
-                        found = sum(in_head.get(p, 0) for p in parts)
-                        if missing := [p for p in parts if p not in in_head]:
-                            found = found, missing
-                        if len(sums) < WORDS and len(word) < 64:
-                            sums[word] = found
-                    if type(found) is tuple:
-                        for p in found[1]:
-                            rest[p] += n
-                        found = found[0]
-                    total += found * n
-                sizes.append(len(text))
-                totals.append(total)
-                rests.append([{"p": p, "n": n} for p, n in rest.items()])
+            for some in _parts(batch.column("text").cast(pa.binary())):
+                cut = [known.words(text) for text in some]
+                counted_words = [Counter(words) for words, _ in cut]
+                if len(sums) > WORDS:
+                    sums.clear()
+                for word, parts in known.of(list(set().union(*counted_words).difference(sums))):
+                    in_it = sum(in_head.get(p, 0) for p in parts)
+                    missing = [p for p in parts if p not in in_head]
+                    sums[word] = (in_it, missing) if missing else in_it
+                for text, (_, total), counts in zip(some, cut, counted_words):
+                    rest: Counter = Counter()
+                    for word, n in counts.items():
+                        found = sums[word]
+                        if type(found) is tuple:
+                            for p in found[1]:
+                                rest[p] += n
+                            found = found[0]
+                        total += found * n
+                    sizes.append(len(text))
+                    totals.append(total)
+                    rests.append([{"p": p, "n": n} for p, n in rest.items()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array(rests, pa.list_(pa.struct([("p", pa.string()), ("n", pa.int64())])))],
                 names=["row_id", "id", "n_bytes", "in_head", "rest"],
