@@ -37,7 +37,7 @@ from .registry import query, table
 HEAD = 200_000
 HEAD_BYTES = 128
 #: Distinct words a worker counts, or keeps with their sums, at once.
-WORDS = 300_000
+WORDS = 600_000
 
 
 class PreTokens:
