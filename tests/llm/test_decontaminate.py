@@ -52,6 +52,23 @@ def test_exact_edited_and_clean(spark):
     assert next(r.score for r in found if r.doc_id == 1) == 1
 
 
+def test_edited_copies_as_by_the_full_alignment(spark):
+    """Every second, third and fourth word replaced, left out, or followed by another: all pairs against the full table."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choices([f"w{k}" for k in range(60)], k=n))) for i, n in enumerate([3, 4, 7, 12, 20, 45])]
+    rows = []
+    for _, item in items:
+        for every in (1, 2, 3, 4, 7):
+            for first in range(min(every, 2)):
+                hit = [k % every == first for k in range(len(item.split()))]
+                for edit in (lambda w: "zz", lambda w: "", lambda w: f"{w} zz"):
+                    copy = " ".join(edit(w) if h else w for w, h in zip(item.split(), hit))
+                    rows.append((len(rows), f"{' yy' * 30} {copy} {'yy ' * 30}"))
+    want = {(d_id, i): slow_score(item, text) / (d.MATCH * len(item.split())) for d_id, text in rows for i, item in items}
+    found = {(r.doc_id, r.item_id): r.score for r in d.leaks(docs(spark, rows), bench(spark, items)).collect()}
+    assert found == {k: v for k, v in want.items() if v >= d.MIN_SCORE}
+
+
 def test_frequent_passage_is_still_found(spark):
     table = docs(spark, [(i, f"doc {i} {ITEM}") for i in range(300)])
     assert d.leaks(table, bench(spark, [(1, ITEM), (2, ITEM)])).count() == 600

@@ -1,13 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-A test item is looked for by seeds of `SEED_WORDS` words. Of every
-`SEED_WINDOW` consecutive n-grams of an item the one that is rarest in the
-corpus becomes a seed, so a passage that keeps `SEED_WORDS + SEED_WINDOW - 1`
-words of an item in a row has a seed in common with it, however frequent the
-passage is: rarity chooses between an item's n-grams and excludes none. Seeds
-join documents to items; around each hit a stretch of the document is aligned
-with the item, word by word, and the local alignment's score as a share of a
-full copy's decides, so edited and paraphrased copies count by what they keep.
+"""Benchmark decontamination: close word pairs as seeds, then Smith-Waterman alignment.
+
+A test item is looked for by close pairs: two of its words that have at most one
+word between them in the item and at most one in the document. In a passage that
+scores `min_score` of a full copy of L words, at least min_score * L - 1 pairs of
+matched words that follow each other are close, because every other such pair
+costs two edits or more. So of an item's pairs the most frequent in the corpus
+may be left out, up to half of that number, and a passage still holds the rest
+of it (`needed`); nothing that can reach the threshold is missed, whatever words
+were replaced, put in or taken out. Around such hits a stretch of the document
+is aligned with the item, word by word, and the local alignment's score as a
+share of a full copy's decides, so edited and paraphrased copies count by what
+they keep.
 
 A stretch is not aligned only if it holds too few words of the item to reach
 the threshold at best, which changes no result.
@@ -18,7 +21,7 @@ are read whole; what is shuffled are counts of the benchmark's own n-grams.
 
 Defined results: words are runs of letters, digits and underscores, in lower
 case; a null text counts as empty; documents or items without words never match;
-an item of fewer words than a seed is its own seed; equal items are all
+an item of one or two words is its own seed; equal items are all
 reported; repeated documents are each reported; ids may be null; other columns
 pass through untouched whatever their names; empty tables give empty results,
 and an empty benchmark leaves all documents clean.
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .registry import query, table
 
-SEED_WORDS = 3
-SEED_WINDOW = 2
+#: Items of fewer words are their own seed; key code of close pairs.
+PAIRS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a full copy's score from which a passage counts as a leak.
 MIN_SCORE = 0.4
@@ -66,12 +69,15 @@ class Items:
         return cls([i for i, _ in rows], vocabulary, words)
 
     def width(self, item: int) -> int:
-        """Words of the item's n-grams."""
-        return min(SEED_WORDS, len(self.words[item]))
+        """Words of the item's own seed, or `PAIRS`."""
+        return min(PAIRS, len(self.words[item]))
 
     def keys(self, seen: np.ndarray, width: int) -> np.ndarray:
-        """One number for each n-gram, -1 where a word is not in the vocabulary."""
+        """One number for each n-gram, -1 where a word is not in the vocabulary; of close pairs those without a word between come first, then those with one."""
         size = len(self.vocabulary) + 1
+        if width == PAIRS:
+            one, two = np.concatenate([seen[:-1], seen[:-2]]), np.concatenate([seen[1:], seen[2:]])
+            return np.where((one > 0) & (two > 0), (one * size + two) * 4 + width, -1)
         n = len(seen) - width + 1
         if n <= 0:
             return np.empty(0, np.int64)
@@ -131,52 +137,82 @@ def count_grams(docs: DataFrame, items, grams, text: str) -> dict[int, int]:
     return dict(counted.collect())
 
 
-def seeds_of(block: Items, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted seed keys; for each its range in two arrays of items and offsets."""
+def _starts(words: int) -> np.ndarray:
+    """The first word of each close pair, in the order of their keys."""
+    return np.concatenate([np.arange(max(0, words - 1)), np.arange(max(0, words - 2))])
+
+
+def seeds_of(block: Items, counts: dict[int, int], min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted seed keys; for each its range in two arrays of items and offsets; how many offsets each item needs."""
     chosen: dict[int, set[tuple[int, int]]] = {}
+    needed = np.ones(len(block.words), np.int64)
     for item, words in enumerate(block.words):
         if not len(words):
             continue
-        keys = block.keys(words, block.width(item)).tolist()
-        rank = [(counts.get(k, 0), i) for i, k in enumerate(keys)]
-        for start in range(max(1, len(keys) - SEED_WINDOW + 1)):
-            _, at = min(rank[start : start + SEED_WINDOW])
-            chosen.setdefault(keys[at], set()).add((item, at))
+        width = block.width(item)
+        keys = block.keys(words, width).tolist()
+        starts = _starts(len(words)) if width == PAIRS else np.zeros(len(keys), np.int64)
+        left_out: set[int] = set()
+        if width == PAIRS:
+            close = max(1, int(np.ceil(min_score * len(words) - 1 - 1e-9)))
+            often = np.zeros(len(words) - 1, np.int64)
+            np.maximum.at(often, starts, [counts.get(k, 0) for k in keys])
+            left_out = set(np.argsort(-often, kind="stable")[: close // 2].tolist())
+            needed[item] = close - close // 2
+        for k, at in zip(keys, starts.tolist()):
+            if at not in left_out:
+                chosen.setdefault(k, set()).add((item, at))
     order = sorted(chosen)
     postings = [sorted(chosen[k]) for k in order]
     ends = np.cumsum([0] + [len(p) for p in postings])
     flat = np.array([x for p in postings for x in p], np.int64).reshape(-1, 2)
-    return np.array(order, np.int64), ends, flat[:, 0], flat[:, 1]
+    return np.array(order, np.int64), ends, flat[:, 0], flat[:, 1], needed
+
+
+def _hits(seen: np.ndarray, block: Items, seeds: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, offset and place of the hits of all items that have as many different offsets as they need."""
+    keys, ends, of_item, of_offset, needed = seeds
+    items, offsets, places = [], [], []
+    for width in sorted({int(k) for k in np.unique(keys & 3)}):
+        at, k = _lookup(keys, block.keys(seen, width))
+        at = _starts(len(seen))[at] if width == PAIRS else at
+        n = ends[k + 1] - ends[k]
+        posting = np.repeat(ends[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        items.append(of_item[posting])
+        offsets.append(of_offset[posting])
+        places.append(np.repeat(at, n))
+    item, offset, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (items, offsets, places))
+    if not len(item):
+        return item, offset, place
+    longest = int(offset.max()) + 1
+    found = np.bincount(np.unique(item * longest + offset) // longest, minlength=len(needed))
+    enough = found[item] >= needed[item]
+    return item[enough], offset[enough], place[enough]
 
 
 def leaks_in(text: str | None, block: Items, seeds: tuple, min_score: float) -> list[dict]:
     """Items leaked into one text: best score and the span of the passage in code points."""
     seen = block.numbers(text)
-    keys, ends, of_item, of_offset = seeds
-    stretches: dict[int, list[list[int]]] = {}
-    for width in sorted({int(k) & 3 for k in np.unique(keys & 3)}):
-        places, at = _lookup(keys, block.keys(seen, width))
-        for place, k in zip(places.tolist(), at.tolist()):
-            for p in range(ends[k], ends[k + 1]):
-                item = int(of_item[p])
-                length = len(block.words[item])
-                start = place - int(of_offset[p]) - length // 2 - 2
-                stretches.setdefault(item, []).append([max(0, start), start + 2 * length + 4])
+    needed = seeds[4]
+    item_of, offset_of, place_of = _hits(seen, block, seeds)
+    order = np.lexsort((place_of - offset_of, item_of))
+    item_of, offset_of, place_of = item_of[order], offset_of[order], place_of[order]
     found, spans = [], None
-    for item, parts in stretches.items():
+    cuts = np.nonzero(np.diff(item_of))[0] + 1
+    for part in np.split(np.arange(len(item_of)), cuts) if len(item_of) else []:
+        item = int(item_of[part[0]])
         words = block.words[item]
         least = min_score * MATCH * len(words)
+        # A passage that reaches the threshold holds so many words more than the item, or fewer, at most.
+        slack = int(MATCH * len(words) - least) + 2
         own = np.unique(words)
         best, span = 0, (0, 0)
-        parts.sort()
-        merged = [parts[0]]
-        for lo, hi in parts[1:]:
-            if lo <= merged[-1][1]:
-                merged[-1][1] = max(hi, merged[-1][1])
-            else:
-                merged.append([lo, hi])
-        for lo, hi in merged:
-            stretch = seen[lo:hi]
+        diagonal = place_of[part] - offset_of[part]
+        for near in np.split(part, np.nonzero(np.diff(diagonal) > 2 * slack)[0] + 1):
+            if len(np.unique(offset_of[near])) < needed[item]:
+                continue
+            lo = max(0, int(place_of[near[0]] - offset_of[near[0]]) - slack)
+            stretch = seen[lo : int(place_of[near[-1]] - offset_of[near[-1]]) + len(words) + slack]
             if MATCH * np.isin(stretch, own).sum() < max(least, best + 1):
                 continue
             score, end = align(words, stretch)
@@ -205,7 +241,7 @@ def mark(docs: DataFrame, block: Items, text: str = "text", min_score: float = M
     items = context.broadcast((block.ids, block.vocabulary, block.words))
     all_keys = [block.keys(w, block.width(i)) for i, w in enumerate(block.words) if len(w)]
     grams = context.broadcast(np.unique(np.concatenate(all_keys)) if all_keys else np.empty(0, np.int64))
-    seeds = context.broadcast(seeds_of(block, count_grams(docs, items, grams, text)))
+    seeds = context.broadcast(seeds_of(block, count_grams(docs, items, grams, text), min_score))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
