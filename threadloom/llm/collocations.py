@@ -335,17 +335,20 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
 _SQL = r"""
 with pieces as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
 cut as (select lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') ws from pieces),
-words as (select lang, ws, unnest(range(len(ws))) i from cut),
-spans as (select lang, ws[i + 1 : i + k] p, k from words, (select unnest([1, 2, 3]) k) where i + k <= len(ws)),
-counts as (select lang, p, k, count(*) f from spans group by all),
-total as (select lang, sum(f)::bigint n from counts where k = 1 group by lang),
-cand as (select lang, p, k, f a from counts where k > 1 and f >= 10),
-cuts as (select c.lang, c.p, c.k, c.a, j, x.f l, y.f r, ((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f))::bigint score
-  from cand c, (select unnest([1, 2]) j) s join counts x on x.lang = c.lang and x.p = c.p[1 : j] join counts y on y.lang = c.lang and y.p = c.p[j + 1 : c.k] where j < c.k),
-best as (select lang, p, k, a, arg_min(struct_pack(l := l, r := r, score := score), (score, j)) b from cuts group by lang, p, k, a),
-held as (select lang, unnest([p[1 : 2], p[2 : 3]]) p, a from cand where k = 3),
-gone as (select lang, p, max(a) longer from held group by lang, p),
-kept as (select b.lang, array_to_string(b.p, ' ') phrase, b.a, b.b.l l, b.b.r r, b.b.score score from best b left join gone g on g.lang = b.lang and g.p = b.p where g.longer is null or 100 * g.longer < 50 * b.a),
+places as (select lang, ws, unnest(range(1, len(ws) + 1)) i from cut),
+words as materialized (select lang, ws[i] x, ws[i + 1] y, ws[i + 2] z from places),
+total as (select lang, count(*) n from words group by lang),
+one as materialized (select lang, x, count(*) f from words group by lang, x having count(*) >= 10),
+two as materialized (select lang, x, y, count(*) f from words where y is not null group by lang, x, y having count(*) >= 10),
+three as materialized (select lang, x, y, z, count(*) f from words where z is not null group by lang, x, y, z having count(*) >= 10),
+cuts as (
+  select t.lang, t.x || ' ' || t.y phrase, 2 k, t.f a, 1 j, a.f l, b.f r from two t join one a on a.lang = t.lang and a.x = t.x join one b on b.lang = t.lang and b.x = t.y
+  union all select t.lang, t.x || ' ' || t.y || ' ' || t.z, 3, t.f, 1, a.f, b.f from three t join one a on a.lang = t.lang and a.x = t.x join two b on b.lang = t.lang and b.x = t.y and b.y = t.z
+  union all select t.lang, t.x || ' ' || t.y || ' ' || t.z, 3, t.f, 2, a.f, b.f from three t join two a on a.lang = t.lang and a.x = t.x and a.y = t.y join one b on b.lang = t.lang and b.x = t.z),
+scored as (select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint score from cuts),
+best as (select *, row_number() over (partition by lang, phrase order by score, j) nth from scored),
+gone as (select lang, phrase, max(f) longer from (select lang, x || ' ' || y phrase, f from three union all select lang, y || ' ' || z, f from three) group by lang, phrase),
+kept as (select b.lang, b.phrase, b.a, b.l, b.r, b.score from best b left join gone g on g.lang = b.lang and g.phrase = b.phrase and b.k = 2 where nth = 1 and (g.longer is null or 100 * g.longer < 50 * b.a)),
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
 select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000
 """

@@ -122,8 +122,8 @@ class Rarity:
         return found[np.argsort(np.where(self.cells[at] == cell, self.counts[at], 0), kind="stable")]
 
 
-def rarity(rows: DataFrame, width: int) -> Rarity:
-    """Shingles counted over all texts, in cells by hash whose number grows with the texts."""
+def rarity(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """What `Rarity` is made of: shingles counted over all texts, in cells by hash whose number grows with the texts."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, total) / 7 * CELLS_EACH)), 10, CELL_BITS_AT_MOST))
 
@@ -139,7 +139,7 @@ def rarity(rows: DataFrame, width: int) -> Rarity:
     counted = stage(map_batches(rows.select("text"), work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
     heavy = most_frequent(counted, "n", HEAVIEST).toArrow()
     drop_stage(counted)
-    return Rarity(bits, heavy.column("cell").to_numpy(), heavy.column("n").to_numpy())
+    return bits, heavy.column("cell").to_numpy(), heavy.column("n").to_numpy()
 
 
 def _signed(found: np.ndarray) -> list[int]:
@@ -148,15 +148,16 @@ def _signed(found: np.ndarray) -> list[int]:
 
 def _heads(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """`row_id`, `sig` of the set, `n` its size, `first` (its prefix in the order of rarity) and `short`, how much of it is the short prefix."""
-    order = rows.sparkSession.sparkContext.broadcast(rarity(rows, width))
+    counted = rows.sparkSession.sparkContext.broadcast(rarity(rows, width))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = Rarity(*counted.value)
         for batch in batches:
             found = [shingles(t, width) for t in texts(batch.column("text"))]
             sizes = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), pa.array([xxhash.xxh128_digest(f.tobytes()) for f in found], pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array([_signed(order.value.order(f)[: prefix(len(f), percent)]) for f in found], pa.list_(pa.int64())), pa.array([short_prefix(n, percent) for n in sizes], pa.int64())],
+                 pa.array([_signed(rare.order(f)[: prefix(len(f), percent)]) for f in found], pa.list_(pa.int64())), pa.array([short_prefix(n, percent) for n in sizes], pa.int64())],
                 names=["row_id", "sig", "n", "first", "short"],
             )
 
