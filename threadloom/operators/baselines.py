@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import BASELINE_TERMS, TermSettings
 from ..functions import judgement, rules
-from .features import TermModel, fit_terms
-from .similarity import exact_top_k
+from .features import TermModel, cut, fit_terms
+from .postings import sparse_top_k
 
 LOW = 0.1  # below this similarity the nearest reply is not trusted
 
@@ -26,13 +26,12 @@ def similar_history(
 ) -> DataFrame:
     """Sparse similarity join: k most similar past messages with any shared term, by TF-IDF cosine.
 
-    `asks` and `history` have id and text. The vocabulary bounds the row width, so
-    rows of both sides meet as matrix blocks; no term's posting list is joined.
+    `asks` and `history` have id and text. History is cut into words once, for the
+    vocabulary and for its rows, and searched through its posting lists.
     """
-    model = model or fit_terms(history, "id", "text", settings)
-    q = model.transform(asks, "id", "text")
-    d = model.transform(history, "id", "text")
-    return exact_top_k(q, d, k, model.size, floor=1e-9)
+    past = cut(history, "id", "text", model.stop_words if model else None)
+    model = model or fit_terms(past, "id", "text", settings)
+    return sparse_top_k(model.transform(asks, "id", "text"), model.transform(past, "id", "text"), k)
 
 
 def nearest_reply(

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..config import TermSettings
 from ..functions import rules
-from ..session import scratch_path
+from ..session import scratch_path, staged
 
 
 def words(c: Column, stop_words: list[str] | None = None) -> Column:
@@ -36,15 +36,44 @@ def terms(w: Column) -> Column:
     return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
 
 
+#: Column of the word array of rows that `cut` has gone over.
+WORDS = "__words"
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows dealt out evenly if they are read in fewer splits than asked for (or than there are cores), as a small file is.
+
+    Whole rows move, none by a hash of its text; a table of many splits, or one
+    that a shuffle made, stays as it is.
+    """
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def cut(df: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """(id, word array), staged: for a job that both fits and transforms, so that texts are cut into words once."""
+    rows = spread(df.select(id_col, text_col), partitions)
+    return staged(rows.select(id_col, words(F.col(text_col), stop_words).alias(WORDS)), "words")
+
+
+def _cut_rows(df: DataFrame, text_col: str, stop_words: list[str] | None, *keep: str) -> DataFrame:
+    """Rows with their word array: as they are if they were cut before, spread over the cores if not."""
+    if WORDS in df.columns:
+        return df.select(*keep, WORDS)
+    return spread(df.select(*keep, text_col)).select(*keep, words(F.col(text_col), stop_words).alias(WORDS))
+
+
 def term_frequencies(df: DataFrame, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(term, df, cf): rows holding the term, and its occurrences.
+    """(term, df, cf): rows holding the term, and its occurrences; of texts, or of rows that `cut` made.
 
     A row's terms are sorted, so the first of each run counts for `df`; both
-    numbers are combined by term before the shuffle, and no text is moved.
+    numbers are combined by term before the shuffle, and no text is hashed.
     """
     runs = F.transform("__terms", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(F.col("__terms"), i - 1) != x)).alias("first")))
     return (
-        df.select(words(F.col(text_col), stop_words).alias("__words"))
+        _cut_rows(df, text_col, stop_words)
         .select(F.sort_array(terms(F.col("__words"))).alias("__terms"))
         .select(F.inline(runs))
         .groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("cf"))
@@ -103,12 +132,11 @@ class TermModel:
     def transform(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, indices, values): unit-length sparse rows, empty for documents without known terms.
 
-        Terms become vocabulary numbers where the text is; what is shuffled by id
+        `df` has texts, or is what `cut` made of them. Terms become vocabulary numbers where the text is; what is shuffled by id
         are numbers. A row without a number keeps every document.
         """
         vocab = F.broadcast(self.as_frame(df.sparkSession).select("term", "index", "idf"))  # at most max_features rows
-        cut = df.select(F.col(id_col), words(F.col(text_col), self.stop_words).alias("__words"))
-        known = cut.select(id_col, F.explode(terms(F.col("__words"))).alias("term")).join(vocab, "term").select(id_col, "index", "idf")
+        known = _cut_rows(df, text_col, self.stop_words, id_col).select(id_col, F.explode(terms(F.col("__words"))).alias("term")).join(vocab, "term").select(id_col, "index", "idf")
         every = df.select(F.col(id_col), F.lit(None).cast("int").alias("index"), F.lit(None).cast("double").alias("idf"))
         counts = known.union(every).repartition(F.col(id_col)).groupBy(id_col, "index").agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
         tf = F.col("tf").cast("double")

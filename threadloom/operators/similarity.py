@@ -2,8 +2,9 @@
 
 No row pair is ever written out: matrix blocks are multiplied inside Arrow
 batches and each task emits only the best k documents per query it saw. Queries
-are sent to the documents, in chunks of measured size, and documents stay where
-they are.
+up to a checked size are sent to the documents, which stay where they are. Beyond
+it both sides are dealt out to the slots of a grid by one shuffle: in a slot a
+block of queries of bounded size is held, and its documents stream by.
 
 Scores are rounded to nine decimals so that ties break by document id and not by
 the order floating-point sums happened to run in.
@@ -11,9 +12,8 @@ the order floating-point sums happened to run in.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ from ..session import staged
 HIT = "q_id bigint, d_id bigint, score double"
 DECIMALS = 9
 BLOCK = 2048
+#: Documents of a cell that are one part of it, where queries are sent to cells by a join.
+CELL_PART_ROWS = 100_000
 
 
 def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
@@ -135,8 +137,8 @@ def exact_top_k(
 
     Both tables have `id` and either `vector` or sparse `indices`/`values`.
     `skip_same` leaves out a document with the query's own id, `floor` drops
-    scores below it. Documents stay where they are; queries are sent to them,
-    beyond `broadcast_bytes` in several chunks. Rows without a usable vector
+    scores below it. Queries of at most `broadcast_bytes` are sent to the
+    documents; more of them meet the documents in a grid. Rows without a usable vector
     (null, wrong length, null or NaN cells) take no part on either side.
     """
     # renamed copies: both sides may be the same table
@@ -147,7 +149,7 @@ def exact_top_k(
     if size <= broadcast_bytes:
         hits = _send_queries(queries, corpus, k, dim, skip_same, floor)
     else:
-        hits = _in_chunks(queries, size, broadcast_bytes, lambda part: _send_queries(part, corpus, k, dim, skip_same, floor))
+        hits = _meet(*grid(queries, corpus, size, broadcast_bytes), k, dim, skip_same, floor)
     return rank_hits(hits, k)
 
 
@@ -170,15 +172,54 @@ def _send_queries(queries, corpus, k, dim, skip_same, floor) -> DataFrame:
     return corpus.mapInPandas(search, HIT)
 
 
-def _in_chunks(queries: DataFrame, size: int, limit: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`search` over chunks of queries of about `limit` bytes each, one after another.
+def grid(queries: DataFrame, corpus: DataFrame, size: int, block_bytes: int, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the `slot` each row goes to, in a grid of as many rows of slots as the queries are blocks of `block_bytes`.
 
-    Documents are read once per chunk and never moved; the hits of a chunk are
-    written to the scratch folder before the next one is sent.
+    There are `slots` slots at least (by default two for each core); what queries do not need
+    goes to cutting the documents. A query is copied to all columns of its row, a document to
+    all rows of its column, so every pair meets once.
     """
-    n = max(1, -(-size // max(limit, 1)))
-    parts = [staged(search(queries.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == c)), "hits") for c in range(n)]
-    return reduce(DataFrame.unionByName, parts)
+    slots = slots or 2 * queries.sparkSession.sparkContext.defaultParallelism
+    rows = max(-(-size // max(block_bytes, 1)), round(slots**0.5))
+    columns = max(1, -(-slots // rows))
+    row, column = F.pmod(F.xxhash64("id"), F.lit(rows)), F.pmod(F.xxhash64("id"), F.lit(columns))
+    asked = queries.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: row * columns + c)))
+    held = corpus.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: r * columns + column)))
+    return asked, held
+
+
+def _meet(asked: DataFrame, held: DataFrame, k: int, dim: int, skip_same: bool, floor: float | None = None) -> DataFrame:
+    """Best k per slot and query of the documents of the same `slot`; one shuffle of both sides.
+
+    A slot's queries come first and are held, so the caller bounds them; documents stream by.
+    """
+    columns = _columns(asked)
+    as_rows = lambda df, side: df.select("slot", F.lit(side).alias("side"), "id", *[F.col(c).cast(f"array<{'int' if c == 'indices' else 'double'}>").alias(c) for c in columns[1:]])
+    both = as_rows(asked, 0).unionByName(as_rows(held, 1)).repartition("slot").sortWithinPartitions("slot", "side")
+    step = _block_rows(dim)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot, parts, blocks, best = None, [], None, _Best(k)
+        for batch in batches:
+            for (at, side), part in batch.groupby(["slot", "side"], sort=True):
+                if at != slot:
+                    yield best.frame()
+                    slot, parts, blocks, best = at, [], None, _Best(k)
+                if side == 0:
+                    parts.append(part)
+                    continue
+                if not parts:
+                    continue
+                if blocks is None:
+                    q = pd.concat(parts, ignore_index=True)
+                    blocks = [(s.start, q["id"].to_numpy(np.int64)[s], _matrix(q.iloc[s], dim)) for s in _slices(len(q), step)]
+                for d in _slices(len(part), step):
+                    ids, dm = part["id"].to_numpy(np.int64)[d], _matrix(part.iloc[d], dim)
+                    for start, q_ids, qm in blocks:
+                        best.add(start, _block_top_k(q_ids, qm, ids, dm, k, skip_same, floor))
+        yield best.frame()
+
+    return both.mapInPandas(search, HIT)
 
 
 @dataclass
@@ -207,14 +248,44 @@ class CellIndex:
         """Approximate top k: exact scores inside the `probe` cells nearest to each query.
 
         With as many cells probed as there are, the search is exact. Cells that no
-        query probes are not read.
+        query probes are not read. Queries of more than `broadcast_bytes` go to their
+        cells by a join.
         """
         dim = self.centroids.shape[1]
         queries = _usable(queries.select("id", "vector"), dim)
         size = _bytes(queries, dim)
         if size <= broadcast_bytes:
             return rank_hits(self._scan(queries, k, probe, skip_same), k)
-        return rank_hits(_in_chunks(queries, size, broadcast_bytes, lambda part: self._scan(part, k, probe, skip_same)), k)
+        return rank_hits(_meet(*self._sent_to_cells(queries, probe, broadcast_bytes), k, dim, skip_same), k)
+
+    def _sent_to_cells(self, queries: DataFrame, probe: int, block_bytes: int, part_rows: int = CELL_PART_ROWS) -> tuple[DataFrame, DataFrame]:
+        """Queries copied to the cells they probe, and the documents of these cells, both with the `slot` they meet in.
+
+        A slot is a part of a cell's documents and a part of the queries sent to it: a large cell
+        is cut into parts of about `part_rows` documents, and the queries of a cell into parts of
+        `block_bytes`, so neither a hot cell nor one that many queries probe is one task.
+        """
+        centroids = queries.sparkSession.sparkContext.broadcast(self.centroids)
+        dim = self.centroids.shape[1]
+        kind = queries.schema["vector"].dataType.simpleString()
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                near = np.argsort(-(_matrix(b, dim) @ centroids.value.T), axis=1, kind="stable")[:, :probe]
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(np.int64), near.shape[1]), "vector": b["vector"].repeat(near.shape[1]).to_numpy(), "cell": near.ravel().astype(np.int32)})
+
+        sent = staged(queries.mapInPandas(nearest, f"id bigint, vector {kind}, cell int"), "sent-to-cells")
+        asked = sent.groupBy("cell").agg(F.ceil(F.count("*") * (dim * 8 + 8) / block_bytes).cast("int").alias("q_parts"))
+        # One row for each cell of the index, so these are collected: cells that nobody probes are not read.
+        probed = {r["cell"]: r["q_parts"] for r in asked.collect()}
+        held = self.documents.filter(F.col("cell").isin(sorted(probed)))
+        sizes = asked.join(held.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("d_parts")), "cell")
+        slot = lambda d, q: F.xxhash64(F.col("cell"), d, q)
+        part = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+        copies = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        q = sent.join(F.broadcast(sizes), "cell").withColumn("d_part", copies("d_parts")).withColumn("slot", slot(F.col("d_part"), part("q_parts")))
+        d = held.join(F.broadcast(sizes), "cell").withColumn("q_part", copies("q_parts")).withColumn("slot", slot(part("d_parts"), F.col("q_part")))
+        return q.select("id", "vector", "slot"), d.select("id", "vector", "slot")
 
     def _scan(self, queries: DataFrame, k: int, probe: int, skip_same: bool) -> DataFrame:
         dim = self.centroids.shape[1]
