@@ -94,3 +94,13 @@ def test_odd_documents(odd_docs, no_docs):
     # Both rows without an id: one is a copy of document 1, the other has no text.
     assert rows == sorted([(1, 7, 1), (2, 7, 1), (2, 7, 1), (None, 7, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 7), (None, 0, None), (8, 1, 8), (9, 1, 9)], key=repr)
     assert j.similar(no_docs).count() == 0
+
+
+def test_words_of_any_length_and_kind_of_blank():
+    texts = [b"", b" ", b"a", b"A  b\tc\n", b" lead and trail ", b"x" * 9000 + b" " + b"x" * 8999 + b"y", "é ß\x1c Ä".encode()]
+    for text in texts:
+        words = text.lower().split()
+        found = j.word_numbers(text)
+        assert len(found) == len(words) and len(set(found.tolist())) == len(set(words))
+        assert (j.word_numbers(text, at_once=5) == found).all() and (j.word_numbers(text.upper()) == found).all()
+    assert len(np.unique(j.word_numbers(b" ".join(str(i).encode() for i in range(200_000))))) == 200_000

@@ -8,11 +8,10 @@ pair that shares none under one of several orders is no link.
 The first order puts rare shingles first, as counted over the whole corpus. Under it
 pairs are found: the larger set shows its first n - ceil(s n) + 1 shingles, the smaller
 may do with fewer. Only these are shuffled, and only shingles that two sets show go
-on. The other orders are orders by hash; under each the pair must share a shingle of
-both prefixes as well. Before that, pairs must pass bounds read off their rows: the
-sizes, the places of the shared shingle, and the bits in which two short sketches
-of the sets differ, none of which can lose a link. What is left is verified on the
-whole sets.
+on. Pairs must pass bounds that cannot lose a link: the sizes, the places of the shared
+shingle, and the bits in which two short sketches of the sets differ. The other orders
+are orders by hash; under each the pair must share a shingle of both prefixes as well.
+What passes all of them is verified on the whole sets.
 
 Only components are wanted, not all links. So texts with equal sets are one node; and in
 rounds each shingle's sets are held against one of them, its centre, which hashing
@@ -46,11 +45,11 @@ PERCENT = 85
 #: Orders a pair must share a prefix shingle under; the first is by rarity.
 ORDERS = 3
 #: Rounds of comparing with centres at most; how many change the work, not the result.
-ROUNDS = 4
+ROUNDS = 2
 #: Sets of one shingle that are one block of a join key.
 BLOCK_SETS = 8192
-#: Node ids that are broadcast at most (8 bytes each); more are joined by shuffle.
-BROADCAST_NODES = 1_000_000
+#: Rows of node ids or pairs of them that are broadcast at most (16 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Longs of a sketch.
 SKETCH = 16
 #: Counting cells for each shingle, and the logarithm of most cells; how many frequent ones a task reports, and are kept of all.
@@ -64,19 +63,64 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ values >> np.uint64(29)
 
 
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct numbers of the lower-cased words' shingles; empty without words."""
-    words = text.lower().split()
-    if not words:
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte a random number (one for both cases of a letter, 0 for white space), whether it is part of a word, and a random odd factor for each place in a word."""
+    rng = np.random.default_rng(20)
+    number = rng.integers(1, 2**63, 256).astype(np.uint64)
+    number[65:91] = number[97:123]
+    blank = [9, 10, 11, 12, 13, 32]
+    number[blank] = 0
+    part = np.ones(256, bool)
+    part[blank] = False
+    return number, part, rng.integers(0, 2**63, 1 << 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _word_numbers(text: bytes, letters: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    number, part, factor = letters
+    data = np.frombuffer(text, np.uint8)
+    inside = part[data]
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        starts = np.concatenate([[0], starts])
+    if not len(starts):
         return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    hashed = np.fromiter((digest(w) for w in words), np.uint64, len(words))
-    width = min(width, len(words))
-    n = len(words) - width + 1
+    data = data[starts[0] :]
+    starts = starts - starts[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    weight = factor[place & 4095]
+    if place.max() > 4095:
+        weight = weight + (place >> 12).astype(np.uint64) * _FACTOR * np.uint64(2)
+    return _mixed(np.add.reduceat(number[data] * weight, starts))
+
+
+def word_numbers(text: bytes, letters: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, at_once: int = 1 << 20) -> np.ndarray:
+    """A 64-bit number for each lower-cased word, in order: hashes of whole stretches of text at a time."""
+    letters = letters or _letters()
+    if len(text) <= at_once:
+        return _word_numbers(text, letters)
+    out, start = [], 0
+    while start < len(text):
+        end = min(len(text), start + at_once)
+        while end < len(text) and text[end] not in b" \t\n\v\f\r":
+            end += 1
+        out.append(_word_numbers(text[start:end], letters))
+        start = end
+    return np.concatenate(out)
+
+
+def shingles(text: bytes, width: int = WIDTH, letters: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Sorted distinct numbers of the lower-cased words' shingles; empty without words."""
+    hashed = word_numbers(text, letters)
+    if not len(hashed):
+        return hashed
+    width = min(width, len(hashed))
+    n = len(hashed) - width + 1
     out = np.full(n, width, np.uint64)
     for i in range(width):
         out = out * _FACTOR + hashed[i : i + n]
-    return np.unique(_mixed(out))
+    out = _mixed(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def common_at_least(n: int, m: int, percent: int) -> int:
@@ -128,10 +172,10 @@ def rarity(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     bits = int(np.clip(np.ceil(np.log2(max(1, total) / 7 * CELLS_EACH)), 10, CELL_BITS_AT_MOST))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int32)
+        counts, letters = np.zeros(1 << bits, np.int32), _letters()
         for batch in batches:
             for text in texts(batch.column(0)):
-                np.add.at(counts, (shingles(text, width) >> np.uint64(64 - bits)).astype(np.int64), 1)
+                np.add.at(counts, (shingles(text, width, letters) >> np.uint64(64 - bits)).astype(np.int64), 1)
         top = np.argpartition(counts, -HEAVY)[-HEAVY:] if len(counts) > HEAVY else np.arange(len(counts))
         top = top[counts[top] > 1]
         yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(counts[top].astype(np.int64))], names=["cell", "n"])
@@ -142,8 +186,18 @@ def rarity(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     return bits, heavy.column("cell").to_numpy(), heavy.column("n").to_numpy()
 
 
-def _signed(found: np.ndarray) -> list[int]:
-    return found.view(np.int64).tolist()
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    """Numbers as a column of lists of longs, without a Python object each."""
+    ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
+    values = np.concatenate(found) if found else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of some rows each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _heads(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -151,13 +205,13 @@ def _heads(rows: DataFrame, width: int, percent: int) -> DataFrame:
     counted = rows.sparkSession.sparkContext.broadcast(rarity(rows, width))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = Rarity(*counted.value)
-        for batch in batches:
-            found = [shingles(t, width) for t in texts(batch.column("text"))]
+        rare, letters = Rarity(*counted.value), _letters()
+        for batch in _parts(batches):
+            found = [shingles(t, width, letters) for t in texts(batch.column("text"))]
             sizes = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), pa.array([xxhash.xxh128_digest(f.tobytes()) for f in found], pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array([_signed(rare.order(f)[: prefix(len(f), percent)]) for f in found], pa.list_(pa.int64())), pa.array([short_prefix(n, percent) for n in sizes], pa.int64())],
+                 _lists([rare.order(f)[: prefix(len(f), percent)] for f in found]), pa.array([short_prefix(n, percent) for n in sizes], pa.int64())],
                 names=["row_id", "sig", "n", "first", "short"],
             )
 
@@ -168,11 +222,13 @@ def _sets(rows: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
     """`node`, `bits` (its sketch), `others` (its prefixes in the other orders) and `set`, all its shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, many = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
-        for batch in batches:
-            found = [shingles(t, width) for t in texts(batch.column("text"))]
-            others = [[_signed(by_hash(f, k)[: prefix(len(f), percent)]) for k in range(1, orders)] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([sketch(f).tolist() for f in found], one), pa.array(others, many), pa.array([_signed(f) for f in found], one)], names=["node", "bits", "others", "set"])
+        letters = _letters()
+        for batch in _parts(batches):
+            found = [shingles(t, width, letters) for t in texts(batch.column("text"))]
+            flat = _lists([by_hash(f, k)[: prefix(len(f), percent)] for f in found for k in range(1, orders)])
+            others = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * (orders - 1)), flat)
+            bits = _lists([sketch(f).view(np.uint64) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), bits, others, _lists(found)], names=["node", "bits", "others", "set"])
 
     return map_batches(rows.select("row_id", "text"), work, "node long, bits array<long>, others array<array<long>>, set array<long>")
 
@@ -199,10 +255,19 @@ def _sketches(percent: int) -> Column:
     return n + m - apart >= 2 * _need(n, m, percent)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs `a`, `b` that share a prefix shingle under every other order and are linked by their whole sets."""
-    side = lambda c, as_: sets.select(F.col("node").alias(c), F.col("others").alias(f"{as_}_others"), F.col("set").alias(as_))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    """The pairs `a`, `b` (staged) that share a prefix shingle under every other order and are linked by their whole sets.
+
+    Only the sets of these pairs are moved.
+    """
+    few = _small(pairs)
+    side = lambda node, as_: sets.join(few, F.col("node") == F.col(node)).select("a", "b", F.col("others").alias(f"{as_}_others"), F.col("set").alias(as_))
+    both = side("a", "x").join(side("b", "y"), ["a", "b"])
     under_all = F.forall(F.zip_with("x_others", "y_others", F.arrays_overlap), lambda o: o)
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(under_all).where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -221,18 +286,20 @@ def _mixed_keys(posts: DataFrame) -> DataFrame:
     return posts.join(mixed, "key")
 
 
-def _with_centres(posts: DataFrame, number: int, percent: int) -> DataFrame:
+def _with_centres(posts: DataFrame, bits: DataFrame, number: int, percent: int) -> DataFrame:
     """Pairs `a`, `b`: each node with the centre, of another component, that it has most shingles in common with."""
     by = F.xxhash64("key", "node", F.lit(number))
     row = F.struct(*[F.col(c) for c in posts.columns if c != "key"])
     centre = posts.groupBy("key").agg(F.min_by(row, by).alias("x"))
-    pairs = posts.select("key", row.alias("y")).join(centre, "key").where("x.root <> y.root").where(_possible(percent) & _sketches(percent))
+    pairs = posts.select("key", row.alias("y")).join(centre, "key").where("x.root <> y.root").where(_possible(percent))
     counted = pairs.groupBy(F.col("y.node").alias("b"), F.col("x.node").alias("a")).count()
-    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", F.col("a"))).alias("a")).select("a", "b")
+    best = counted.groupBy("b").agg(F.max_by("a", F.struct("count", F.col("a"))).alias("a"))
+    one = lambda as_: bits.select(F.col("node").alias(as_), F.struct("n", "bits").alias("x" if as_ == "a" else "y"))
+    return best.join(one("a"), "a").join(one("b"), "b").where(_sketches(percent)).select("a", "b")
 
 
 def _all_pairs(posts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs `a`, `b` of different components that share a shingle and pass the bounds, each once."""
+    """Pairs `a`, `b` of different components that share a shingle and pass the bounds, each once; posts have the sketches."""
     sized = posts.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     row = F.struct(*[F.col(c) for c in posts.columns if c != "key"])
     cut = posts.select("key", "node", row.alias("y")).join(sized, "key")
@@ -250,38 +317,33 @@ def cluster(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
     shingles that two sets show.
     """
     heads = stage(_heads(rows, width, percent), "heads")
-    nodes = stage(heads.groupBy("sig").agg(F.min("row_id").alias("node")), "nodes")
-    named = heads.select("row_id", "sig", "n").join(nodes, "sig").select("row_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) | F.lit(link_empty), F.col("node")).otherwise(F.col("row_id")).alias("node"))
-    shown = heads.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), "n", "short", F.posexplode("first").alias("place", "key")).select("key", "node", "n", "place", (F.col("place") < F.col("short")).alias("near"))
+    nodes = heads.groupBy("sig").agg(F.min("row_id").alias("node"))
+    named = stage(heads.select("row_id", "sig", "n").join(nodes, "sig").select("row_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) | F.lit(link_empty), F.col("node")).otherwise(F.col("row_id")).alias("node")), "named")
+    copies = stage(named.where("row_id <> node").select("row_id"), "copies")
+    shown = heads.join(_small(copies), "row_id", "left_anti").select(F.col("row_id").alias("node"), "n", "short", F.posexplode("first").alias("place", "key")).select("key", "node", "n", "place", (F.col("place") < F.col("short")).alias("near"))
     shared = shown.groupBy("key").agg(F.count("*").alias("sets"), F.max("near").alias("some")).where("sets > 1 and some").select("key")
-    shown = stage(shown.join(shared, "key"), "shown")
-    some = stage(shown.select(F.col("node").alias("row_id")).distinct(), "some-nodes")
-    # Up to a stated number of nodes their ids are broadcast, so that no text is shuffled for them.
-    some = F.broadcast(some) if some.count() <= BROADCAST_NODES else some
-    sets = stage(_sets(rows.join(some, "row_id", "left_semi"), width, percent, orders), "sets")
-    posts = stage(shown.join(sets.select("node", "bits"), "node"), "posts")
-    drop_stage(shown)
+    posts = stage(shown.join(shared, "key"), "posts")
+    drop_stage(heads)
+    some = stage(posts.select(F.col("node").alias("row_id")).distinct(), "some-nodes")
+    sets = stage(_sets(rows.join(_small(some), "row_id", "left_semi"), width, percent, orders).withColumn("n", F.size("set")), "sets")
+    bits = sets.select("node", "n", "bits")
     links, root = None, None
     for number in range(rounds):
         rest = stage(_mixed_keys(_rooted(posts, root)), "rest")
         drop_stage(posts)
         posts = rest.drop("root")
-        if rest.isEmpty():
-            break
-        pairs = stage(_with_centres(rest, number, percent), "centre-pairs")
+        pairs = stage(_with_centres(rest, bits, number, percent), "centre-pairs")
         new = stage(_verified(pairs, sets, percent), "links-found")
-        drop_stage(pairs)
         found = stage(new if links is None else links.union(new), "links-all")
-        for done in [new] + ([links] if links is not None else []):
+        for done in [pairs, new] + ([links] if links is not None else []) + ([root] if root is not None else []):
             drop_stage(done)
         links = found
-        if root is not None:
-            drop_stage(root)
         root = stage(components(links), "roots")
-    pairs = stage(_all_pairs(_mixed_keys(_rooted(posts, root)), percent, block), "pairs")
+    rest = _mixed_keys(_rooted(posts, root)).join(bits.select("node", "bits"), "node")
+    pairs = stage(_all_pairs(rest, percent, block), "pairs")
     new = _verified(pairs, sets, percent)
     root = stage(components(new if links is None else links.union(new)), "roots")
-    for done in (pairs, posts, sets):
+    for done in (pairs, posts, sets, copies, some):
         drop_stage(done)
     return named.join(root, "node", "left").select("row_id", "n_shingles", F.coalesce("root", "node").alias("component"))
 
