@@ -83,3 +83,8 @@ def test_empty_tables(spark, odd_docs, no_docs):
     items = bench(spark, [(1, ITEM)])
     assert d.leaks(no_docs, items).count() == 0 and d.leaks(odd_docs, items.limit(0)).count() == 0
     assert d.clean(odd_docs, items.limit(0)).count() == odd_docs.count() and d.clean(no_docs, items).columns == no_docs.columns
+
+
+def test_words_cut_as_a_whole_as_one_by_one():
+    texts = ["", "A b_c9, d-e\tF\x1cg\x00h'i", "It's 3.5% (OK)?", "Ünder_Ärger, ΟΔΟΣ İx", "“Žluť”—Œuvre… ²ª \x81\x85\xa0x", "".join(map(chr, range(1, 0x2200))), "".join(chr(c) + " x" for c in range(1, 256)), None]
+    assert [d.words_of(t) for t in texts] == [[w.lower() for w in d.WORD.findall(t or "")] for t in texts]

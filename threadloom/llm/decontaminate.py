@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,24 @@ BLOCK_BYTES = 8 << 20
 WORD = re.compile(r"\w+")
 
 
+
+
+def _lowered() -> bytes:
+    """For each byte of code page 1252 the lower-cased letter, or a blank for what is in no word."""
+    chars = bytes(range(256)).decode("cp1252", "replace")
+    return b"".join(c.lower().encode("cp1252") if c != "\ufffd" and WORD.match(c) else b" " for c in chars)
+
+
+_LOWERED = _lowered()
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w.lower() for w in WORD.findall(text or "")]
+    """Lower-cased words. Texts of one-byte characters are lower-cased and cut as a whole, with the same words."""
+    text = text or ""
+    try:
+        return text.encode("cp1252").translate(_LOWERED).decode("cp1252").split()
+    except UnicodeEncodeError:
+        return [w.lower() for w in WORD.findall(text)]
 
 
 @dataclass
@@ -88,9 +105,8 @@ class Items:
         return np.where(known, key * 4 + width, -1)
 
     def numbers(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        found = WORD.findall(text or "")
-        return np.fromiter((get(w.lower(), 0) for w in found), np.int64, len(found))
+        found = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
 
 
 def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
@@ -112,9 +128,11 @@ def _lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     """Places in `keys` that are among the sorted ones, and where."""
     if not len(sorted_keys) or not len(keys):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    known = np.flatnonzero(keys >= 0)
+    keys = keys[known]
     at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    places = np.nonzero(sorted_keys[at] == keys)[0]
-    return places, at[places]
+    same = np.flatnonzero(sorted_keys[at] == keys)
+    return known[same], at[same]
 
 
 def count_grams(docs: DataFrame, items, grams, text: str) -> dict[int, int]:
