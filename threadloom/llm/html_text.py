@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,13 +36,17 @@ from .registry import query, table
 # Element names by role.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea object math title".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
 AROUND = frozenset("nav header footer aside form menu dialog select button label fieldset".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id or role that mark surroundings or main text.
-AROUND_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted promotion reader related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo dialog alert".split())
+AROUND_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer login masthead menu menubar modal nav navbar navigation newsletter popup promo promoted related replies respond sharing sidebar signup sponsored subscribe subscription toolbar widget complementary contentinfo".split())
+# Words that do so only at the end of a name: a site-header is one, a header-image is not.
+AROUND_LAST = frozenset("header notice notices promotion reader search share social sponsor dialog alert".split())
 MAIN_WORDS = frozenset("article articlebody story post entry maintext bodytext".split())
+# A name that begins with one of these says what goes with the element, not what it is.
+SAYS_NOTHING = frozenset("has no not with without is hide show".split())
 
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*|[^>]*)(?P<close>>|\Z)",
@@ -60,27 +65,42 @@ class Block:
     linked: int
     hint: int  # of the innermost container that gives one: 1 main text, -1 surroundings, 0 none
     heading: int
+    container: int  # which container that is
+    by_name: bool  # whether it is an article or main element
+
+
+def _says(name: str) -> int:
+    """What one class, id or role says: 1 main text, -1 surroundings, 0 nothing."""
+    parts = [p.lower() for p in _PARTS.findall(_CAMEL.sub(" ", name))]
+    if not parts or len(parts) > 1 and parts[0] in SAYS_NOTHING:
+        return 0
+    if not AROUND_WORDS.isdisjoint(parts) or parts[-1] in AROUND_LAST:
+        return -1
+    return int(not MAIN_WORDS.isdisjoint(parts))
 
 
 def _hint(name: str, attrs: str) -> int:
     if name in AROUND:
         return -1
+    said = 0
     if attrs:
         if "hid" in attrs.lower() and _HIDDEN.search(attrs) or "none" in attrs and _HIDDEN.search(attrs):
             return -1
         for value in _MARKS.findall(attrs):
-            parts = {p.lower() for p in _PARTS.findall(_CAMEL.sub(" ", value))}
-            if parts & AROUND_WORDS:
-                return -1
-            if parts & MAIN_WORDS:
-                return 1
-    return 1 if name in MAIN else 0
+            for one in value.strip("\"'").split():
+                says = _says(one)
+                if says < 0:
+                    return -1
+                said |= says
+    return 1 if said or name in MAIN else 0
 
 
 def blocks_of(page: str) -> list[Block]:
     """The flat blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements with the hint that holds inside
+    stack: list[tuple[str, tuple[int, int, bool]]] = []  # open elements with the hint that holds inside, and whose it is
+    containers = 0
+    opened: Counter = Counter()  # how many of each name are open, so that an end tag of none costs nothing
     parts: list[tuple[str, bool]] = []
     links = 0
     at = 0
@@ -92,7 +112,8 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = sum(len(p.split()) for p, inside in parts if inside)
                 heading = int(any(name in HEADINGS for name, _ in stack[-3:]))
-                out.append(Block(text, len(text.split()), linked, stack[-1][1] if stack else 0, heading))
+                hint, container, by_name = stack[-1][1] if stack else (0, 0, False)
+                out.append(Block(text, len(text.split()), linked, hint, heading, container, by_name))
             parts = []
 
     while at < len(page):
@@ -115,9 +136,10 @@ def blocks_of(page: str) -> list[Block]:
         if token["end"]:
             if name in BLOCK:
                 flush()
-            if any(n == name for n, _ in stack):
+            if opened[name]:
                 while True:
                     n, _ = stack.pop()
+                    opened[n] -= 1
                     links -= n == "a"
                     if n == name:
                         break
@@ -128,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
             while stack and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
         if name in RAW:
             if not token["attrs"].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.IGNORECASE).search(page, at)
@@ -136,7 +158,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name not in VOID:
             own = _hint(name, token["attrs"])
-            stack.append((name, own or (stack[-1][1] if stack else 0)))
+            containers += own != 0
+            stack.append((name, (own, containers, name in MAIN) if own else stack[-1][1] if stack else (0, 0, False)))
+            opened[name] += 1
             links += name == "a"
     flush()
     return out
@@ -147,7 +171,9 @@ FEATURES = ("hint", "page has an article", "heading", "words", "link density", "
 
 def features_of(blocks: list[Block]) -> np.ndarray:
     """One row of `FEATURES` for each block; beyond the ends of a page are no words."""
-    marked = float(any(b.hint > 0 for b in blocks))
+    # A page marks its article by an element, or by a name of what holds several blocks.
+    several = {c for c, n in Counter(b.container for b in blocks).items() if n > 1}
+    marked = float(any(b.hint > 0 and (b.by_name or b.container in several) for b in blocks))
     own = [(float(b.words), b.linked / b.words) for b in blocks]
     around = [(0.0, 0.0), *own, (0.0, 0.0)]
     return np.array([[b.hint, marked, b.heading, *own[i], *around[i], *around[i + 2]] for i, b in enumerate(blocks)]).reshape(-1, len(FEATURES))
@@ -173,6 +199,14 @@ LABELLED_PAGES = (
     "<p>{60}</p><p>{15}</p><article><p>+{4}<p>+{30}</article><p>{50}</p><p>{20}</p>",
     "<p>{18}[1]</p><main><p>+{150}<p>+[2]</main><p>{80}</p><p>{9}</p>",
     "<p>{2}</p><article><h1>+{9}</h1><h2>+{3}</h2><p>+[1]<p>+{200}</article><p>{30}</p><p>[4]</p>",
+    "<nav>[1] [1]</nav><p>+{60}<p>+{45}<div id=comments><p>{30}<p>{40}</div><footer>{30}</footer><div class=cookie-notice>{30}</div>",
+    "<aside class=sidebar><p>{30}</aside><h1>+{5}</h1><p>+{80}<form><p>{30}</form><p>+{30}<footer><p>{12}[1]</footer>",
+    "<header>{6}</header><div class=cookie-banner><p>{22}<p>{4}</div><div><p>+{25}<p>+{50}<p>+{9}</div><section class=comments><h3>{1}</h3><p>{60}<p>{18}</section>",
+    "<nav>[1] [1] [1]</nav><article><h1>+{11}</h1><p>+{17}<p>+{143}<p>+{31}<p>+{189}<p>+{43}<p>+{51}<p>+{22}<p>+{11}</article><footer>{11}</footer>",
+    "<div>{9}</div><main><h1>+{7}</h1><p>+{968}<p>+{9}<p>+{400}<p>+{5}<p>+{240}<p>+[6]<p>+{75}<p>+{300}<p>+{2}<p>+{62}</main><div>{38}</div><footer>{7}</footer>",
+    "<p>{33}<article><p>+{600}<p>+{13}<h2>+{2}</h2><p>+{38}<p>+{96}<p>+{1}<p>+{170}<p>+{29}<p>+{220}[9]</article><p>{70}",
+    "<div>[1] [2] [1]</div><h1>+{6}</h1><p>+{24}<p>+{90}<p>+{31}", "<ul><li>[1]<li>[2]</ul><div>+{64}</div><div>+{18}</div><div>+{52}</div>",
+    "<div class=newsletter>{15}</div><h2>+{6}</h2><p>+{33}<aside>{45}</aside><p>+{70}<div class=related><p>{14}<p>{25}</div>",
 )
 
 
@@ -195,7 +229,7 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
 # Decision tree -----------------------------------------------------------------------------------------------------------
 
 
-def learn_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple | bool:
+def learn_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> tuple | bool:
     """Binary tree by Gini impurity: (feature, threshold, tree up to it, tree above it), or the label of a leaf.
 
     Of equal splits the first feature and the lowest threshold are taken.
