@@ -54,11 +54,13 @@ def test_as_by_brute_force(spark, burst, entries):
     assert sorted(tuple(r) for r in found) == slow(rows)
 
 
-def test_longer_phrases_and_a_top(spark):
+def test_other_settings(spark):
     rows = texts(2, 200, 25)
     docs = spark.createDataFrame(rows, "lang string, text string")
-    found = c.collocations(docs, min_count=4, max_words=4, top=7).select(COLUMNS).collect()
-    assert sorted(tuple(r) for r in found) == slow(rows, 4, 7, 4)
+    found = c.collocations(docs, min_count=4, max_words=2, top=7).select(COLUMNS).collect()
+    assert sorted(tuple(r) for r in found) == slow(rows, 4, 7, 2)
+    with pytest.raises(ValueError):
+        c.collocations(docs, max_words=4)
 
 
 def test_a_small_filter_loses_nothing(spark, monkeypatch):
@@ -79,14 +81,27 @@ def test_the_filter_drops_most_others():
 
 
 def test_a_trie_bursts_and_spills_its_largest_subtrees():
+    number = lambda p: p[0] << 2 * c.WORD_BITS | p[1] << c.WORD_BITS | p[2]
     trie = c.Trie(3, burst=4)
-    phrases = [(1, i % 3, i) for i in range(12)] + [(2, 1, 1)] * 5 + [(3, 1, 1)]
-    trie.add(iter(phrases))
-    assert trie.size == 14 and trie.root[1][2] and not trie.root[2][2]
-    first = next(iter(trie.spill(2)))
-    assert {p for p, _ in first} == {p for p in phrases if p[0] == 1} and trie.size == 2
-    left = dict(x for run in trie.spill(-1) for x in run)
-    assert left == {(2, 1, 1): 5, (3, 1, 1): 1}
+    phrases = Counter([(1, i % 3, i) for i in range(12)] + [(2, 1, 1)] * 5 + [(3, 1, 1)])
+    for part in (list(phrases)[:3], list(phrases)[3:9], list(phrases)[9:], [(1, 0, 0), (1, 5, 5)]):
+        part = sorted(part)
+        trie.add(c.np.array([number(p) for p in part]), c.np.array([phrases.get(p, 1) for p in part]))
+    assert trie.size == 15 and trie.root[1][2] and not trie.root[2][2]
+    first = [x for keys, counts in trie.spill(2) for x in zip(keys.tolist(), counts.tolist())]
+    assert trie.size == 2 and dict(first) == {number(p): 1 + (p == (1, 0, 0)) for p in [*phrases, (1, 5, 5)] if p[0] == 1}
+    left = dict(x for keys, counts in trie.spill(-1) for x in zip(keys.tolist(), counts.tolist()))
+    assert left == {number((2, 1, 1)): 5, number((3, 1, 1)): 1}
+
+
+def test_many_words_and_languages(spark, monkeypatch):
+    """Word numbers start anew, and texts of many languages are counted before a chunk is full."""
+    monkeypatch.setattr(c, "CHUNK", 300)
+    monkeypatch.setattr(c, "WORDS_HELD", 200)
+    rows = texts(5, 300, 400) + [(f"l{i % 40}", "so it is, so it was. " * (i % 7)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    found = c.collocations(docs, entries=150, min_count=6).select(COLUMNS).collect()
+    assert sorted(tuple(r) for r in found) == slow(rows, 6)
 
 
 def test_scores_are_exact_beyond_64_bits(spark):

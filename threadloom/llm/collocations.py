@@ -1,13 +1,13 @@
 """Phrase collocations, counted in HAT-tries that spill sorted runs.
 
-A task counts the phrases of its documents in a trie over word numbers. A trie is
-shallow: below a language and a first word hangs one hash container of the rest of
+A task counts the phrases of its documents in a trie over word numbers, which takes
+the distinct phrases of a stretch of text at a time. A trie is shallow: below a language and a first word hangs one hash container of the rest of
 the phrases, and only a container that grows beyond `BURST` entries bursts into a
 node with a container for each next word. When the trie holds `ENTRIES` phrases, its
 largest subtrees leave it whole, each as a run sorted by its words, until half is
-left. Runs are shuffled by language and first two words, so all runs of a prefix
-meet in one partition and are merged there; a frequent first word is spread over its
-second words.
+left. Runs are shuffled by language and first word, so all runs of a prefix meet in one
+partition and are merged there; the second words below a first word are dealt to a few
+partitions. A word number has 21 bits, so phrases have three words at most.
 
 Phrases are counted by length, and a phrase can only occur as often as asked for if
 both phrases that it is made of by leaving out its first or its last word do. So each
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,12 +45,20 @@ CONTAINED_PERCENT = 50
 TOP = 2000
 #: Phrases a container holds before it bursts, and a task's trie before it spills.
 BURST = 4096
-ENTRIES = 600_000
+ENTRIES = 1_000_000
+#: Partitions that the second words below one first word are dealt to.
+SECOND_WORDS = 16
+#: Words a task holds numbers of before it begins anew.
+WORDS_HELD = 600_000
+#: Bytes of text a task counts at once, rows it hands over at once, and bits of a word number.
+CHUNK = 1 << 20
+OUT_ROWS = 50_000
+WORD_BITS = 21
 #: Bits of the filter for each frequent phrase, and bits at most (32 MB).
 BITS_EACH, BITS_AT_MOST = 32, 1 << 28
 #: Bytes of the filter that one task puts together.
 BLOCK = 1 << 16
-_SEPARATORS = bytes.maketrans(b".,;:!?\n\v\f\r", b".........." )
+_SEPARATORS = bytes.maketrans(b".,;:!?\n\v\f\r", b"..........")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,48 +68,57 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Trie:
-    """Counts of phrases of one length, given as word numbers."""
+    """Counts of phrases of one length.
+
+    Phrases come as one number each, `WORD_BITS` bits for each of their word numbers, the first word uppermost.
+    """
 
     def __init__(self, length: int, burst: int = BURST) -> None:
         self.length, self.burst = length, burst
-        #: By first word: how many phrases are below, and the container (rest of the phrase: count) or the node (next word: container).
+        self.shift = WORD_BITS * (length - 1)
+        #: By first word: how many phrases are below, the container (rest of the phrase: count) or the node (next word: container), and which of both.
         self.root: dict[int, list] = {}
         self.size = 0
 
-    def add(self, phrases: Iterator[tuple[int, ...]]) -> None:
-        """Count phrases, one by one."""
-        root = self.root
-        for first, *rest in phrases:
-            below = root.get(first)
+    def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
+        """Count distinct phrases, given in ascending order."""
+        firsts = phrases >> self.shift
+        cuts = np.flatnonzero(np.diff(firsts, prepend=-1))
+        rests, numbers = (phrases & ((1 << self.shift) - 1)).tolist(), counts.tolist()
+        for first, start, end in zip(firsts[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(rests)]):
+            below = self.root.get(first)
             if below is None:
-                below = root[first] = [0, {}, False]
-            at = below[1]
+                below = self.root[first] = [0, {}, False]
+            before = below[0]
             if below[2]:
-                at = at.get(rest[0])
-                if at is None:
-                    at = below[1][rest[0]] = {}
-            key = tuple(rest)
-            n = at.get(key)
-            if n is not None:
-                at[key] = n + 1
-                continue
-            at[key] = 1
-            below[0] += 1
-            self.size += 1
-            if below[0] == self.burst and self.length > 2:
+                for rest, n in zip(rests[start:end], numbers[start:end]):
+                    at = below[1].setdefault(rest >> self.shift - WORD_BITS, {})
+                    below[0] += rest not in at
+                    at[rest] = at.get(rest, 0) + n
+            elif before:
+                at = below[1]
+                for rest, n in zip(rests[start:end], numbers[start:end]):
+                    at[rest] = at.get(rest, 0) + n
+                below[0] = len(at)
+            else:
+                below[1] = dict(zip(rests[start:end], numbers[start:end]))
+                below[0] = end - start
+            self.size += below[0] - before
+            if below[0] > self.burst and not below[2] and self.length > 2:
                 node: dict[int, dict] = {}
-                for key, n in below[1].items():
-                    node.setdefault(key[0], {})[key] = n
+                for rest, n in below[1].items():
+                    node.setdefault(rest >> self.shift - WORD_BITS, {})[rest] = n
                 below[1], below[2] = node, True
 
-    def spill(self, left: int) -> Iterator[list[tuple[tuple[int, ...], int]]]:
-        """Whole subtrees, the largest first, until `left` phrases stay."""
+    def spill(self, left: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases and counts of whole subtrees, the largest first, until `left` phrases stay."""
         for first in sorted(self.root, key=lambda w: -self.root[w][0]):
             if self.size <= left:
                 return
             size, at, deep = self.root.pop(first)
             self.size -= size
-            yield [((first, *rest), n) for part in (at.values() if deep else [at]) for rest, n in part.items()]
+            for part in at.values() if deep else [at]:
+                yield np.fromiter(part, np.int64, len(part)) + (first << self.shift), np.fromiter(part.values(), np.int64, len(part))
 
 
 class Words(Trie):
@@ -109,17 +127,16 @@ class Words(Trie):
     def __init__(self) -> None:
         super().__init__(1)
 
-    def add(self, phrases: Iterator[tuple[int, ...]]) -> None:
+    def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
         root = self.root
-        for (word,) in phrases:
-            root[word] = root.get(word, 0) + 1
+        for word, n in zip(phrases.tolist(), counts.tolist()):
+            root[word] = root.get(word, 0) + n
         self.size = len(root)
 
-    def spill(self, left: int) -> Iterator[list[tuple[tuple[int, ...], int]]]:
+    def spill(self, left: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.size > left:
-            run = [((word,), n) for word, n in self.root.items()]
+            yield np.fromiter(self.root, np.int64, self.size), np.fromiter(self.root.values(), np.int64, self.size)
             self.root, self.size = {}, 0
-            yield run
 
 
 class Filter:
@@ -156,79 +173,97 @@ def _schema(length: int) -> str:
 
 def count_phrases(rows: DataFrame, length: int, known: Filter | None = None, burst: int = BURST, entries: int = ENTRIES) -> DataFrame:
     """`lang`, `w1`… and `f` of all phrases whose parts are in the filter; `rows` has `lang` and `text`."""
+    if length > 63 // WORD_BITS:
+        raise ValueError(f"phrases of {63 // WORD_BITS} words at most")
     shared = rows.sparkSession.sparkContext.broadcast(known.bits) if known is not None else None
+    columns = [f"w{i}" for i in range(1, length + 1)]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lets = Filter(shared.value) if shared is not None else None
-        tries: dict[str, Trie] = {}
-        ids: dict[bytes, int] = {b".": 0}
-        names, hashes = [b"."], [0]
+    class Numbers(dict):
+        """Numbers of the words met; `.` is 0."""
+
+        def __init__(self) -> None:
+            super().__init__({b".": 0})
+            self.names, self.hashes = [b"."], [0]
 
-        def number(word: bytes) -> int:
-            at = ids[word] = len(names)
-            names.append(word)
-            hashes.append(xxhash.xxh64_intdigest(word))
+        def __missing__(self, word: bytes) -> int:
+            at = self[word] = len(self.names)
+            self.names.append(word)
+            self.hashes.append(xxhash.xxh64_intdigest(word))
             return at
 
-        def out(lang: str, run: list) -> pa.RecordBatch:
-            run.sort(key=lambda x: [names[w] for w in x[0]])
-            columns = [pa.array([names[phrase[i]] for phrase, _ in run], pa.binary()).cast(pa.string()) for i in range(length)]
-            counts = pa.array([n for _, n in run], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(run), pa.string()), *columns, counts], names=["lang", *[f"w{i}" for i in range(1, length + 1)], "f"])
-
-        def runs(lang: str, left: int) -> Iterator[pa.RecordBatch]:
-            part: list = []
-            for run in tries[lang].spill(left):
-                part += run
-                if len(part) > 20_000:
-                    yield out(lang, part)
-                    part = []
-            if part:
-                yield out(lang, part)
-
-        def drain() -> Iterator[pa.RecordBatch]:
-            for lang in list(tries):
-                yield from runs(lang, -1)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lets = Filter(shared.value) if shared is not None else None
+        tries: dict[str, Trie] = {}
+        ids = Numbers()
 
+        def run(left_of) -> Iterator[pa.RecordBatch]:
+            """What leaves the tries, as one run sorted by language and words."""
+            taken = [(lang, *part) for lang in sorted(tries) for part in tries[lang].spill(left_of(tries[lang]))]
+            if not taken:
+                return
+            phrases, counts = np.concatenate([t[1] for t in taken]), np.concatenate([t[2] for t in taken])
+            langs = {lang: k for k, lang in enumerate(sorted(tries))}
+            of = np.repeat([langs[t[0]] for t in taken], [len(t[1]) for t in taken])
+            words = [phrases >> WORD_BITS * (length - 1 - i) & (1 << WORD_BITS) - 1 for i in range(length)]
+            names = pa.array(ids.names, pa.binary())
+            place = np.empty(len(names), np.int64)
+            place[pa.compute.sort_indices(names).to_numpy()] = np.arange(len(names))
+            order = np.lexsort([place[w] for w in words[::-1]] + [of])
+            names = names.cast(pa.string())
+            for at in range(0, len(order), OUT_ROWS):
+                some = order[at : at + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(tries), pa.string()).take(pa.array(of[some])), *[names.take(pa.array(w[some])) for w in words], pa.array(counts[some])], names=["lang", *columns, "f"])
+
+        def count(lang: str, some: list[bytes]) -> None:
+            seen = np.array([ids[w] for w in words_of(b".".join(some))], np.int64)
+            n = len(seen) - length + 1
+            if n <= 0:
+                return
+            inside, phrases = np.ones(n, bool), np.zeros(n, np.int64)
+            for i in range(length):
+                inside &= seen[i : i + n] > 0
+                phrases = phrases << WORD_BITS | seen[i : i + n]
+            if lets is not None:
+                own = np.array(ids.hashes, np.uint64)[seen]
+                parts = lets.has(_mixed([own[i : i + n + 1] for i in range(length - 1)]))
+                inside &= parts[:n] & parts[1 : n + 1]
+            if lang not in tries:
+                tries[lang] = Trie(length, burst) if length > 1 else Words()
+            tries[lang].add(*np.unique(phrases[inside], return_counts=True))
+
+        waiting: dict[str, list] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text"))):
-                words = words_of(text)
-                get = ids.get
-                seen = np.fromiter((w if w is not None else -1 for w in map(get, words)), np.int64, len(words))
-                for i in np.nonzero(seen < 0)[0].tolist():
-                    at = ids.get(words[i])
-                    seen[i] = number(words[i]) if at is None else at
-                n = len(seen) - length + 1
-                if n <= 0:
-                    continue
-                inside = np.ones(n, bool)
-                for i in range(length):
-                    inside &= seen[i : i + n] > 0
-                if lets is not None:
-                    own = np.array([hashes[w] for w in seen.tolist()], np.uint64)
-                    parts = lets.has(_mixed([own[i : i + n + 1] for i in range(length - 1)]))
-                    inside &= parts[:n] & parts[1 : n + 1]
-                at = np.nonzero(inside)[0]
-                columns = [seen[at + i].tolist() for i in range(length)]
-                trie = tries.get(lang)
-                if trie is None:
-                    trie = tries[lang] = Trie(length, burst) if length > 1 else Words()
-                trie.add(zip(*columns))
-                if sum(t.size for t in tries.values()) >= entries:
-                    for each in list(tries):
-                        yield from runs(each, tries[each].size // 2)
-            if len(names) > entries:
-                # New word numbers: all runs of the old ones leave first.
-                yield from drain()
-                tries.clear()
-                ids.clear()
-                ids[b"."] = 0
-                del names[1:], hashes[1:]
-        yield from drain()
+                own = waiting.setdefault(lang, [0, []])
+                own[0] += len(text) + 1
+                own[1].append(text)
+                if own[0] >= CHUNK:
+                    del waiting[lang]
+                    count(lang, own[1])
+                    if sum(t.size for t in tries.values()) >= entries:
+                        yield from run(lambda t: t.size // 2)
+                    if len(ids.names) > WORDS_HELD:
+                        # New word numbers: all runs of the old ones leave first.
+                        yield from run(lambda t: -1)
+                        ids = Numbers()
+            if sum(own[0] for own in waiting.values()) >= 8 * CHUNK:
+                # Many languages with little text each.
+                for lang, own in waiting.items():
+                    count(lang, own[1])
+                waiting = {}
+        for lang, own in waiting.items():
+            count(lang, own[1])
+            if len(ids.names) > WORDS_HELD:
+                yield from run(lambda t: -1)
+                ids = Numbers()
+        yield from run(lambda t: -1)
 
-    words = [f"w{i}" for i in range(1, length + 1)]
     spilled = map_batches(rows.select("lang", "text"), work, _schema(length))
-    return spilled.repartition("lang", *words[:2]).groupBy("lang", *words).agg(F.sum("f").alias("f"))
+    # A prefix partition is a first word, of which second words are dealt to some partitions, so that a frequent word is not one task's.
+    # Rows of a run that go the same way still stand together with their first word, which keeps the shuffle small.
+    part = F.pmod(F.xxhash64(columns[1]), F.lit(SECOND_WORDS)) if length > 1 else F.lit(0).cast("long")
+    parts = spilled.withColumn("part", part).repartition("lang", "w1", "part")
+    return parts.groupBy("lang", "w1", "part", *columns[1:]).agg(F.sum("f").alias("f")).drop("part")
 
 
 def filter_of(counted: DataFrame, length: int, bits_each: int = BITS_EACH, at_most: int = BITS_AT_MOST) -> Filter:
