@@ -213,10 +213,9 @@ def a13(spark, sf_dir):
 
 
 @query("u3_missing_columns", s.with_(s.TWEETS, _AS_CONV, body=f"""
-SELECT unnest(['conversation_context', 'customer_author', 'support_author']) AS "column" FROM (SELECT count(*) FROM c)"""))
+SELECT unnest(['conversation_context', 'customer_author', 'support_author']) AS "column", n FROM (SELECT {s.count()} AS n FROM c)"""))
 def u3(spark, sf_dir):
-    found = contract.schema_findings(_messages_as_conversations(spark, sf_dir), contract.CONTRACT_A)
-    return found.filter(F.col("check") == "missing_column").select("column")
+    return contract.missing_cells(_messages_as_conversations(spark, sf_dir), contract.CONTRACT_A)
 
 
 @query("a12_contract_on_prepared", s.with_(*s.ALL_CONVERSATIONS, body=f"""

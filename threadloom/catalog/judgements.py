@@ -8,10 +8,11 @@ from ..config import UNCONFIGURED_LIMITS
 from ..functions import rules
 from ..operators import baselines, decisions, golden, metrics
 from ..plans import evaluation, triage
+from ..session import staged
 from ..sources import standins as st
 from . import sql as s
 from .registry import query
-from .similarity import DIM, _asks, _ASKED, _docs, _flagged, _hits, _RELEVANT, _SIMILAR
+from .similarity import DIM, _docs, _flagged, _hits, _pool, _RELEVANT
 
 # --------------------------------------------------------------- escalation
 
@@ -124,9 +125,9 @@ def d2_generated(spark, sf_dir):
 _TRIAGE = (s.VECTORS, s.reranked(), _DRAFTED, s.decided("drafted", generator="escalate"))
 
 
-def _triaged(spark, sf_dir):
+def _triaged(spark, sf_dir, pool=None):
     v = st.vectors(spark, sf_dir)
-    return triage.triage(v.withColumn("intent_confidence", (F.col("id") % 100) / 100.0), v, DIM, skip_same=True)
+    return triage.triage(v.withColumn("intent_confidence", (F.col("id") % 100) / 100.0), v, DIM, skip_same=True, pool=pool)
 
 
 @query("d3_triage", s.with_(*_TRIAGE, body=f"""
@@ -263,44 +264,53 @@ def a25(spark, sf_dir):
     return metrics.aggregate_judge(long)
 
 
-def _approaches(spark, sf_dir):
-    asks = _asks(spark, sf_dir)
+def _approaches(spark, sf_dir, triaged=None):
+    """The answers of all approaches to the same messages; none may answer from the message itself."""
+    asks = st.vectors(spark, sf_dir).select("id", "text")
+    triaged = _triaged(spark, sf_dir) if triaged is None else triaged
     keep = ("id", "reply", "confidence", "should_escalate")
-    trivial = baselines.canned(asks).select(F.lit("trivial").alias("approach"), *keep)
-    simple = baselines.nearest_reply(asks, _docs(spark, sf_dir)).select(F.lit("simple").alias("approach"), *keep)
-    system = _triaged(spark, sf_dir).select(F.lit("system").alias("approach"), "id", "reply", F.col("intent_confidence").alias("confidence"), "should_escalate")
+    trivial = baselines.canned(asks).select(F.lit("trivial").alias("approach"), *keep, F.lit(None).cast("double").alias("similarity"))
+    simple = baselines.nearest_reply(asks, _docs(spark, sf_dir), skip_same=True).select(F.lit("simple").alias("approach"), *keep, F.col("confidence").alias("similarity"))
+    system = triaged.select(F.lit("system").alias("approach"), "id", "reply", F.col("intent_confidence").alias("confidence"), "should_escalate", F.col("best_score").alias("similarity"))
     return trivial.unionByName(simple).unionByName(system)
 
 
+_ASKED = s.tfidf("b", "documents", "doc_id", "text", 2, 0.9, 10_000, False, apply_to=("vectors", "id", "text"))
+_SIMILAR = """
+cosine AS (
+  SELECT a.id AS q_id, d.id AS d_id, round(sum(a.w * d.w), 9) AS score FROM bo_weights a JOIN b_weights d USING (term) WHERE a.id <> d.id GROUP BY a.id, d.id
+),
+nearest AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, d_id) AS "rank" FROM cosine WHERE score >= 1e-9)
+"""
 _APPROACHES = f"""
 approaches AS (
-  SELECT 'trivial' AS approach, item_id AS id, {s.q(rules.CANNED_REPLIES['default'])} AS reply, 0.1::DOUBLE AS confidence, false AS should_escalate FROM benchmark
+  SELECT 'trivial' AS approach, id, {s.q(rules.CANNED_REPLIES['default'])} AS reply, 0.1::DOUBLE AS confidence, false AS should_escalate, NULL::DOUBLE AS similarity FROM vectors
   UNION ALL
-  SELECT 'simple', b.item_id, coalesce(d.source, ''), coalesce(n.score, 0), coalesce(n.score, 0) < 0.1::DOUBLE
-  FROM benchmark b LEFT JOIN nearest n ON n.q_id = b.item_id AND n."rank" = 1 LEFT JOIN documents d ON d.doc_id = n.d_id
+  SELECT 'simple', v.id, coalesce(d.source, ''), coalesce(n.score, 0), coalesce(n.score, 0) < 0.1::DOUBLE, coalesce(n.score, 0)
+  FROM vectors v LEFT JOIN nearest n ON n.q_id = v.id AND n."rank" = 1 LEFT JOIN documents d ON d.doc_id = n.d_id
   UNION ALL
-  SELECT 'system', id, reply, intent_confidence, decision_source <> 'policy_and_confidence_gate' FROM decided
+  SELECT 'system', id, reply, intent_confidence, decision_source <> 'policy_and_confidence_gate', best_score FROM decided
 )"""
 
 
 @query("a26_compare_approaches", s.with_(*_TRIAGE, _ASKED, _SIMILAR, _APPROACHES, body=f"""
 SELECT approach, {s.count()} AS n, {s.r6('avg(confidence)')} AS mean_confidence, {s.r6('avg(CASE WHEN should_escalate THEN 1 ELSE 0 END)')} AS escalation_rate,
-  {s.r6('avg(length(reply))')} AS mean_reply_chars FROM approaches GROUP BY approach"""))
+  {s.r6('avg(length(reply))')} AS mean_reply_chars, {s.r6('avg(similarity)')} AS mean_similarity FROM approaches GROUP BY approach"""))
 def a26(spark, sf_dir):
     return metrics.compare_approaches(_approaches(spark, sf_dir))
 
 
 @query("u4_concatenated_approaches", s.with_(*_TRIAGE, _ASKED, _SIMILAR, _APPROACHES, body=f"SELECT approach, id, reply, {s.r6('confidence')} AS confidence, should_escalate FROM approaches"))
 def u4(spark, sf_dir):
-    return _approaches(spark, sf_dir)
+    return _approaches(spark, sf_dir).drop("similarity")
 
 
 _COMPARED = f"""
 compared AS (
   SELECT approach, {s.count()} AS n, {s.r6('avg(confidence)')} AS mean_confidence, {s.r6('avg(CASE WHEN should_escalate THEN 1 ELSE 0 END)')} AS escalation_rate,
-    {s.r6('avg(length(reply))')} AS mean_reply_chars FROM approaches GROUP BY approach
+    {s.r6('avg(length(reply))')} AS mean_reply_chars, {s.r6('avg(similarity)')} AS mean_similarity FROM approaches GROUP BY approach
 )"""
-_COMPARED_METRICS = ("n", "mean_confidence", "escalation_rate", "mean_reply_chars")
+_COMPARED_METRICS = ("n", "mean_confidence", "escalation_rate", "mean_reply_chars", "mean_similarity")
 _RANKING_METRICS = {f"{kind}_at_{k}": f"avg({value})" for k in (1, 3, 5) for kind, value in (
     ("recall", f"CASE WHEN n > 0 THEN hit{k}::DOUBLE / n END"), ("precision", f"hit{k}::DOUBLE / greatest(got{k}, 1)"))} | {"mrr": "avg(coalesce(1.0::DOUBLE / first_hit, 0))"}
 
@@ -315,10 +325,13 @@ UNION ALL SELECT 'retrieval', unnest([{", ".join(f"'{m}'" for m in _RANKING_METR
 UNION ALL SELECT 'escalation', unnest(['n', 'escalation_rate', 'mean_score']), unnest([count(*)::DOUBLE,
   {s.r6("avg(CASE WHEN decision_source <> 'policy_and_confidence_gate' THEN 1 ELSE 0 END)")}, {s.r6(f'avg({s.DECISION_SCORE})')}]) FROM decided"""))
 def d10(spark, sf_dir):
-    flagged, n_relevant = _flagged(spark, sf_dir)
+    """Searched once and triaged once, over the same messages for all approaches."""
+    pool = staged(_pool(spark, sf_dir), "pool")
+    triaged = staged(_triaged(spark, sf_dir, pool), "triaged")
+    flagged, n_relevant = _flagged(spark, sf_dir, pool)
     return evaluation.quick_report(
-        predictions=st.predictions(spark, sf_dir), approaches=_approaches(spark, sf_dir), hits=_hits(spark, sf_dir),
-        flagged_hits=flagged, n_relevant=n_relevant, decisions=_triaged(spark, sf_dir),
+        predictions=st.predictions(spark, sf_dir), approaches=_approaches(spark, sf_dir, triaged), hits=_hits(spark, sf_dir, pool),
+        flagged_hits=flagged, n_relevant=n_relevant, decisions=triaged,
     )
 
 

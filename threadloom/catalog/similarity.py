@@ -205,9 +205,9 @@ def m14_by_join(spark, sf_dir):
     return similarity.build_cells(v, CELLS).search(v, 5, CELLS, skip_same=True, broadcast_bytes=20_000)
 
 
-def _hits(spark, sf_dir):
+def _hits(spark, sf_dir, pool=None):
     v = st.vectors(spark, sf_dir)
-    return retrieval.rerank(_pool(spark, sf_dir), v, v)
+    return retrieval.rerank(_pool(spark, sf_dir) if pool is None else pool, v, v)
 
 
 @query("w4_reranked_hits", s.with_(s.VECTORS, s.reranked(), body=f"""
@@ -226,12 +226,12 @@ def j12(spark, sf_dir):
     return kept.unionByName(none)
 
 
-def _flagged(spark, sf_dir):
+def _flagged(spark, sf_dir, pool=None):
     """Pool with hits of the query's own label marked; relevant documents are counted per label, never listed."""
     v = st.vectors(spark, sf_dir)
     q = v.select(F.col("id").alias("q_id"), F.col("label").alias("q_label"))
     d = v.select(F.col("id").alias("d_id"), F.col("label").alias("d_label"))
-    flagged = _pool(spark, sf_dir).join(q, "q_id").join(d, "d_id").withColumn("is_relevant", F.col("q_label") == F.col("d_label"))
+    flagged = (_pool(spark, sf_dir) if pool is None else pool).join(q, "q_id").join(d, "d_id").withColumn("is_relevant", F.col("q_label") == F.col("d_label"))
     n = q.join(v.groupBy(F.col("label").alias("q_label")).agg((F.count("*") - 1).alias("n")), "q_label").select("q_id", "n")
     return flagged.select("q_id", "d_id", "rank", "is_relevant"), n
 

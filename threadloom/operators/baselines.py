@@ -22,23 +22,24 @@ def canned(messages: DataFrame, id_col: str = "id", intent_col: str | None = Non
 
 
 def similar_history(
-    asks: DataFrame, history: DataFrame, k: int = 1, settings: TermSettings = BASELINE_TERMS, model: TermModel | None = None
+    asks: DataFrame, history: DataFrame, k: int = 1, settings: TermSettings = BASELINE_TERMS, model: TermModel | None = None, skip_same: bool = False
 ) -> DataFrame:
     """Sparse similarity join: k most similar past messages with any shared term, by TF-IDF cosine.
 
     `asks` and `history` have id and text. History is cut into words once, for the
-    vocabulary and for its rows, and searched through its posting lists.
+    vocabulary and for its rows, and searched through its posting lists. `skip_same` leaves
+    out a past message with the ask's own id.
     """
     past = cut(history, "id", "text", model.stop_words if model else None)
     model = model or fit_terms(past, "id", "text", settings)
-    return sparse_top_k(model.transform(asks, "id", "text"), model.transform(past, "id", "text"), k)
+    return sparse_top_k(model.transform(asks, "id", "text"), model.transform(past, "id", "text"), k, skip_same=skip_same)
 
 
 def nearest_reply(
-    asks: DataFrame, history: DataFrame, settings: TermSettings = BASELINE_TERMS, model: TermModel | None = None
+    asks: DataFrame, history: DataFrame, settings: TermSettings = BASELINE_TERMS, model: TermModel | None = None, skip_same: bool = False
 ) -> DataFrame:
     """Reply of the most similar past message, verbatim; nothing shared gives an empty reply."""
-    best = similar_history(asks, history, 1, settings, model)
+    best = similar_history(asks, history, 1, settings, model, skip_same)
     joined = asks.select("id").join(best.withColumnRenamed("q_id", "id"), "id", "left").join(
         history.select(F.col("id").alias("d_id"), F.col("text").alias("similar_message"), "reply"), "d_id", "left"
     )

@@ -44,6 +44,12 @@ def missing_columns(df: DataFrame, contract: Contract) -> list[str]:
     return [c for c in contract.required if c not in df.columns]
 
 
+def missing_cells(df: DataFrame, contract: Contract) -> DataFrame:
+    """(column, n): required columns the table lacks, with the number of rows that go without."""
+    lacking = F.array(*[F.lit(c) for c in missing_columns(df, contract)]).cast("array<string>")
+    return df.agg(F.count("*").alias("n")).select(F.explode(lacking).alias("column"), "n")
+
+
 def _row(severity, check: str, column: str | None, n: Column, value: Column | None = None) -> Column:
     return F.struct(
         (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"),

@@ -210,11 +210,11 @@ def with_p_value(agreed: DataFrame) -> DataFrame:
 
 
 def compare_approaches(answers: DataFrame) -> DataFrame:
-    """Mean confidence, escalation rate and reply length of each `approach`."""
+    """Mean confidence, escalation rate, reply length and similarity of the case answered from, of each `approach` (null without any)."""
     return answers.groupBy("approach").agg(
         F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"),
         F.avg(F.col("should_escalate").cast("int")).alias("escalation_rate"),
-        F.avg(F.length(F.coalesce("reply", F.lit("")))).alias("mean_reply_chars"),
+        F.avg(F.length(F.coalesce("reply", F.lit("")))).alias("mean_reply_chars"), F.avg("similarity").alias("mean_similarity"),
     )
 
 

@@ -20,13 +20,15 @@ def triage(
     index: similarity.CellIndex | None = None,
     probe: int = 10,
     skip_same: bool = False,
+    pool: DataFrame | None = None,
 ) -> DataFrame:
     """One row per message: intent, best cases, reply and decision.
 
     `messages` has id, text, vector and optionally context, draft and retry_draft;
     intent and intent_confidence come from the classifier unless they are columns
     already. `documents` has id, text, reply and vector. Cases are searched exactly,
-    or in `probe` cells of an `index` over the same documents. A message without
+    or in `probe` cells of an `index` over the same documents, or given as `pool` by a job that
+    has searched them before. A message without
     intent, usable vector or past cases is escalated, never dropped.
     """
     if classifier is not None:
@@ -36,7 +38,8 @@ def triage(
         )
         messages = messages.drop("intent", "intent_confidence").join(predicted, "id", "left")
     messages = staged(messages, "messages")  # used by search, drafts and decision: classified once
-    pool = similarity.top_k(messages, documents, settings.pool, dim, index, probe, skip_same)
+    if pool is None:
+        pool = similarity.top_k(messages, documents, settings.pool, dim, index, probe, skip_same)
     # at most top_k rows per message, used three times below: searched once
     hits = staged(retrieval.rerank(pool, messages, documents, settings), "hits")
     replies = decisions.draft_replies(messages, hits, documents, settings).select(
