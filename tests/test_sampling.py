@@ -14,11 +14,20 @@ def skewed(spark):
     return spark.range(4000).select("id", label.alias("label"), ranking.hash_order(F.col("id")).alias("h"))
 
 
-def test_rank_by_hash_equals_a_plain_window(skewed):
+@pytest.mark.parametrize("small", [1, 10, 1000])
+def test_cuts_are_the_rows_of_a_plain_window(spark, skewed, small):
+    rows = skewed.unionByName(spark.range(5000, 5040).select("id", F.lit(None).cast("string").alias("label"), ranking.hash_order(F.col("id")).alias("h")))
+    quotas = rows.groupBy("label").agg(F.when(F.col("label") == "k1", 1).when(F.col("label") == "k3", F.count("*")).when(F.col("label") == "k5", 10**6).otherwise(F.ceil(F.count("*") / 3)).alias("quota"))
     w = Window.partitionBy("label").orderBy("h", "id")
-    plain = skewed.select("id", F.row_number().over(w).cast("bigint").alias("rn"))
-    ours = ranking.rank_by_hash(skewed, ["label"], "h", "id").select("id", "rn")
-    assert ours.exceptAll(plain).isEmpty() and ours.count() == 4000
+    plain = rows.withColumn("rn", F.row_number().over(w)).join(quotas.withColumnRenamed("label", "l"), F.col("label").eqNullSafe(F.col("l"))).filter("rn = quota").select("label", "h", "id")
+    found = ranking.hash_cuts(rows, quotas, "label", "h", "id", small).select("label", "cut.h", F.col("cut.t").alias("id"))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect())) and found.count() == 8
+
+
+def test_cuts_with_repeated_rows(spark):
+    rows = spark.range(300).select(F.lit("x").alias("g"), F.lit("00" * 16).alias("h"), (F.col("id") % 3).alias("id"))
+    found = ranking.hash_cuts(rows, spark.createDataFrame([("x", 150)], "g string, quota bigint"), "g", "h", "id", 10).first()
+    assert found.cut.t == 1
 
 
 def test_top_per_group_equals_a_plain_window(skewed):
@@ -28,11 +37,13 @@ def test_top_per_group_equals_a_plain_window(skewed):
     assert ours.exceptAll(plain).isEmpty() and ours.count() == plain.count()
 
 
-def test_number_rows(spark):
+@pytest.mark.parametrize("rows_each", [7, 100, 10**6])
+def test_number_rows(spark, rows_each):
     ids = [i * i for i in range(500)]
     df = spark.createDataFrame([(i,) for i in random.Random(1).sample(ids, len(ids))], "id bigint")
-    got = ranking.number_rows(df, "id").orderBy("id").collect()
-    assert [r["row_no"] for r in got] == list(range(1, 501))
+    numbered = ranking.number_rows(df, "id", rows_each)
+    assert [r["row_no"] for r in numbered.orderBy("id").collect()] == list(range(1, 501))
+    assert ranking.number_rows(df.limit(0), "id", rows_each).count() == 0
 
 
 def test_split_shares_are_exact(skewed):

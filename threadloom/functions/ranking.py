@@ -1,8 +1,9 @@
 """Reproducible sampling order and ranks that survive hot groups.
 
 A `row_number` over one group sorts that group in one task. Where a group may
-hold a large part of the table, the helpers here first split it by the leading
-digits of an md5, which spread evenly whatever the data look like.
+hold a large part of the table, the helpers here count by the leading digits of
+an md5, which spread evenly whatever the data look like, or deal rows out to
+ranges whose number follows from the count.
 """
 
 from __future__ import annotations
@@ -10,6 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import SEED
+from ..session import staged
+
+#: Hexadecimal digits of a hash, how many a step of a selection looks at, and rows of a group at which it ends.
+HASH_DIGITS, DIGITS, SMALL = 32, 2, 1000
+#: Rows of a range that are numbered in one task.
+RANGE_ROWS = 1_000_000
 
 
 def hash_order(key: Column, seed: int = SEED) -> Column:
@@ -41,52 +48,54 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, s
     )
 
 
-def rank_by_hash(df: DataFrame, keys: list[str], hash_col: str, tie: str, digits: int = 2) -> DataFrame:
-    """Adds `rn` (rank in the group by hash, then `tie`) and `n` (group size).
+def hash_cuts(rows: DataFrame, quotas: DataFrame, group: str, hash_col: str, tie: str, small: int = SMALL) -> DataFrame:
+    """(group, cut): the (hash, tie) of each group's `quota`-th row in hash order, found without ranking rows.
 
-    Each group is cut into 16**digits slices by the leading hash digits; slice
-    sizes give every slice its starting rank, so no task sorts a whole group.
-    The slice table has at most groups * 16**digits rows.
+    Radix selection: a histogram of the leading hash digits of every group tells
+    in which of them the wanted row is, and only rows that begin with these are
+    looked at again with the next digits, until at most `small` rows of a group
+    are left. Every step is one aggregate over ids and hashes; a group of n rows
+    takes about log n / log 256 of them. `quotas` has the group column and `quota`,
+    1 or more; groups without so many rows get no cut.
     """
-    sliced = df.withColumn("__slice", F.substring(F.col(hash_col), 1, digits))
-    sizes = sliced.groupBy(*keys, "__slice").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    starts = sizes.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col("__slice").alias("__slice_r"),
-        F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"),
-        F.sum("__size").over(whole).alias("n"),
-    )
-    inner = Window.partitionBy(*keys, "__slice").orderBy(hash_col, tie)
-    ranked = sliced.withColumn("__rn", F.row_number().over(inner))
-    same = (F.col("__slice") == F.col("__slice_r"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return (
-        ranked.join(starts, same)
-        .withColumn("rn", (F.col("__rn") + F.col("__start")).cast("bigint"))
-        .drop("__slice", "__slice_r", "__rn", "__start", *[f"__k_{k}" for k in keys])
-    )
-
-
-def number_rows(df: DataFrame, order_col: str, slices: int = 64) -> DataFrame:
-    """Adds `row_no` 1..n in the order of a numeric column with distinct values.
-
-    Rows are cut at approximate quantiles; exact slice sizes give every slice its
-    first number, so the slices are numbered side by side.
+    rows = staged(rows.select(F.col(group).alias("__g"), F.col(hash_col).alias("__h"), F.col(tie).alias("__t")), "hashes")
+    at = quotas.select(F.col(group).alias("__q"), F.col("quota").cast("bigint").alias("left"), F.lit("").alias("prefix"))
+    same = F.col("__g").eqNullSafe(F.col("__q"))
+    done = None
+    for digits in range(0, HASH_DIGITS, DIGITS):
+        inside = rows.join(at, same & F.col("__h").startswith(F.col("prefix")))
+        bars = inside.groupBy("__q", "left", F.substring("__h", 1, digits + DIGITS).alias("prefix")).agg(F.count("*").alias("n"))
+        # One row for each group and value of the digits.
+        up_to = Window.partitionBy("__q").orderBy("prefix")
+        held = bars.withColumn("up_to", F.sum("n").over(up_to)).filter((F.col("up_to") >= F.col("left")) & (F.col("up_to") - F.col("n") < F.col("left")))
+        found = staged(held.select("__q", (F.col("left") - F.col("up_to") + F.col("n")).alias("left"), "prefix", "n"), "digits")
+        ready = found.filter((F.col("n") <= small) | F.lit(digits + DIGITS >= HASH_DIGITS)).drop("n")
+        done = ready if done is None else done.unionByName(ready)
+        at = found.filter(F.col("n") > small).drop("n")
+        if at.isEmpty():
+            break
+    last = rows.join(done, same & F.col("__h").startswith(F.col("prefix"))).groupBy("__q", "left").agg(F.sort_array(F.collect_list(F.struct(F.col("__h").alias("h"), F.col("__t").alias("t")))).alias("few"))
+    return last.select(F.col("__q").alias(group), F.get("few", (F.col("left") - 1).cast("int")).alias("cut"))
+
+
+def up_to_cut(df: DataFrame, cuts: DataFrame, group: str, hash_col: Column, tie: Column) -> DataFrame:
+    """Adds `first`: whether a row is among those up to its group's cut. Rows stay where they are if the cuts are few."""
+    named = cuts.select(F.col(group).alias("__q"), "cut")
+    first = F.struct(hash_col.alias("h"), tie.alias("t")) <= F.col("cut")
+    return df.join(named, F.col(group).eqNullSafe(F.col("__q")), "left").withColumn("first", F.coalesce(first, F.lit(False))).drop("__q", "cut")
+
+
+def number_rows(df: DataFrame, order_col: str, rows_each: int = RANGE_ROWS) -> DataFrame:
+    """Adds `row_no` 1..n in the order of a column with distinct values.
+
+    Rows are dealt to as many ranges as their number asks for, sorted there and
+    written; a row's place in its range and the sizes of the ranges before give
+    its number. No range is ranked by a window, and the table of sizes has a row a range.
     """
-    cuts = df.agg(F.percentile_approx(order_col, [i / slices for i in range(1, slices)]).alias("c")).first()["c"] or []
-    below = F.lit(0)
-    for cut in sorted(set(cuts)):
-        below = below + (F.col(order_col) > F.lit(cut)).cast("int")
-    sliced = df.withColumn("__slice", below)
-    sizes = sliced.groupBy("__slice").agg(F.count("*").alias("__size"))
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    # at most `slices` rows
-    starts = sizes.select("__slice", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    inner = Window.partitionBy("__slice").orderBy(order_col)
-    return (
-        sliced.withColumn("__rn", F.row_number().over(inner)).join(F.broadcast(starts), "__slice")
-        .withColumn("row_no", F.col("__rn") + F.col("__start")).drop("__slice", "__rn", "__start")
-    )
+    ranges = max(1, -(-df.count() // rows_each))
+    ranged = staged(df.repartitionByRange(ranges, order_col).sortWithinPartitions(order_col).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    return ranged.withColumn("__part", part).join(starts, "__part").withColumn("row_no", place + F.col("__start") + 1).drop("__part", "__at", "__start")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import SEED
 from ..functions import judgement, rules
-from ..functions.ranking import hash_order, number_rows, sample_rows, top_per_group
+from ..functions.ranking import hash_cuts, hash_order, number_rows, sample_rows, up_to_cut
 
 
 def allocate(counts: DataFrame, target: int) -> DataFrame:
@@ -42,7 +42,11 @@ def sample_strata(df: DataFrame, target: int = 200, seed: int = SEED) -> DataFra
         "common", (F.col("len") > F.col("mid") * 0.5) & (F.col("len") < F.col("mid") * 1.5)
     )
     order = [F.col("h"), F.col("conversation_id")]
-    head = top_per_group(pooled, ["intent", "common"], order, target + 5, salt=F.col("conversation_id"))
+    pooled = pooled.withColumn("both", F.struct("intent", "common"))
+    quotas = pooled.groupBy("both").agg(F.least(F.count("*"), F.lit(target + 5)).alias("quota"))
+    cuts = hash_cuts(pooled, quotas, "both", "h", "conversation_id")
+    few = up_to_cut(pooled, cuts, "both", F.col("h"), F.col("conversation_id")).filter("first")
+    head = few.withColumn("rn", F.row_number().over(Window.partitionBy("intent", "common").orderBy(*order)))
     n = F.col("n")
     n_common, n_rare = F.floor(n * 0.6), F.floor(n * 0.2)
     whole = F.col("c") <= n

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS, SEED, TermSettings
 from ..functions import judgement, rules, text as tx
-from ..functions.ranking import hash_order, rank_by_hash
+from ..functions.ranking import hash_cuts, hash_order, up_to_cut
 from ..session import staged
 from .features import TermModel, fit_terms
 
@@ -236,19 +236,15 @@ def term_weights(rows: DataFrame, terms: TermModel, id_col: str) -> DataFrame:
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_share: float = 0.2, seed: int = SEED) -> DataFrame:
     """Adds `is_test`: the first share of every label in hash order, so shares are exact.
 
-    Only (label, hash, id) are ranked. The last test row of a label is its cut, and
-    rows are marked by comparing with the cuts, one per label; texts and vectors
-    stay where they are.
+    The last test row of a label is its cut, found by counting leading digits of
+    hashes; rows are marked by comparing with the cuts, one per label, and texts
+    and vectors stay where they are.
     """
     order = hash_order(F.col(id_col), seed)
     keys = df.select(F.col(label_col).alias("label"), order.alias("h"), F.col(id_col).alias("id"))
-    ranked = rank_by_hash(keys, ["label"], "h", "id")
-    cuts = ranked.filter(F.col("rn") <= F.round(F.col("n") * test_share)).groupBy(F.col("label").alias("__label")).agg(
-        F.max(F.struct("h", "id")).alias("__cut")
-    )
-    marked = df.join(F.broadcast(cuts), F.col(label_col).eqNullSafe(F.col("__label")), "left")  # one row per class
-    first = F.struct(order.alias("h"), F.col(id_col).alias("id")) <= F.col("__cut")
-    return marked.withColumn("is_test", F.coalesce(first, F.lit(False))).drop("__label", "__cut")
+    quotas = keys.groupBy("label").agg(F.round(F.count("*") * test_share).cast("bigint").alias("quota")).filter("quota > 0")
+    cuts = hash_cuts(keys, quotas, "label", "h", "id").withColumnRenamed("label", label_col)
+    return up_to_cut(df, cuts, label_col, order, F.col(id_col)).withColumnRenamed("first", "is_test")
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
