@@ -183,14 +183,19 @@ def count_phrases(rows: DataFrame, length: int, known: Filter | None = None, bur
 
         def __init__(self) -> None:
             super().__init__({b".": 0})
-            self.names, self.hashes = [b"."], [0]
+            self.names, self.known = [b"."], np.zeros(1, np.uint64)
 
         def __missing__(self, word: bytes) -> int:
             at = self[word] = len(self.names)
             self.names.append(word)
-            self.hashes.append(xxhash.xxh64_intdigest(word))
             return at
 
+        def hashes(self) -> np.ndarray:
+            """Hashes of all words so far; only new words are hashed."""
+            new = self.names[len(self.known) :]
+            self.known = np.concatenate([self.known, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
+            return self.known
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lets = Filter(shared.value) if shared is not None else None
         tries: dict[str, Trie] = {}
@@ -215,7 +220,8 @@ def count_phrases(rows: DataFrame, length: int, known: Filter | None = None, bur
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(tries), pa.string()).take(pa.array(of[some])), *[names.take(pa.array(w[some])) for w in words], pa.array(counts[some])], names=["lang", *columns, "f"])
 
         def count(lang: str, some: list[bytes]) -> None:
-            seen = np.array([ids[w] for w in words_of(b".".join(some))], np.int64)
+            words = words_of(b".".join(some))
+            seen = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
             n = len(seen) - length + 1
             if n <= 0:
                 return
@@ -224,7 +230,7 @@ def count_phrases(rows: DataFrame, length: int, known: Filter | None = None, bur
                 inside &= seen[i : i + n] > 0
                 phrases = phrases << WORD_BITS | seen[i : i + n]
             if lets is not None:
-                own = np.array(ids.hashes, np.uint64)[seen]
+                own = ids.hashes()[seen]
                 parts = lets.has(_mixed([own[i : i + n + 1] for i in range(length - 1)]))
                 inside &= parts[:n] & parts[1 : n + 1]
             if lang not in tries:
