@@ -251,7 +251,12 @@ def a24(spark, sf_dir):
     return metrics.agreement(st.scores(spark, sf_dir)).select("dim", "spearman_r")
 
 
-@query("a24_spearman_p_value")
+# Student's t by the midpoint rule: with u = r the tail is the integral of 2 (1 - u^2)^(a - 1) / B(a, 1/2) from |r| to 1, a = (n - 2) / 2.
+@query("a24_spearman_p_value", s.with_(s.SCORES, _RANKS, """
+correlated AS (SELECT dim, corr(hr, jr) AS r, count(*) AS n, (count(*) - 2) / 2.0::DOUBLE AS a FROM ranked_scores GROUP BY dim),
+steps AS (SELECT *, abs(r) + (1 - abs(r)) * (i + 0.5::DOUBLE) / 20000 AS u, (1 - abs(r)) / 20000 AS h FROM correlated, range(20000) t(i))""",
+    body=f"""SELECT dim, {s.r6('any_value(r)')} AS spearman_r, CAST(any_value(n) AS BIGINT) AS n_samples,
+  {s.r6('sum(2 * h * pow(1 - u * u, a - 1)) / exp(any_value(lgamma(a) + lgamma(0.5) - lgamma(a + 0.5)))')} AS spearman_p FROM steps GROUP BY dim"""))
 def a24_p(spark, sf_dir):
     return metrics.with_p_value(metrics.agreement(st.scores(spark, sf_dir))).select("dim", "spearman_r", "n_samples", "spearman_p")
 

@@ -134,6 +134,13 @@ def m5(spark, sf_dir):
     return intents.cluster_sizes(model.cluster(_docs(spark, sf_dir), "id", "text"))
 
 
+@query("m5_cluster_totals", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(10 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS not_nearest FROM documents")
+def m5_totals(spark, sf_dir):
+    """Documents placed, clusters in use, and documents for which another centre is nearer than their own."""
+    model, _ = _discovered(spark, sf_dir)
+    return model.placement(_docs(spark, sf_dir), "id", "text")
+
+
 @query("m6_discover_taxonomy")
 def m6(spark, sf_dir):
     _, found = _discovered(spark, sf_dir)
@@ -171,16 +178,33 @@ def m9_vectors(spark, sf_dir):
     return metrics.classification(held)
 
 
-@query("m11_predict_intents")
-def m11(spark, sf_dir):
+def m11_predicted(spark, sf_dir):
     docs = st.documents(spark, sf_dir)
     classifier, _ = intents.train_text_classifier(docs, "doc_id", "text", "lang", CLASSIFIER_TERMS)
     rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "my account login").otherwise("").alias("context"))
-    out = classifier.predict(rows, "doc_id", "text", "context")
+    return classifier.predict(rows, "doc_id", "text", "context")
+
+
+@query("m11_predict_intents")
+def m11(spark, sf_dir):
+    out = m11_predicted(spark, sf_dir)
     total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
     return out.select("doc_id", "intent", "confidence", F.round(total, 6).alias("probability_total"))
 
 
+@query("m11_sound_probabilities", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS bad_totals, CAST(0 AS BIGINT) AS not_the_maximum, CAST(0 AS BIGINT) AS unknown_labels FROM documents")
+def m11_sound(spark, sf_dir):
+    """Of all predictions: probabilities that do not sum to one, intents that are not the most probable label, and labels never trained on."""
+    out = m11_predicted(spark, sf_dir)
+    labels = [r["lang"] for r in st.documents(spark, sf_dir).select("lang").distinct().collect()]  # one row per class
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
+    most = F.array_max(F.map_values("probabilities"))
+    return out.agg(
+        F.count("*").alias("n"), F.count_if(F.abs(total - 1) > 1e-9).alias("bad_totals"),
+        F.count_if((F.element_at("probabilities", F.col("intent")) < most) | (F.col("confidence") < most)).alias("not_the_maximum"),
+        F.count_if(~F.col("intent").isin(labels)).alias("unknown_labels"))
+
+
 @query("d8_training_job")
 def d8(spark, sf_dir):
     emb = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))

@@ -177,12 +177,25 @@ class IntentModel:
     clusters: KMeansModel
     names: dict[int, str]
 
-    def cluster(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, cluster_id) of every row, whatever its length."""
+    def _placed(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, features, prediction) of every row."""
         clean = df.select(id_col, tx.clean_for_clustering(F.coalesce(F.col(text_col), F.lit(""))).alias("__clean"))
         rows = self.terms.transform(clean, id_col, "__clean")
-        dense = project(rows, id_col, self.basis)
-        return self.clusters.transform(dense).select(id_col, F.col("prediction").alias("cluster_id"))
+        return self.clusters.transform(project(rows, id_col, self.basis))
+
+    def cluster(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, cluster_id) of every row, whatever its length."""
+        return self._placed(df, id_col, text_col).select(id_col, F.col("prediction").alias("cluster_id"))
+
+    def placement(self, df: DataFrame, id_col: str, text_col: str, slack: float = 1e-9) -> DataFrame:
+        """(n, clusters, not_nearest): rows placed, clusters in use, and rows that another centre is nearer to, by distances computed here."""
+        centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.clusters.clusterCenters()])
+        rows = self._placed(df, id_col, text_col).select(vector_to_array("features").alias("v"), "prediction")
+        square = lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+        far = rows.select("prediction", F.transform(centres, square).alias("far"))
+        return far.agg(
+            F.count("*").alias("n"), F.count_distinct("prediction").alias("clusters"),
+            F.count_if(F.get("far", F.col("prediction")) > F.array_min("far") + slack).alias("not_nearest"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.terms.save(spark, f"{path}/terms")
