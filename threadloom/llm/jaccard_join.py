@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path, temporary_stages
 from .common import drop_stage, map_batches, most_frequent, stage, texts
 from .components import components
 from .registry import query, table
@@ -50,8 +51,8 @@ ROUNDS = 2
 BLOCK_SETS = 8192
 #: Rows of node ids or pairs of them that are broadcast at most (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Longs of a sketch.
-SKETCH = 16
+#: Bits of a sketch for each shingle, of 16,384 bits at most.
+SKETCH_BITS = 4
 #: Counting cells for each shingle, and the logarithm of most cells; how many frequent ones a task reports, and are kept of all.
 CELLS_EACH, CELL_BITS_AT_MOST = 0.25, 24
 HEAVY, HEAVIEST = 1 << 16, 1 << 20
@@ -139,10 +140,14 @@ def short_prefix(n: int, percent: int) -> int:
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Bits at the hashes of the shingles: sets whose sketches differ in d bits differ in d shingles at least."""
-    bits = np.zeros(64 * SKETCH, bool)
-    bits[(_mixed(found) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    """Bits at the hashes of the shingles, about `SKETCH_BITS` for each; sets whose sketches differ in d bits differ in d shingles at least.
+
+    The length is a power of two, so that a sketch folded in half is the shorter one of the same set.
+    """
+    size = 64 * (1 << int(np.clip(np.ceil(np.log2(max(1, SKETCH_BITS * len(found) / 64))), 1, 8)))
+    bits = np.zeros(size, bool)
+    bits[(_mixed(found) >> np.uint64(40)).astype(np.int64) % size] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 def by_hash(found: np.ndarray, order: int) -> np.ndarray:
@@ -201,7 +206,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def _heads(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """`row_id`, `sig` of the set, `n` its size, `first` (its prefix in the order of rarity) and `short`, how much of it is the short prefix."""
+    """`row_id`, `sig` of the set, `n` its size, its sketch `bits`, `first` (its prefix in the order of rarity) and `short`, how much of it is the short prefix."""
     counted = rows.sparkSession.sparkContext.broadcast(rarity(rows, width))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +216,15 @@ def _heads(rows: DataFrame, width: int, percent: int) -> DataFrame:
             sizes = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), pa.array([xxhash.xxh128_digest(f.tobytes()) for f in found], pa.binary()), pa.array(sizes, pa.int64()),
-                 _lists([rare.order(f)[: prefix(len(f), percent)] for f in found]), pa.array([short_prefix(n, percent) for n in sizes], pa.int64())],
-                names=["row_id", "sig", "n", "first", "short"],
+                 _lists([rare.order(f)[: prefix(len(f), percent)] for f in found]), pa.array([short_prefix(n, percent) for n in sizes], pa.int64()), _lists([sketch(f) for f in found])],
+                names=["row_id", "sig", "n", "first", "short", "bits"],
             )
 
-    return map_batches(rows.select("row_id", "text"), work, "row_id long, sig binary, n long, first array<long>, short long")
+    return map_batches(rows.select("row_id", "text"), work, "row_id long, sig binary, n long, first array<long>, short long, bits array<long>")
 
 
 def _sets(rows: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
-    """`node`, `bits` (its sketch), `others` (its prefixes in the other orders) and `set`, all its shingles."""
+    """`node`, `others` (its prefixes in the other orders) and `set`, all its shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
@@ -227,10 +232,9 @@ def _sets(rows: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
             found = [shingles(t, width, letters) for t in texts(batch.column("text"))]
             flat = _lists([by_hash(f, k)[: prefix(len(f), percent)] for f in found for k in range(1, orders)])
             others = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * (orders - 1)), flat)
-            bits = _lists([sketch(f).view(np.uint64) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), bits, others, _lists(found)], names=["node", "bits", "others", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), others, _lists(found)], names=["node", "others", "set"])
 
-    return map_batches(rows.select("row_id", "text"), work, "node long, bits array<long>, others array<array<long>>, set array<long>")
+    return map_batches(rows.select("row_id", "text"), work, "node long, others array<array<long>>, set array<long>")
 
 
 def _need(n: Column, m: Column, percent: int) -> Column:
@@ -248,11 +252,19 @@ def _possible(percent: int) -> Column:
     return sizes & short & (places >= _need(n, m, percent))
 
 
-def _sketches(percent: int) -> Column:
-    """The bound by sketches: twice the shared shingles are n + m less the shingles that one set has alone."""
-    apart = sum((F.bit_count(F.get("x.bits", F.lit(k)).bitwiseXOR(F.get("y.bits", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
-    n, m = F.col("x.n"), F.col("y.n")
-    return n + m - apart >= 2 * _need(n, m, percent)
+def _passing(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs `a`, `b` that pass the bound by sketches: twice the shared shingles are n + m less the shingles that one set has alone."""
+
+    def folded(of: str, other: str) -> Column:
+        # Sizes of sets that can be linked are so close that their sketches are of one length, or one is twice the other.
+        half = F.size(other)
+        both = F.zip_with(F.slice(of, 1, half), F.slice(of, half + 1, half), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(of) > half, both).otherwise(F.col(of))
+
+    one = lambda node, n, b: bits.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(b))
+    met = pairs.join(one("a", "n", "p"), "a").join(one("b", "m", "q"), "b").select("a", "b", "n", "m", folded("p", "q").alias("p"), folded("q", "p").alias("q"))
+    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
+    return met.where(F.col("n") + F.col("m") - apart >= 2 * _need(F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -260,17 +272,22 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs `a`, `b` (staged) that share a prefix shingle under every other order and are linked by their whole sets.
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
+    """The pairs `a`, `b` (staged) that share a prefix shingle under every other order and are linked by their whole sets; staged.
 
-    Only the sets of these pairs are moved.
+    Sets are made for the texts of these pairs only, and only they are moved.
     """
     few = _small(pairs)
+    nodes = stage(pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct(), "pair-nodes")
+    sets = stage(_sets(rows.join(_small(nodes), "row_id", "left_semi"), width, percent, orders), "sets")
     side = lambda node, as_: sets.join(few, F.col("node") == F.col(node)).select("a", "b", F.col("others").alias(f"{as_}_others"), F.col("set").alias(as_))
     both = side("a", "x").join(side("b", "y"), ["a", "b"])
     under_all = F.forall(F.zip_with("x_others", "y_others", F.arrays_overlap), lambda o: o)
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(under_all).where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    linked = stage(both.where(under_all).where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links-found")
+    drop_stage(nodes)
+    drop_stage(sets)
+    return linked
 
 
 def _rooted(posts: DataFrame, root: DataFrame | None) -> DataFrame:
@@ -286,26 +303,24 @@ def _mixed_keys(posts: DataFrame) -> DataFrame:
     return posts.join(mixed, "key")
 
 
-def _with_centres(posts: DataFrame, bits: DataFrame, number: int, percent: int) -> DataFrame:
+def _with_centres(posts: DataFrame, number: int, percent: int) -> DataFrame:
     """Pairs `a`, `b`: each node with the centre, of another component, that it has most shingles in common with."""
     by = F.xxhash64("key", "node", F.lit(number))
     row = F.struct(*[F.col(c) for c in posts.columns if c != "key"])
     centre = posts.groupBy("key").agg(F.min_by(row, by).alias("x"))
     pairs = posts.select("key", row.alias("y")).join(centre, "key").where("x.root <> y.root").where(_possible(percent))
     counted = pairs.groupBy(F.col("y.node").alias("b"), F.col("x.node").alias("a")).count()
-    best = counted.groupBy("b").agg(F.max_by("a", F.struct("count", F.col("a"))).alias("a"))
-    one = lambda as_: bits.select(F.col("node").alias(as_), F.struct("n", "bits").alias("x" if as_ == "a" else "y"))
-    return best.join(one("a"), "a").join(one("b"), "b").where(_sketches(percent)).select("a", "b")
+    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", F.col("a"))).alias("a")).select("a", "b")
 
 
 def _all_pairs(posts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs `a`, `b` of different components that share a shingle and pass the bounds, each once; posts have the sketches."""
+    """Pairs `a`, `b` of different components that share a shingle and pass the bounds of sizes and places, each once."""
     sized = posts.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     row = F.struct(*[F.col(c) for c in posts.columns if c != "key"])
     cut = posts.select("key", "node", row.alias("y")).join(sized, "key")
     own = cut.select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("y").alias("x"))
     all_blocks = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "y")
-    pairs = own.join(all_blocks, ["key", "block"]).where("x.node < y.node and x.root <> y.root").where(_possible(percent) & _sketches(percent))
+    pairs = own.join(all_blocks, ["key", "block"]).where("x.node < y.node and x.root <> y.root").where(_possible(percent))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -313,8 +328,8 @@ def cluster(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
     """`row_id`, `n_shingles`, `component` (smallest row id reachable) of every row of `row_id`, `text`.
 
     `row_id` must stay as it is when `rows` is read again, so it comes from a
-    written table. Texts are read three times, the last time only those of
-    shingles that two sets show.
+    written table. Texts are cut twice; sets are made of those of pairs that
+    pass all bounds.
     """
     heads = stage(_heads(rows, width, percent), "heads")
     nodes = heads.groupBy("sig").agg(F.min("row_id").alias("node"))
@@ -323,27 +338,24 @@ def cluster(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
     shown = heads.join(_small(copies), "row_id", "left_anti").select(F.col("row_id").alias("node"), "n", "short", F.posexplode("first").alias("place", "key")).select("key", "node", "n", "place", (F.col("place") < F.col("short")).alias("near"))
     shared = shown.groupBy("key").agg(F.count("*").alias("sets"), F.max("near").alias("some")).where("sets > 1 and some").select("key")
     posts = stage(shown.join(shared, "key"), "posts")
-    drop_stage(heads)
-    some = stage(posts.select(F.col("node").alias("row_id")).distinct(), "some-nodes")
-    sets = stage(_sets(rows.join(_small(some), "row_id", "left_semi"), width, percent, orders).withColumn("n", F.size("set")), "sets")
-    bits = sets.select("node", "n", "bits")
+    bits = heads.select(F.col("row_id").alias("node"), "n", "bits")
     links, root = None, None
     for number in range(rounds):
         rest = stage(_mixed_keys(_rooted(posts, root)), "rest")
         drop_stage(posts)
         posts = rest.drop("root")
-        pairs = stage(_with_centres(rest, bits, number, percent), "centre-pairs")
-        new = stage(_verified(pairs, sets, percent), "links-found")
+        pairs = stage(_passing(_with_centres(rest, number, percent), bits, percent), "centre-pairs")
+        new = _verified(pairs, rows, width, percent, orders)
         found = stage(new if links is None else links.union(new), "links-all")
         for done in [pairs, new] + ([links] if links is not None else []) + ([root] if root is not None else []):
             drop_stage(done)
         links = found
         root = stage(components(links), "roots")
-    rest = _mixed_keys(_rooted(posts, root)).join(bits.select("node", "bits"), "node")
-    pairs = stage(_all_pairs(rest, percent, block), "pairs")
-    new = _verified(pairs, sets, percent)
+    pairs = stage(_passing(_all_pairs(_mixed_keys(_rooted(posts, root)), percent, block), bits, percent), "pairs")
+    new = _verified(pairs, rows, width, percent, orders)
+    last = root
     root = stage(components(new if links is None else links.union(new)), "roots")
-    for done in (pairs, posts, sets, copies, some):
+    for done in [pairs, new, posts, copies, heads] + ([links, last] if links is not None else []):
         drop_stage(done)
     return named.join(root, "node", "left").select("row_id", "n_shingles", F.coalesce("root", "node").alias("component"))
 
@@ -353,10 +365,12 @@ def similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
 
     A null id is kept; its component is the smallest id reachable, null only if there is none.
     """
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "texts")
-    placed = stage(cluster(rows.select("row_id", "text"), width, percent, orders, rounds, block).join(rows.select("row_id", "id"), "row_id"), "placed")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "placed")
+    with temporary_stages(spark):  # all but the result
+        rows = stage(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "texts")
+        placed = stage(cluster(rows.select("row_id", "text"), width, percent, orders, rounds, block).join(rows.select("row_id", "id"), "row_id"), "placed", path)
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    drop_stage(rows)
     return placed.join(least, "component").select("id", "n_shingles", "component_id")
 
 
