@@ -1,7 +1,13 @@
 """Registered queries against their SQL twins, and the shape of their plans."""
 
+import ast
 import math
+import os
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,6 +52,18 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_the_rest_works_without_the_training_data_folders(tmp_path):
+    """A copy without both folders and the pipeline imports and lists all other queries."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "threadloom", tmp_path / "threadloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    show = "import __spark_entry__ as e; print(sorted(e.queries()), sorted(e.oracle_sql()), sep=chr(10))"
+    out = subprocess.run([sys.executable, "-c", show], cwd=tmp_path, capture_output=True, text=True, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    queries, oracles = (ast.literal_eval(line) for line in out.stdout.splitlines())
+    ours = lambda names: sorted(n for n in names if n != "pipeline" and not n.startswith("op"))
+    assert queries == ours(QUERIES) and oracles == ours(ORACLES)
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "conversation_context" in df.columns

@@ -12,7 +12,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS, SEED, TermSettings
+from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS, SEED, RetrievalSettings, TermSettings
 from ..functions import judgement, rules, text as tx
 from ..functions.ranking import hash_cuts, hash_order, up_to_cut
 from ..session import staged
@@ -319,12 +319,12 @@ class IntentClassifier:
         whole = powers.withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x))
         return self._decided(whole.select(id_col, F.transform("__e", lambda x: x / F.col("__s")).alias("__p")), [id_col])
 
-    def predict(self, df: DataFrame, id_col: str, text_col: str, context_col: str | None = None) -> DataFrame:
-        """(id, intent, confidence, probabilities), with context and the account rule when given."""
+    def predict(self, df: DataFrame, id_col: str, text_col: str, context_col: str | None = None, context_chars: int = RetrievalSettings.context_chars) -> DataFrame:
+        """(id, intent, confidence, probabilities), with the last characters of the context and the account rule when given."""
         if context_col is None:
             inputs = df.select(id_col, F.col(text_col).alias("__in"))
         else:
-            inputs = df.select(id_col, tx.with_context(F.col(context_col), F.col(text_col)).alias("__in"))
+            inputs = df.select(id_col, tx.with_context(F.col(context_col), F.col(text_col), context_chars).alias("__in"))
         out = self.predict_sparse(self.terms.transform(inputs, id_col, "__in"), id_col)
         if context_col is None:
             return out

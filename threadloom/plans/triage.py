@@ -33,7 +33,7 @@ def triage(
     """
     if classifier is not None:
         context = "context" if "context" in messages.columns else None
-        predicted = classifier.predict(messages, "id", "text", context).select(
+        predicted = classifier.predict(messages, "id", "text", context, settings.context_chars).select(
             "id", "intent", F.col("confidence").alias("intent_confidence")
         )
         messages = messages.drop("intent", "intent_confidence").join(predicted, "id", "left")
