@@ -158,3 +158,31 @@ def test_missing_outcomes_count_as_wrong(spark):
     row = metrics.classification(triage.evaluate_golden(done, gold)).first()
     assert row["accuracy"] == pytest.approx(1 / 3)
     assert {r["label"] for r in metrics.per_class(triage.evaluate_golden(done, gold)).collect()} == {"a", "b"}
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """A file of one row group read in many splits: all rows would be one task's."""
+    spark.range(4000).selectExpr("id", "repeat(cast(id as string), 20) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "t"))
+        cores = spark.sparkContext.defaultParallelism
+        assert rows.rdd.getNumPartitions() >= cores
+        even = features.spread(rows)
+        sizes = [r["n"] for r in even.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / cores
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_projection_holds_few_rows_at_once(spark):
+    """Long rows of one batch are taken a block at a time."""
+    import pyarrow as pa
+
+    size = intents.BLOCK_CELLS // 8
+    batch = pa.RecordBatch.from_pylist([{"indices": [i, 7 + i], "values": [1.0, 2.0]} if i % 3 else {"indices": [], "values": []} for i in range(50)])
+    seen = [x.copy() for x in intents._dense_blocks(batch.slice(5), size)]
+    assert max(x.size for x in seen) <= intents.BLOCK_CELLS
+    whole = np.concatenate(seen)
+    assert len(whole) == 45 and whole[1, 6] == 0 and whole[2, 7] == 1 and whole[2, 14] == 2

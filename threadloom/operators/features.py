@@ -41,15 +41,20 @@ WORDS = "__words"
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows dealt out evenly if they are read in fewer splits than asked for (or than there are cores), as a small file is.
+    """Rows dealt out evenly if a split holds more than twice its share of them.
 
-    Whole rows move, none by a hash of its text; a table of many splits, or one
-    that a shuffle made, stays as it is.
+    The number of splits says little: a Parquet file is cut by bytes, and all rows of
+    a row group go to the split that has its middle. So rows are counted per split,
+    which reads footers only. Whole rows move, none by a hash of its text; a table
+    whose splits are even, or one that a shuffle made, stays as it is.
     """
     wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("split")).agg(F.count("*").alias("n")).collect()]  # one row per split
+    if not sizes or max(sizes) * wanted <= 2 * sum(sizes):
+        return df
+    return df.repartition(max(wanted, df.rdd.getNumPartitions()))
 
 
 def cut(df: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None, partitions: int | None = None) -> DataFrame:

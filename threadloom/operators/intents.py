@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StringIndexer
@@ -16,7 +19,7 @@ from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS, SEED, RetrievalSettings,
 from ..functions import judgement, rules, text as tx
 from ..functions.ranking import hash_cuts, hash_order, up_to_cut
 from ..session import staged
-from .features import TermModel, fit_terms
+from .features import TermModel, fit_terms, spread
 
 
 
@@ -29,14 +32,30 @@ def _all_classes() -> Window:
 
 
 TERM_BLOCK = 256
-CELLS_AT_ONCE = 1 << 15
+#: Cells of a dense block of rows, which is what a task holds beside its sum.
+BLOCK_CELLS = 1 << 20
+
+
+def _dense_blocks(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+    """The sparse rows of a batch as dense blocks of at most `BLOCK_CELLS` cells, in order; a block is valid until the next."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column("indices")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.r_[0, np.cumsum(lengths)]
+    idx = batch.column("indices").flatten().to_numpy(zero_copy_only=False)
+    val = batch.column("values").flatten().to_numpy(zero_copy_only=False)
+    step = max(1, BLOCK_CELLS // max(size, 1))
+    x = np.zeros((min(step, max(len(lengths), 1)), size))
+    for lo in range(0, len(lengths), step):
+        hi = min(lo + step, len(lengths))
+        x[:] = 0.0
+        x[np.repeat(np.arange(hi - lo), lengths[lo:hi]), idx[ends[lo] : ends[hi]]] = val[ends[lo] : ends[hi]]
+        yield x[: hi - lo]
 
 
 def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """Product of the terms x terms matrix with the columns of `q`, summed on the executors.
 
-    A task adds up its rows and emits the sum in blocks of terms; blocks are added
-    per number. The matrix itself is never made.
+    A task adds up its rows, a dense block at a time, and emits the sum in blocks
+    of terms; blocks are added per number. The matrix itself is never made.
     """
     sent = rows.sparkSession.sparkContext.broadcast(q)
 
@@ -44,32 +63,17 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         v = sent.value
         total = np.zeros_like(v)
         for b in batches:
-            lengths = np.array([len(x) for x in b["indices"]], dtype=np.int64)
-            ends = np.cumsum(lengths)
-            lo = 0
-            while lo < len(b):
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - lengths[lo] + CELLS_AT_ONCE, side="right")))
-                some = [i for i in range(lo, hi) if lengths[i]]
-                lo = hi
-                if not some:
-                    continue
-                idx = np.concatenate([b["indices"].iloc[i] for i in some]).astype(np.int64)
-                val = np.concatenate([b["values"].iloc[i] for i in some])
-                n = lengths[some]
-                product = np.add.reduceat(val[:, None] * v[idx], np.cumsum(n) - n)
-                order = np.argsort(idx, kind="stable")
-                cells = (val[:, None] * np.repeat(product, n, axis=0))[order]
-                terms, first = np.unique(idx[order], return_index=True)
-                total[terms] += np.add.reduceat(cells, first)
-        for at in range(0, len(total), TERM_BLOCK):
-            yield pd.DataFrame({"block": [at], "part": [total[at : at + TERM_BLOCK].tobytes()]})
+            for x in _dense_blocks(b, len(v)):
+                total += x.T @ (x @ v)
+        at = range(0, len(total), TERM_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i : i + TERM_BLOCK].tobytes() for i in at], pa.binary())], names=["block", "part"])
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x) for x in parts["part"])
         return pd.DataFrame({"block": [parts["block"].iloc[0]], "part": [total.tobytes()]})
 
     kind = "block int, part binary"
-    found = rows.select("indices", "values").mapInPandas(partial, kind).groupBy("block").applyInPandas(add, kind).collect()
+    found = rows.select("indices", "values").mapInArrow(partial, kind).groupBy("block").applyInPandas(add, kind).collect()
     out = np.zeros_like(q)
     for r in found:  # terms x columns in all
         part = np.frombuffer(r["part"]).reshape(-1, q.shape[1])
@@ -93,22 +97,21 @@ def fit_projection(rows: DataFrame, size: int, k: int = 100, seed: int = SEED, r
 
 
 def project(rows: DataFrame, id_col: str, basis: np.ndarray) -> DataFrame:
-    """(id, features): sparse rows times the basis, summed for a batch of rows at once."""
+    """(id, features): sparse rows times the basis, a block of rows at a time."""
     sent = rows.sparkSession.sparkContext.broadcast(basis)
 
     def apply(batches):
         v = sent.value
         for b in batches:
-            out = np.zeros((len(b), v.shape[1]))
-            lengths = np.array([len(x) for x in b["indices"]], dtype=np.int64)
-            some = np.flatnonzero(lengths)
-            if len(some):
-                cells = np.concatenate(b["values"].tolist())[:, None] * v[np.concatenate(b["indices"].tolist()).astype(np.int64)]
-                out[some] = np.add.reduceat(cells, (np.cumsum(lengths) - lengths)[some])
-            yield pd.DataFrame({id_col: b[id_col], "dense": list(out)})
+            at = 0
+            for x in _dense_blocks(b, len(v)):
+                dense = x @ v
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * v.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(x)), pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))], names=[id_col, "dense"])
+                at += len(x)
 
     key = rows.schema[id_col].dataType.simpleString()
-    dense = rows.select(id_col, "indices", "values").mapInPandas(apply, f"{id_col} {key}, dense array<double>")
+    dense = rows.select(id_col, "indices", "values").mapInArrow(apply, f"{id_col} {key}, dense array<double>")
     return dense.select(id_col, array_to_vector("dense").alias("features"))
 
 
@@ -220,8 +223,10 @@ def discover(
     seed: int = SEED, components: int = 100,
 ) -> tuple[IntentModel, DataFrame]:
     """Fitted model and the taxonomy of its clusters."""
-    clean = df.filter(F.col(text_col).isNotNull()).select(id_col, tx.clean_for_clustering(F.col(text_col)).alias("clean"))
-    clean = staged(clean.filter(F.length("clean") > 10), "clean")
+    texts = spread(df.select(id_col, text_col))
+    # staged before the filter on lengths, which Spark would move, texts and all, below the exchange
+    clean = staged(texts.filter(F.col(text_col).isNotNull()).select(id_col, tx.clean_for_clustering(F.col(text_col)).alias("clean")), "clean")
+    clean = clean.filter(F.length("clean") > 10)
     terms = fit_terms(clean, id_col, "clean", settings)
     rows = terms.stage_rows(clean, id_col, "clean")
     basis = fit_projection(rows.sparse(), terms.size, components, seed)
