@@ -67,6 +67,33 @@ def test_cell_search(spark, table, data, tmp_path, limit):
     assert all(r["score"] > 0.9999 for r in got if r["rank"] == 1)
 
 
+def test_documents_are_not_copied_for_each_block_of_queries(spark, table):
+    """Beyond a share for each core, what a slot holds is copied once, however many queries there are."""
+    few, many = table.limit(50), table.crossJoin(spark.range(20).withColumnRenamed("id", "copy")).drop("copy")
+    copies = [similarity.held_grid(q, table, 300 * 72, 2000, 4)[1].count() for q in (few, many)]
+    assert copies == [300, 300]
+    index = similarity.CellIndex(np.eye(DIM), table.withColumn("cell", F.lit(0)))
+    asked, held = index._sent_to_cells(many, 1, query_rows=10_000)
+    assert held.count() == 300 * held.select("slot").distinct().count()
+
+
+@pytest.mark.parametrize("skip_same", [True, False])
+@pytest.mark.parametrize("floor", [None, 0.5])
+def test_held_documents_by_brute_force(data, skip_same, floor):
+    """More documents than a block, a third of them alike, ids from one to 900."""
+    docs = np.concatenate([data, data[::-1], data * 0.5])
+    ids = np.arange(1, len(docs) + 1)
+    q, d, s = similarity._held_top_k(ids[:300], data, ids, docs, 4, skip_same, floor)
+    scores, want = np.round(data @ docs.T, 9), {}
+    for i in range(300):
+        order = sorted((-x, j) for x, j in zip(scores[i], ids) if not (skip_same and j == i + 1) and (floor is None or x >= floor))
+        want[i + 1] = [j for _, j in order[:4]]
+    got = {i + 1: [] for i in range(300)}
+    for a, b in zip(q, d):
+        got[a].append(b)
+    assert got == want
+
+
 def test_normalise(spark):
     got = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>").select(vec.normalise(F.col("v")).alias("u")).collect()
     assert [list(r["u"]) for r in got] == [[0.6, 0.8], [0.0, 0.0]]

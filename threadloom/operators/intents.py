@@ -182,7 +182,8 @@ class IntentModel:
 
     def _placed(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, features, prediction) of every row."""
-        clean = df.select(id_col, tx.clean_for_clustering(F.coalesce(F.col(text_col), F.lit(""))).alias("__clean"))
+        texts = spread(df.select(id_col, text_col))
+        clean = texts.select(id_col, tx.clean_for_clustering(F.coalesce(F.col(text_col), F.lit(""))).alias("__clean"))
         rows = self.terms.transform(clean, id_col, "__clean")
         return self.clusters.transform(project(rows, id_col, self.basis))
 

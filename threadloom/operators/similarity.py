@@ -3,8 +3,9 @@
 No row pair is ever written out: matrix blocks are multiplied inside Arrow
 batches and each task emits only the best k documents per query it saw. Queries
 up to a checked size are sent to the documents, which stay where they are. Beyond
-it both sides are dealt out to the slots of a grid by one shuffle: in a slot a
-block of queries of bounded size is held, and its documents stream by.
+it both sides are dealt out to slots by one shuffle: in a slot a part of the
+documents of bounded size is held, and queries stream by, so each is done with
+when it has passed and nothing is kept for it.
 
 Scores are rounded to nine decimals so that ties break by document id and not by
 the order floating-point sums happened to run in.
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,6 +32,12 @@ DECIMALS = 9
 BLOCK = 2048
 #: Documents of a cell that are one part of it, where queries are sent to cells by a join.
 CELL_PART_ROWS = 100_000
+#: Documents of a part held by a slot, in bytes of doubles.
+HELD_BYTES = 32 * 1024 * 1024
+#: Queries of a part of a cell's queries: they stream by, so this only spreads work over tasks.
+QUERY_PART_ROWS = 1 << 17
+#: Queries that are sent to every task: each of an executor's Python processes holds them and their best k.
+SENT_BYTES = 4 * 1024 * 1024
 
 
 def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
@@ -69,6 +77,39 @@ def _block_top_k(q_ids, qm, d_ids, dm, k: int, skip_same: bool, floor: float | N
     return _trim(q_ids[rows], d_ids[cols], scores[rows, cols], k)
 
 
+def _held_top_k(q_ids, qm, d_ids, dm, k: int, skip_same: bool, floor: float | None):
+    """Best k of the held documents, which are in order of id, for every query of one block.
+
+    Once a query has k documents, a later one has to beat the k-th: of equal scores the
+    smaller id stays. So most blocks are one product and one comparison.
+    """
+    low = np.finfo(np.float64).min if floor is None else floor
+    half = 0.5 * 10.0**-DECIMALS
+    bar = np.full(len(q_ids), low - 2 * half if floor is not None else low)
+    q, d, s = np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([])
+    at, step = 0, max(256, 4 * k)  # few at first, as every document of the first block is better than none
+    while at < len(d_ids):
+        ids = d_ids[at : at + step]
+        scores = qm @ dm[at : at + step].T
+        if skip_same:
+            first, last = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
+            for more in range(int((last - first).max(initial=0))):
+                own = np.flatnonzero(first + more < last)
+                scores[own, first[own] + more] = -np.inf
+        rows, cols = np.nonzero(scores >= bar[:, None])
+        at, step = at + step, BLOCK
+        if not len(rows):
+            continue
+        new = np.round(scores[rows, cols], DECIMALS)
+        good = new >= low
+        q, d, s = _trim(np.concatenate([q, rows[good]]), np.concatenate([d, ids[cols[good]]]), np.concatenate([s, new[good]]), k)
+        n = np.bincount(q, minlength=len(q_ids))
+        full = np.flatnonzero(n == k)
+        kth = s[np.cumsum(n)[full] - 1]
+        bar[full] = kth + half - 1e-12 * (1 + np.abs(kth))
+    return q_ids[q], d, s
+
+
 class _Best:
     """Running best k per query over many blocks, kept by slice of queries.
 
@@ -137,17 +178,19 @@ def exact_top_k(
 
     Both tables have `id` and either `vector` or sparse `indices`/`values`.
     `skip_same` leaves out a document with the query's own id, `floor` drops
-    scores below it. Queries of at most `broadcast_bytes` are sent to the
-    documents; more of them meet the documents in a grid. Rows without a usable vector
+    scores below it. Queries of at most `broadcast_bytes`, and of vectors `SENT_BYTES`, are sent
+    to the documents; more of them meet the documents in a grid. Rows without a usable vector
     (null, wrong length, null or NaN cells) take no part on either side.
     """
     # renamed copies: both sides may be the same table
     queries = queries.select(*_columns(queries)).toDF(*_columns(queries))
     corpus = corpus.select(*_columns(corpus)).toDF(*_columns(corpus))
     queries, corpus = _usable(queries, dim), _usable(corpus, dim)
-    size = _bytes(queries, dim)
-    if size <= broadcast_bytes:
+    size, dense = _bytes(queries, dim), "vector" in queries.columns
+    if size <= (min(broadcast_bytes, SENT_BYTES) if dense else broadcast_bytes):
         hits = _send_queries(queries, corpus, k, dim, skip_same, floor)
+    elif dense:
+        hits = _pass_by(*held_grid(queries, corpus, _bytes(corpus, dim)), k, dim, skip_same, floor)
     else:
         hits = _meet(*grid(queries, corpus, size, broadcast_bytes), k, dim, skip_same, floor)
     return rank_hits(hits, k)
@@ -172,6 +215,57 @@ def _send_queries(queries, corpus, k, dim, skip_same, floor) -> DataFrame:
     return corpus.mapInPandas(search, HIT)
 
 
+def held_grid(queries: DataFrame, corpus: DataFrame, size: int, held_bytes: int = HELD_BYTES, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the `slot` each row goes to: documents, of `size` bytes, in parts of `held_bytes`, each to be passed by all queries.
+
+    A query is copied to every part. Only if these are fewer than `slots` (by default two for
+    each core) are queries dealt out too, and a part copied to each share of them.
+    """
+    slots = slots or 2 * queries.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-size // held_bytes))
+    shares = max(1, -(-slots // parts))
+    share, part = F.pmod(F.xxhash64("id"), F.lit(shares)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))
+    asked = queries.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: p * shares + share)))
+    held = corpus.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shares - 1)), lambda q: part * shares + q)))
+    return asked, held
+
+
+def _pass_by(asked: DataFrame, held: DataFrame, k: int, dim: int, skip_same: bool, floor: float | None = None) -> DataFrame:
+    """Best k per slot and query of the documents of the same `slot`; one shuffle of both sides.
+
+    A slot's documents come first and are held, so the caller bounds them; queries stream by.
+    """
+    kind = "float" if all("float" in df.schema["vector"].dataType.simpleString() for df in (asked, held)) else "double"
+    as_rows = lambda df, side: df.select(F.col("slot").cast("bigint").alias("slot"), F.lit(side).alias("side"), F.col("id").cast("bigint").alias("id"), F.col("vector").cast(f"array<{kind}>").alias("vector"))
+    both = as_rows(held, 0).unionByName(as_rows(asked, 1)).repartition("slot").sortWithinPartitions("slot", "side", "id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, parts, found = None, [], None
+        for batch in batches:
+            slots, sides, ids = (batch.column(c).to_numpy() for c in ("slot", "side", "id"))
+            vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+            ends = np.flatnonzero((slots[1:] != slots[:-1]) | (sides[1:] != sides[:-1])) + 1
+            for lo, hi in zip(np.r_[0, ends], np.r_[ends, len(ids)]):
+                if hi == lo:
+                    continue
+                if slots[lo] != slot:
+                    slot, parts, found = slots[lo], [], None
+                if sides[lo] == 0:
+                    parts.append((ids[lo:hi].copy(), vectors[lo:hi].copy()))
+                    continue
+                if found is None:
+                    if not parts:
+                        continue
+                    found = [np.concatenate(p) for p in zip(*parts)]
+                    found[1], parts = found[1].astype(np.float64), []
+                for s in _slices(hi - lo, BLOCK):
+                    block = slice(lo + s.start, lo + s.stop)
+                    q, d, score = _held_top_k(ids[block], vectors[block].astype(np.float64), *found, k, skip_same, floor)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(score)], names=["q_id", "d_id", "score"])
+
+    return both.mapInArrow(search, HIT)
+
+
 def grid(queries: DataFrame, corpus: DataFrame, size: int, block_bytes: int, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with the `slot` each row goes to, in a grid of as many rows of slots as the queries are blocks of `block_bytes`.
 
@@ -248,22 +342,22 @@ class CellIndex:
         """Approximate top k: exact scores inside the `probe` cells nearest to each query.
 
         With as many cells probed as there are, the search is exact. Cells that no
-        query probes are not read. Queries of more than `broadcast_bytes` go to their
-        cells by a join.
+        query probes are not read. Queries of more than `broadcast_bytes` or `SENT_BYTES` go to
+        their cells by a join.
         """
         dim = self.centroids.shape[1]
         queries = _usable(queries.select("id", "vector"), dim)
         size = _bytes(queries, dim)
-        if size <= broadcast_bytes:
+        if size <= min(broadcast_bytes, SENT_BYTES):
             return rank_hits(self._scan(queries, k, probe, skip_same), k)
-        return rank_hits(_meet(*self._sent_to_cells(queries, probe, broadcast_bytes), k, dim, skip_same), k)
+        return rank_hits(_pass_by(*self._sent_to_cells(queries, probe), k, dim, skip_same), k)
 
-    def _sent_to_cells(self, queries: DataFrame, probe: int, block_bytes: int, part_rows: int = CELL_PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    def _sent_to_cells(self, queries: DataFrame, probe: int, query_rows: int = QUERY_PART_ROWS, part_rows: int = CELL_PART_ROWS) -> tuple[DataFrame, DataFrame]:
         """Queries copied to the cells they probe, and the documents of these cells, both with the `slot` they meet in.
 
         A slot is a part of a cell's documents and a part of the queries sent to it: a large cell
         is cut into parts of about `part_rows` documents, and the queries of a cell into parts of
-        `block_bytes`, so neither a hot cell nor one that many queries probe is one task.
+        about `query_rows`, so neither a hot cell nor one that many queries probe is one task.
         """
         centroids = queries.sparkSession.sparkContext.broadcast(self.centroids)
         dim = self.centroids.shape[1]
@@ -275,7 +369,7 @@ class CellIndex:
                 yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(np.int64), near.shape[1]), "vector": b["vector"].repeat(near.shape[1]).to_numpy(), "cell": near.ravel().astype(np.int32)})
 
         sent = staged(queries.mapInPandas(nearest, f"id bigint, vector {kind}, cell int"), "sent-to-cells")
-        asked = sent.groupBy("cell").agg(F.ceil(F.count("*") * (dim * 8 + 8) / block_bytes).cast("int").alias("q_parts"))
+        asked = sent.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("q_parts"))
         # One row for each cell of the index, so these are collected: cells that nobody probes are not read.
         probed = {r["cell"]: r["q_parts"] for r in asked.collect()}
         held = self.documents.filter(F.col("cell").isin(sorted(probed)))
@@ -334,7 +428,7 @@ def build_cells(corpus: DataFrame, cells: int, seed: int = SEED, max_iter: int =
             yield b.assign(cell=cell.astype(np.int32))
 
     documents = _usable(corpus, dim).select("id", "vector").mapInPandas(assign, f"id bigint, vector {kind}, cell int")
-    return CellIndex(centroids, documents)
+    return CellIndex(centroids, staged(documents, "cells"))  # read by every search
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, index: CellIndex | None = None, probe: int = 10, skip_same: bool = False) -> DataFrame:
