@@ -186,3 +186,19 @@ def test_projection_holds_few_rows_at_once(spark):
     assert max(x.size for x in seen) <= intents.BLOCK_CELLS
     whole = np.concatenate(seen)
     assert len(whole) == 45 and whole[1, 6] == 0 and whole[2, 7] == 1 and whole[2, 14] == 2
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_streamed_table_is_a_file_or_a_folder(spark, tmp_path, data_dir, files):
+    """The driver's larger tables are folders."""
+    import shutil
+
+    from threadloom import catalog
+
+    table = f"{data_dir}/conversations.parquet"
+    if files:
+        spark.read.parquet(table).repartition(files).write.parquet(str(tmp_path / "conversations.parquet"))
+    else:
+        shutil.copy(table, tmp_path / "conversations.parquet")
+    got = catalog.QUERIES["t1_stream_scoring"](spark, str(tmp_path))
+    assert got.count() == catalog.QUERIES["d4_escalation_without_generator"](spark, str(tmp_path)).count() > 0

@@ -298,7 +298,8 @@ def t1(spark, sf_dir):
     """Escalation of arriving messages, joined with known best scores; equals the batch job."""
     conv = st.table(spark, sf_dir, "conversations")
     known = st.requests(st.tweets(spark, sf_dir)).select("tweet_id", "best_score")
-    arriving = spark.readStream.schema(conv.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    # A pattern, for a table that is one file or a folder of files: a plain path has to be a folder.
+    arriving = spark.readStream.schema(conv.schema).parquet(f"{sf_dir}/conversations.parque[t]")
     messages = st.tweet_columns(arriving).filter("inbound").select(
         "tweet_id", "text", ((F.col("tweet_id") % 100) / 100.0).alias("intent_confidence")
     )
