@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from threadloom.operators import postings
+from threadloom.operators import postings, similarity
 
 TERMS = 60
 
@@ -75,3 +75,19 @@ def test_saved_index_and_empty_sides(spark, tmp_path):
     nothing = table(spark, d).limit(0)
     assert index.search(nothing, 2).count() == 0
     assert postings.sparse_top_k(table(spark, d), nothing, 2).count() == 0
+
+
+@pytest.mark.parametrize("k,floor,skip_same,held", [(1, 1e-9, True, 1 << 20), (5, 1e-9, False, 900), (400, 0.2, True, 900)])
+def test_held_lists_as_by_all_pairs(spark, k, floor, skip_same, held):
+    d = sparse(6, 240)
+    found = similarity.sparse_top_k_held(table(spark, d), table(spark, d), k, TERMS, floor, skip_same, held)
+    got, want = {(r.q_id, r.d_id): (r["rank"], r.score) for r in found.collect()}, brute(d, d, k, floor, skip_same)
+    assert got.keys() == want.keys()
+    assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-8 for p in want)
+
+
+def test_pairs_that_share_a_term_are_not_written(spark):
+    """All rows share a term: what leaves the tasks is k for each query and part, not every pair."""
+    d = table(spark, sparse(8, 300, frequent=1.0))
+    asked, held = similarity.held_grid(d, d, 1000, 2000, 4)
+    assert similarity._pass_by_sparse(asked, held, 1, TERMS, True, 1e-9).count() <= 300 * asked.select("slot").distinct().count()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import BASELINE_TERMS, TermSettings
 from ..functions import judgement, rules
 from .features import TermModel, cut, fit_terms
-from .postings import sparse_top_k
+from .similarity import sparse_top_k_held
 
 LOW = 0.1  # below this similarity the nearest reply is not trusted
 
@@ -27,12 +27,12 @@ def similar_history(
     """Sparse similarity join: k most similar past messages with any shared term, by TF-IDF cosine.
 
     `asks` and `history` have id and text. History is cut into words once, for the
-    vocabulary and for its rows, and searched through its posting lists. `skip_same` leaves
+    vocabulary and for its rows, and searched through posting lists of parts of it. `skip_same` leaves
     out a past message with the ask's own id.
     """
     past = cut(history, "id", "text", model.stop_words if model else None)
     model = model or fit_terms(past, "id", "text", settings)
-    return sparse_top_k(model.transform(asks, "id", "text"), model.transform(past, "id", "text"), k, skip_same=skip_same)
+    return sparse_top_k_held(model.transform(asks, "id", "text"), model.transform(past, "id", "text"), k, model.size, skip_same=skip_same)
 
 
 def nearest_reply(

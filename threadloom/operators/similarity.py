@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -34,6 +35,8 @@ BLOCK = 2048
 CELL_PART_ROWS = 100_000
 #: Documents of a part held by a slot, in bytes of doubles.
 HELD_BYTES = 32 * 1024 * 1024
+#: The same of sparse rows, whose cells are counted with twelve bytes.
+SPARSE_HELD_BYTES = 64 * 1024 * 1024
 #: Queries of a part of a cell's queries: they stream by, so this only spreads work over tasks.
 QUERY_PART_ROWS = 1 << 17
 #: Queries that are sent to every task: each of an executor's Python processes holds them and their best k.
@@ -266,6 +269,75 @@ def _pass_by(asked: DataFrame, held: DataFrame, k: int, dim: int, skip_same: boo
     return both.mapInArrow(search, HIT)
 
 
+def _posted(ids, lengths, idx, val, dim: int):
+    """Posting lists of held rows: ids in order, and each term's rows and weights from `starts[term]` to `starts[term + 1]`."""
+    order = np.argsort(idx, kind="stable")
+    starts = np.searchsorted(idx[order], np.arange(dim + 1))
+    return ids, starts, np.repeat(np.arange(len(ids)), lengths)[order], val[order]
+
+
+def _posted_top_k(q_id, idx, val, ids, starts, rows, weights, k: int, skip_same: bool, floor: float):
+    """Best k of the held rows for one sparse query: (d_id, score), best first."""
+    lists = [slice(starts[t], starts[t + 1]) for t in idx]
+    if not lists:
+        return ids[:0], val[:0]
+    given = np.concatenate([weights[x] * w for x, w in zip(lists, val)])
+    sums = np.bincount(np.concatenate([rows[x] for x in lists]), given, len(ids)).astype(np.float64)  # whole numbers if there is nothing to add
+    scores = np.round(sums, DECIMALS)
+    if skip_same:
+        scores[np.searchsorted(ids, q_id, "left") : np.searchsorted(ids, q_id, "right")] = -np.inf
+    low = floor if len(scores) <= k else max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
+    at = np.flatnonzero(scores >= low)
+    at = at[np.argsort(-scores[at], kind="stable")[:k]]  # of equal scores the smaller id first
+    return ids[at], scores[at]
+
+
+def _pass_by_sparse(asked: DataFrame, held: DataFrame, k: int, dim: int, skip_same: bool, floor: float) -> DataFrame:
+    """As `_pass_by`, of sparse rows: a slot holds its documents as posting lists, in which each query's terms are looked up."""
+    as_rows = lambda df, side: df.select(F.col("slot").cast("bigint").alias("slot"), F.lit(side).alias("side"), F.col("id").cast("bigint").alias("id"), F.col("indices").cast("array<int>").alias("indices"), F.col("values").cast("array<double>").alias("values"))
+    both = as_rows(held, 0).unionByName(as_rows(asked, 1)).repartition("slot").sortWithinPartitions("slot", "side", "id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, parts, found = None, [], None
+        for batch in batches:
+            slots, sides, ids = (batch.column(c).to_numpy() for c in ("slot", "side", "id"))
+            lengths = pc.fill_null(pc.list_value_length(batch.column("indices")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.r_[0, np.cumsum(lengths)]
+            idx, val = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("indices", "values"))
+            ends = np.flatnonzero((slots[1:] != slots[:-1]) | (sides[1:] != sides[:-1])) + 1
+            best = []
+            for lo, hi in zip(np.r_[0, ends], np.r_[ends, len(ids)]):
+                if hi == lo:
+                    continue
+                if slots[lo] != slot:
+                    slot, parts, found = slots[lo], [], None
+                if sides[lo] == 0:
+                    cells = slice(at[lo], at[hi])
+                    parts.append((ids[lo:hi].copy(), lengths[lo:hi].copy(), idx[cells].copy(), val[cells].copy()))
+                    continue
+                if found is None:
+                    if not parts:
+                        continue
+                    found, parts = _posted(*[np.concatenate(p) for p in zip(*parts)], dim), []
+                for i in range(lo, hi):
+                    d, score = _posted_top_k(ids[i], idx[at[i] : at[i + 1]], val[at[i] : at[i + 1]], *found, k, skip_same, floor)
+                    best.append((np.full(len(d), ids[i]), d, score))
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*best)], names=["q_id", "d_id", "score"])
+
+    return both.mapInArrow(search, HIT)
+
+
+def sparse_top_k_held(queries: DataFrame, corpus: DataFrame, k: int, dim: int, floor: float = 10.0**-DECIMALS, skip_same: bool = False, held_bytes: int = SPARSE_HELD_BYTES) -> DataFrame:
+    """Exact top k of sparse rows over `dim` terms: (q_id, d_id, score, rank), of documents with a score of `floor` or more, which is above zero.
+
+    No pair leaves a task: what is shuffled are the documents, the queries once for each part of
+    the documents, and k results for each of those.
+    """
+    queries, corpus = (staged(df.select("id", "indices", "values"), name) for df, name in ((queries, "query-rows"), (corpus, "document-rows")))
+    return rank_hits(_pass_by_sparse(*held_grid(queries, corpus, _bytes(corpus, dim), held_bytes), k, dim, skip_same, floor), k)
+
+
 def grid(queries: DataFrame, corpus: DataFrame, size: int, block_bytes: int, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with the `slot` each row goes to, in a grid of as many rows of slots as the queries are blocks of `block_bytes`.
 
