@@ -71,6 +71,22 @@ def test_a_large_family_with_stragglers(spark):
     assert [found[i] for i in range(len(texts))] == slow and 1 < len(set(slow)) < 250
 
 
+def test_a_family_of_unlinked_copies_gives_no_pairs(spark, monkeypatch):
+    """Copies with edits of their own, each too far from the others: what one has alone comes first and tells them apart."""
+    texts = [" ".join(f"x{i}.{w}" if w % 10 == i % 10 else f"b{w}" for w in range(60)) for i in range(200)]
+    pairs, real = [], j._all_pairs
+
+    def counted(*args):
+        pairs.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(j, "_all_pairs", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.component_id for r in j.similar(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == slow_components(texts)
+    assert pairs[0] <= len(texts)
+
+
 def test_prefixes_under_every_order_hold_a_shared_shingle():
     rng = np.random.default_rng(3)
     for _ in range(400):

@@ -252,6 +252,16 @@ def _possible(percent: int) -> Column:
     return sizes & short & (places >= _need(n, m, percent))
 
 
+def _possible_first(percent: int) -> Column:
+    """`_possible` of a pair whose first shared shingle this is: nothing that comes before it in either set is shared.
+
+    The order is one for all sets, so a linked pair passes at the first shingle it shares, which both prefixes
+    show; it need not pass at the others.
+    """
+    n, m = F.col("x.n"), F.col("y.n")
+    return _possible(percent) & (F.least(n - F.col("x.place"), m - F.col("y.place")) >= _need(n, m, percent))
+
+
 def _passing(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs `a`, `b` that pass the bound by sketches: twice the shared shingles are n + m less the shingles that one set has alone."""
 
@@ -304,8 +314,14 @@ def _mixed_keys(posts: DataFrame) -> DataFrame:
 
 
 def _with_centres(posts: DataFrame, number: int, percent: int) -> DataFrame:
-    """Pairs `a`, `b`: each node with the centre, of another component, that it has most shingles in common with."""
+    """Pairs `a`, `b`: each node with the centre, of another component, that it has most shingles in common with.
+
+    In even rounds a shingle's centre is the set that has least before it, which is the one most like the others: what
+    comes before is rarer, as edits are that a copy has alone.
+    """
     by = F.xxhash64("key", "node", F.lit(number))
+    if number % 2 == 0:
+        by = F.struct((F.col("place") / F.col("n")).alias("before"), by.alias("hash"))
     row = F.struct(*[F.col(c) for c in posts.columns if c != "key"])
     centre = posts.groupBy("key").agg(F.min_by(row, by).alias("x"))
     pairs = posts.select("key", row.alias("y")).join(centre, "key").where("x.root <> y.root").where(_possible(percent))
@@ -320,7 +336,7 @@ def _all_pairs(posts: DataFrame, percent: int, block: int) -> DataFrame:
     cut = posts.select("key", "node", row.alias("y")).join(sized, "key")
     own = cut.select("key", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("y").alias("x"))
     all_blocks = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "y")
-    pairs = own.join(all_blocks, ["key", "block"]).where("x.node < y.node and x.root <> y.root").where(_possible(percent))
+    pairs = own.join(all_blocks, ["key", "block"]).where("x.node < y.node and x.root <> y.root").where(_possible_first(percent))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
