@@ -46,6 +46,21 @@ def test_number_rows(spark, rows_each):
     assert ranking.number_rows(df.limit(0), "id", rows_each).count() == 0
 
 
+def test_long_texts_are_numbered_in_more_ranges(spark, monkeypatch):
+    """What a task sorts is bounded by bytes, not by rows alone."""
+    ranges, staged = [], ranking.staged
+
+    def counted(df, name):
+        ranges.append(df.rdd.getNumPartitions())
+        return staged(df, name)
+
+    monkeypatch.setattr(ranking, "staged", counted)
+    df = spark.range(400).select((F.col("id") * 3).alias("id"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("é"), 500)).alias("text"))
+    numbered = ranking.number_rows(df, "id", bytes_each=50_000)
+    assert ranges[0] >= 6
+    assert [(r["row_no"], r["id"]) for r in numbered.orderBy("id").collect()] == [(i + 1, 3 * i) for i in range(400)]
+
+
 def test_split_shares_are_exact(skewed):
     got = intents.stratified_split(skewed.drop("h"), "id", "label").groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t"))
     assert all(r["t"] == int(r["n"] * 0.2 + 0.5) for r in got.collect())

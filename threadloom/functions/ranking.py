@@ -8,15 +8,15 @@ ranges whose number follows from the count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import SEED
 from ..session import staged
 
 #: Hexadecimal digits of a hash, how many a step of a selection looks at, and rows of a group at which it ends.
 HASH_DIGITS, DIGITS, SMALL = 32, 2, 1000
-#: Rows of a range that are numbered in one task.
-RANGE_ROWS = 1_000_000
+#: Rows of a range that are numbered in one task, and bytes of their texts.
+RANGE_ROWS, RANGE_BYTES = 1_000_000, 64 << 20
 
 
 def hash_order(key: Column, seed: int = SEED) -> Column:
@@ -85,17 +85,24 @@ def up_to_cut(df: DataFrame, cuts: DataFrame, group: str, hash_col: Column, tie:
     return df.join(named, F.col(group).eqNullSafe(F.col("__q")), "left").withColumn("first", F.coalesce(first, F.lit(False))).drop("__q", "cut")
 
 
-def number_rows(df: DataFrame, order_col: str, rows_each: int = RANGE_ROWS) -> DataFrame:
+def _string_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's string and binary columns."""
+    kinds = (T.StringType, T.BinaryType)
+    return sum((F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)).cast("bigint") for f in df.schema.fields if isinstance(f.dataType, kinds)), F.lit(0).cast("bigint"))
+
+
+def number_rows(df: DataFrame, order_col: str, rows_each: int = RANGE_ROWS, bytes_each: int = RANGE_BYTES) -> DataFrame:
     """Adds `row_no` 1..n in the order of a column with distinct values.
 
-    Rows are dealt to as many ranges as their number asks for, sorted there and
+    Rows are dealt to as many ranges as their number and the length of their texts ask for, sorted there and
     written; a row's place in its range and the sizes of the ranges before give
     its number. No range is ranked by a window, and the table of sizes has a row a range.
     """
-    ranges = max(1, -(-df.count() // rows_each))
+    rows, size = df.agg(F.count("*"), F.sum(_string_bytes(df))).first()
+    ranges = max(1, -(-rows // rows_each), -(-(size or 0) // bytes_each))
     ranged = staged(df.repartitionByRange(ranges, order_col).sortWithinPartitions(order_col).withColumn("__at", F.monotonically_increasing_id()), "ranges")
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    return ranged.withColumn("__part", part).join(starts, "__part").withColumn("row_no", place + F.col("__start") + 1).drop("__part", "__at", "__start")
+    return ranged.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("row_no", place + F.col("__start") + 1).drop("__part", "__at", "__start")
