@@ -6,8 +6,9 @@ back, so a stage starts from files and not from its predecessor's lineage.
 
 1. quality: the weak-label classifier rejects documents.
 2. exact_dedup: of equal texts the row with the largest id stays.
-3. near_dedup: of texts linked by a Jaccard similarity of 0.8 or more on
-   five-word shingles, the row with the smallest id stays.
+3. near_dedup: of texts linked by SimHash fingerprints within two bits or by a
+   Jaccard similarity of 0.8 or more on five-word shingles, the row with the
+   smallest id stays.
 4. decontaminate: documents holding a passage of a benchmark item go.
 5. byte_bpe: texts become token ids, which decode to the text again.
 
@@ -37,7 +38,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, by fingerprints and by shared shingles."""
     return near_duplicates.keep_one(docs)
 
 

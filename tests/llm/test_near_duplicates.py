@@ -62,3 +62,15 @@ def test_odd_documents(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 7, 8, 9]
     assert n.keep_one(no_docs).count() == 0
+
+
+def test_the_pipeline_stage_links_by_fingerprints_too(spark, monkeypatch):
+    """Texts whose fingerprints are close are linked whatever their shingles; so are chains of both kinds of links."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcd"] + [" ".join(f"b{i}" for i in range(41))]
+    close = {texts[0]: 0, texts[1]: 3, texts[2]: 0xFF00, texts[3]: 0xFF << 30, texts[4]: 0xFF << 50}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, text="text", id_col="doc_id", width=3: spark.createDataFrame(
+        [(r[0], close[r[1]]) for r in docs.select(id_col, text).collect()], "id long, fp long"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 2, 3]

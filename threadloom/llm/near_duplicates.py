@@ -1,8 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, complete and exact.
+"""Near-duplicates by SimHash and by the Jaccard similarity of word shingles, complete and exact.
 
-Two texts are linked if their sets of `WIDTH`-word shingles have a similarity of
-`SIMILARITY` or more; components come from the similarity join of `jaccard_join`,
-which builds whole sets only for texts that share a rare shingle with another.
+Two texts are linked if their fingerprints (`simhash`) differ in two bits or fewer, or
+if their sets of `WIDTH`-word shingles have a similarity of `SIMILARITY` or more: near
+copies with more edits than two bits allow for. The latter components come from the
+similarity join of `jaccard_join`, which builds whole sets only for texts that share a
+rare shingle with another. Components of both kinds are joined to be those of all links.
 
 Defined results: as of `simhash.keep_one`; words are lower-cased; a text of fewer
 words than a shingle is one shingle; texts with equal sets (so all without
@@ -14,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, simhash
 from .common import stage
+from .components import components
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -26,10 +29,18 @@ def cluster(rows: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     return jaccard_join.cluster(rows, width, round(100 * similarity), rounds=rounds, link_empty=True).select("row_id", "component")
 
 
+def cluster_by_both(rows: DataFrame) -> DataFrame:
+    """As `cluster`, with the links of the fingerprints as well; staged."""
+    found = simhash.cluster(rows, "text", "row_id").select(F.col("id").alias("row_id"), "component")
+    placed = stage(found.union(cluster(rows)), "placed-by-both")
+    roots = stage(components(placed.select(F.col("row_id").alias("a"), F.col("component").alias("b"))), "roots-of-both")
+    return rows.select("row_id").join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("row_id", F.coalesce("root", "row_id").alias("component"))
+
+
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay: of each component, one with its smallest id. The columns are those of the input."""
     numbered = stage(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "numbered")
     flat = numbered.select("row_id", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).alias("text"), F.col("row")[id_col].cast("long").alias("id"))
-    placed = cluster(flat.select("row_id", "text"))
+    placed = cluster_by_both(flat.select("row_id", "text"))
     best = placed.join(flat.select("row_id", "id"), "row_id").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_id")).alias("best"))
     return numbered.join(best.select(F.col("best.row_id").alias("row_id")), "row_id", "left_semi").select("row.*")
