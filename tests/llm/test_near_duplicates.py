@@ -74,3 +74,28 @@ def test_the_pipeline_stage_links_by_fingerprints_too(spark, monkeypatch):
         [(r[0], close[r[1]]) for r in docs.select(id_col, text).collect()], "id long, fp long"))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 2, 3]
+
+
+def test_components_of_both_kinds_of_links(spark):
+    texts = edited_copies()
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    prints = [simhash.fingerprint((t or "").encode()) for t in texts]
+    place = slow_components(texts)
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= 2 and place[i] != place[j]:
+                low, high = sorted((place[i], place[j]))
+                place = [low if c == high else c for c in place]
+    found = {r.row_id: r.component for r in n.cluster_by_both(rows).collect()}
+    assert [found[i] for i in range(len(texts))] == place
+
+
+def test_both_kinds_of_links_share_the_rounds_of_components(spark, monkeypatch):
+    from threadloom.llm import jaccard_join
+
+    calls = []
+    for module in (n, simhash, jaccard_join):
+        if hasattr(module, "components"):
+            monkeypatch.setattr(module, "components", lambda links, f=module.components: calls.append(1) or f(links))
+    n.cluster_by_both(spark.createDataFrame(list(enumerate(edited_copies())), "row_id long, text string"))
+    assert 1 <= len(calls) <= jaccard_join.ROUNDS + 1

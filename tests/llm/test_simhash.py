@@ -69,3 +69,13 @@ def test_long_chain_and_star(spark):
     roots = {r.node: r.root for r in components(links).collect()}
     assert roots == {i: 0 for i in range(201)} | {i: 300 for i in range(300, 500)} | {1000: 300}
     assert components(links.limit(0)).count() == 0
+
+
+def test_settled_links_are_written_once(spark, monkeypatch):
+    from threadloom.llm import components as c
+
+    names = []
+    monkeypatch.setattr(c, "stage", lambda df, name, f=c.stage: names.append(name) or f(df, name))
+    stars = spark.range(1, 100).select(F.col("id").alias("a"), (F.col("id") * 0).alias("b")).union(spark.createDataFrame([(201, 200)], "a long, b long"))
+    assert {r.node: r.root for r in c.components(stars).collect()} == {i: 0 for i in range(100)} | {200: 200, 201: 200}
+    assert names == ["links"]

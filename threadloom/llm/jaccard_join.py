@@ -287,6 +287,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int, order
 
     Sets are made for the texts of these pairs only, and only they are moved.
     """
+    if pairs.isEmpty():
+        return pairs
     few = _small(pairs)
     nodes = stage(pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct(), "pair-nodes")
     sets = stage(_sets(rows.join(_small(nodes), "row_id", "left_semi"), width, percent, orders), "sets")
@@ -340,12 +342,25 @@ def _all_pairs(posts: DataFrame, percent: int, block: int) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def cluster(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, rounds: int = ROUNDS, block: int = BLOCK_SETS, link_empty: bool = False) -> DataFrame:
+def _joined(known: DataFrame | None, root: DataFrame | None, pairs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links `a`, `b` that connect what `known` and `new` connect, and the components; staged. What they are made of is deleted."""
+    if root is None or not new.isEmpty():
+        last, root = known, stage(components(new if known is None else known.union(new)), "roots")
+        known = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if last is not None:
+            drop_stage(last)
+    drop_stage(pairs)
+    drop_stage(new)
+    return known, root
+
+
+def cluster(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, rounds: int = ROUNDS, block: int = BLOCK_SETS, link_empty: bool = False, start: DataFrame | None = None) -> DataFrame:
     """`row_id`, `n_shingles`, `component` (smallest row id reachable) of every row of `row_id`, `text`.
 
     `row_id` must stay as it is when `rows` is read again, so it comes from a
     written table. Texts are cut twice; sets are made of those of pairs that
-    pass all bounds.
+    pass all bounds. `start` has links `a`, `b` of row ids that hold whatever
+    the sets are.
     """
     heads = stage(_heads(rows, width, percent), "heads")
     nodes = heads.groupBy("sig").agg(F.min("row_id").alias("node"))
@@ -355,23 +370,19 @@ def cluster(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
     shared = shown.groupBy("key").agg(F.count("*").alias("sets"), F.max("near").alias("some")).where("sets > 1 and some").select("key")
     posts = stage(shown.join(shared, "key"), "posts")
     bits = heads.select(F.col("row_id").alias("node"), "n", "bits")
-    links, root = None, None
+    known, root = None, None
+    if start is not None:
+        node = lambda row, as_: named.select(F.col("row_id").alias(row), F.col("node").alias(as_))
+        known = stage(start.join(node("a", "x"), "a").join(node("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "links-known")
     for number in range(rounds):
         rest = stage(_mixed_keys(_rooted(posts, root)), "rest")
         drop_stage(posts)
         posts = rest.drop("root")
         pairs = stage(_passing(_with_centres(rest, number, percent), bits, percent), "centre-pairs")
-        new = _verified(pairs, rows, width, percent, orders)
-        found = stage(new if links is None else links.union(new), "links-all")
-        for done in [pairs, new] + ([links] if links is not None else []) + ([root] if root is not None else []):
-            drop_stage(done)
-        links = found
-        root = stage(components(links), "roots")
+        known, root = _joined(known, root, pairs, _verified(pairs, rows, width, percent, orders))
     pairs = stage(_passing(_all_pairs(_mixed_keys(_rooted(posts, root)), percent, block), bits, percent), "pairs")
-    new = _verified(pairs, rows, width, percent, orders)
-    last = root
-    root = stage(components(new if links is None else links.union(new)), "roots")
-    for done in [pairs, new, posts, copies, heads] + ([links, last] if links is not None else []):
+    known, root = _joined(known, root, pairs, _verified(pairs, rows, width, percent, orders))
+    for done in [posts, copies, heads]:
         drop_stage(done)
     return named.join(root, "node", "left").select("row_id", "n_shingles", F.coalesce("root", "node").alias("component"))
 

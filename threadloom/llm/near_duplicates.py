@@ -4,7 +4,8 @@ Two texts are linked if their fingerprints (`simhash`) differ in two bits or few
 if their sets of `WIDTH`-word shingles have a similarity of `SIMILARITY` or more: near
 copies with more edits than two bits allow for. The latter components come from the
 similarity join of `jaccard_join`, which builds whole sets only for texts that share a
-rare shingle with another. Components of both kinds are joined to be those of all links.
+rare shingle with another; it starts from the links of the fingerprints, so its components
+are those of all links.
 
 Defined results: as of `simhash.keep_one`; words are lower-cased; a text of fewer
 words than a shingle is one shingle; texts with equal sets (so all without
@@ -18,23 +19,19 @@ from pyspark.sql import functions as F
 
 from . import jaccard_join, simhash
 from .common import stage
-from .components import components
 
 WIDTH = 5
 SIMILARITY = 0.8
 
 
-def cluster(rows: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, rounds: int = jaccard_join.ROUNDS) -> DataFrame:
-    """`row_id`, `component` (smallest row id reachable) of every row of `row_id`, `text`, a staged table."""
-    return jaccard_join.cluster(rows, width, round(100 * similarity), rounds=rounds, link_empty=True).select("row_id", "component")
+def cluster(rows: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, rounds: int = jaccard_join.ROUNDS, start: DataFrame | None = None) -> DataFrame:
+    """`row_id`, `component` (smallest row id reachable) of every row of `row_id`, `text`, a staged table; `start` has further links `a`, `b` of row ids."""
+    return jaccard_join.cluster(rows, width, round(100 * similarity), rounds=rounds, link_empty=True, start=start).select("row_id", "component")
 
 
 def cluster_by_both(rows: DataFrame) -> DataFrame:
-    """As `cluster`, with the links of the fingerprints as well; staged."""
-    found = simhash.cluster(rows, "text", "row_id").select(F.col("id").alias("row_id"), "component")
-    placed = stage(found.union(cluster(rows)), "placed-by-both")
-    roots = stage(components(placed.select(F.col("row_id").alias("a"), F.col("component").alias("b"))), "roots-of-both")
-    return rows.select("row_id").join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("row_id", F.coalesce("root", "row_id").alias("component"))
+    """As `cluster`, with the links of the fingerprints as well."""
+    return cluster(rows, start=simhash.row_links(rows, "text", "row_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

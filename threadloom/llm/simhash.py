@@ -108,6 +108,15 @@ def cluster(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
+def row_links(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = SHINGLE_WORDS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Links `a`, `b` of ids that connect the rows as `cluster` does, for a job that has further links."""
+    rows = stage(fingerprints(docs, text, id_col, width), "fingerprints")
+    distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    least = lambda fp, as_: distinct.select(F.col("fp").alias(fp), F.col("least").alias(as_))
+    near = links(distinct.select("fp"), hot_bucket).join(least("a", "x"), "a").join(least("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return near.union(rows.join(distinct, "fp").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+
+
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay: of each component, those with its smallest id.
 
