@@ -202,3 +202,18 @@ def test_streamed_table_is_a_file_or_a_folder(spark, tmp_path, data_dir, files):
         shutil.copy(table, tmp_path / "conversations.parquet")
     got = catalog.QUERIES["t1_stream_scoring"](spark, str(tmp_path))
     assert got.count() == catalog.QUERIES["d4_escalation_without_generator"](spark, str(tmp_path)).count() > 0
+
+
+def test_training_cuts_a_text_once_for_each_of_its_three_uses(spark, talk, tmp_path, monkeypatch):
+    """Discovery with its labels, classifier, baseline; fits and transforms share the words."""
+    cuts, cut = [], features.words
+    for module in (features, intents):
+        if hasattr(module, "words"):
+            monkeypatch.setattr(module, "words", lambda *a: cuts.append(1) or cut(*a))
+    blank = spark.createDataFrame([(900, None), (901, ""), (902, "short")], "conversation_id bigint, customer_message string")
+    out = training.train(
+        talk.drop("intent").union(blank), str(tmp_path / "out"), target=20, k=4, discovery=SETTINGS, classification=SETTINGS,
+        baseline=TermSettings(2, 0.9, 300), max_iter=10,
+    )
+    assert out.labelled.count() == 243 and out.labelled.filter("intent is null").count() == 0
+    assert len(cuts) == 3

@@ -19,7 +19,7 @@ from ..config import CLASSIFIER_TERMS, DISCOVERY_TERMS, SEED, RetrievalSettings,
 from ..functions import judgement, rules, text as tx
 from ..functions.ranking import hash_cuts, hash_order, up_to_cut
 from ..session import staged
-from .features import TermModel, fit_terms, spread
+from .features import WORDS, TermModel, fit_terms, spread, words
 
 
 
@@ -182,9 +182,10 @@ class IntentModel:
 
     def _placed(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, features, prediction) of every row."""
-        texts = spread(df.select(id_col, text_col))
-        clean = texts.select(id_col, tx.clean_for_clustering(F.coalesce(F.col(text_col), F.lit(""))).alias("__clean"))
-        rows = self.terms.transform(clean, id_col, "__clean")
+        if WORDS not in df.columns:
+            texts = spread(df.select(id_col, text_col))
+            df = texts.select(id_col, tx.clean_for_clustering(F.coalesce(F.col(text_col), F.lit(""))).alias(text_col))
+        rows = self.terms.transform(df, id_col, text_col)
         return self.clusters.transform(project(rows, id_col, self.basis))
 
     def cluster(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -219,22 +220,27 @@ class IntentModel:
         return name_members(self.cluster(df, id_col, text_col), names)
 
 
+def cleaned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, present, word array) of every row, cleaned for clustering; staged, for a job that both discovers and assigns."""
+    texts = spread(df.select(id_col, text_col))
+    clean = staged(texts.select(id_col, tx.clean_for_clustering(F.coalesce(F.col(text_col), F.lit(""))).alias(text_col), F.col(text_col).isNotNull().alias("__present")), "clean")
+    return staged(clean.withColumn(WORDS, words(F.col(text_col))), "words")
+
+
 def discover(
     df: DataFrame, id_col: str, text_col: str, k: int = 10, settings: TermSettings = DISCOVERY_TERMS,
     seed: int = SEED, components: int = 100,
 ) -> tuple[IntentModel, DataFrame]:
-    """Fitted model and the taxonomy of its clusters."""
-    texts = spread(df.select(id_col, text_col))
-    # staged before the filter on lengths, which Spark would move, texts and all, below the exchange
-    clean = staged(texts.filter(F.col(text_col).isNotNull()).select(id_col, tx.clean_for_clustering(F.col(text_col)).alias("clean")), "clean")
-    clean = clean.filter(F.length("clean") > 10)
-    terms = fit_terms(clean, id_col, "clean", settings)
-    rows = terms.stage_rows(clean, id_col, "clean")
+    """Fitted model and the taxonomy of its clusters, of texts or of what `cleaned` made of them."""
+    every = df if WORDS in df.columns else cleaned(df, id_col, text_col)
+    clean = every.filter(F.col("__present") & (F.length(text_col) > 10))
+    terms = fit_terms(clean, id_col, text_col, settings)
+    rows = terms.stage_rows(clean, id_col, text_col)
     basis = fit_projection(rows.sparse(), terms.size, components, seed)
     dense = staged(project(rows.sparse(), id_col, basis), "projected")
     model = KMeans(k=k, seed=seed, featuresCol="features").fit(dense)
     members = model.transform(dense).select(id_col, F.col("prediction").alias("cluster_id"))
-    found = staged(taxonomy(members, term_weights(rows.sparse(), terms, id_col), clean, id_col, "clean"), "taxonomy")
+    found = staged(taxonomy(members, term_weights(rows.sparse(), terms, id_col), clean, id_col, text_col), "taxonomy")
     found = found.orderBy(F.desc("size"), "cluster_id")
     names = {r["cluster_id"]: r["name"] for r in found.select("cluster_id", "name").collect()}  # k rows
     return IntentModel(terms, basis, model, names), found
@@ -377,9 +383,12 @@ def fit_regression(train: DataFrame, label_col: str, max_iter: int = 1000) -> tu
     return model, list(indexer.labels)
 
 
-def _halves(df: DataFrame, id_col: str, value_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+def _halves(df: DataFrame, id_col: str, value_col: str, label_col: str, texts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out rows, staged; of texts the word arrays, cut once for all that follows."""
     rows = df.select(F.col(id_col).alias("item_id"), F.col(value_col).alias("value"), F.col(label_col).alias("truth"))
     split = staged(stratified_split(rows, "item_id", "truth"), "split")
+    if texts:
+        split = staged(spread(split).select("item_id", words(F.col("value")).alias(WORDS), "truth", "is_test"), "words")
     return split.filter(~F.col("is_test")), split.filter("is_test")
 
 
@@ -391,7 +400,7 @@ def train_text_classifier(
     df: DataFrame, id_col: str, text_col: str, label_col: str, settings: TermSettings = CLASSIFIER_TERMS, max_iter: int = 1000
 ) -> tuple[IntentClassifier, DataFrame]:
     """Classifier and its predictions (item_id, truth, prediction, confidence) on the held-out part."""
-    train, test = _halves(df, id_col, text_col, label_col)
+    train, test = _halves(df, id_col, text_col, label_col, texts=True)
     terms = fit_terms(train, "item_id", "value", settings)
     model, classes = fit_regression(terms.transform_to_vectors(train, "item_id", "value", keep=["truth"]), "truth", max_iter)
     classifier = IntentClassifier(model, classes, terms)

@@ -50,10 +50,11 @@ def train(
         tables.write_parquet(df, f"{out_dir}/{name}", partition_by=None)
         return spark.read.schema(df.schema).parquet(f"{out_dir}/{name}")
 
-    model, found = intents.discover(conversations, "conversation_id", "customer_message", k, discovery, seed)
+    cleaned = intents.cleaned(conversations, "conversation_id", "customer_message")
+    model, found = intents.discover(cleaned, "conversation_id", "customer_message", k, discovery, seed)
     taxonomy = stage(found, "taxonomy")
     model.save(spark, f"{out_dir}/discovery")
-    named = model.assign(conversations, "conversation_id", "customer_message").select("conversation_id", "intent")
+    named = model.assign(cleaned, "conversation_id", "customer_message").select("conversation_id", "intent")
     labelled = stage(golden.attach_labels(conversations.drop("intent"), named), "labelled")
     tables.write_report(intents.intent_distribution(labelled), f"{out_dir}/intent_distribution")
     gold = golden_job.run(labelled, out_dir, target, seed)
