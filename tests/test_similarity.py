@@ -185,3 +185,13 @@ def test_retrieval_metrics(spark):
     assert got["recall_at_1"] == pytest.approx(0.5) and got["precision_at_1"] == pytest.approx(1 / 3)
     assert got["recall_at_3"] == pytest.approx(0.75) and got["precision_at_3"] == pytest.approx((0.5 + 0.5 + 0) / 3)
     assert got["mrr"] == pytest.approx((0.5 + 1 + 0) / 3)
+
+
+@pytest.mark.parametrize("sent", [0, similarity.SENT_BYTES])
+def test_probing_every_cell_copies_no_query_to_cells(table, data, monkeypatch, sent):
+    monkeypatch.setattr(similarity, "SENT_BYTES", sent)
+    monkeypatch.setattr(similarity.CellIndex, "_sent_to_cells", None)
+    monkeypatch.setattr(similarity.CellIndex, "_scan", None)
+    index = similarity.build_cells(table, 6)
+    got = index.search(table, 4, 6, skip_same=True).collect()
+    assert {(r["q_id"], r["d_id"], r["rank"]) for r in got} == brute(data, 4, True)

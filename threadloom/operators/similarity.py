@@ -413,11 +413,13 @@ class CellIndex:
     def search(self, queries: DataFrame, k: int, probe: int, skip_same: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """Approximate top k: exact scores inside the `probe` cells nearest to each query.
 
-        With as many cells probed as there are, the search is exact. Cells that no
-        query probes are not read. Queries of more than `broadcast_bytes` or `SENT_BYTES` go to
-        their cells by a join.
+        With as many cells probed as there are, the search is exact and cells are not kept
+        apart, so a query is not copied to each of them. Cells that no query probes are not read.
+        Queries of more than `broadcast_bytes` or `SENT_BYTES` go to their cells by a join.
         """
         dim = self.centroids.shape[1]
+        if probe >= len(self.centroids):
+            return exact_top_k(queries, self.documents, k, dim, skip_same, broadcast_bytes=broadcast_bytes)
         queries = _usable(queries.select("id", "vector"), dim)
         size = _bytes(queries, dim)
         if size <= min(broadcast_bytes, SENT_BYTES):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import EscalationLimits, RetrievalSettings
-from ..operators import decisions, retrieval, similarity
+from ..operators import decisions, features, retrieval, similarity
 from ..operators.intents import IntentClassifier
 from ..session import staged
 
@@ -37,7 +37,8 @@ def triage(
             "id", "intent", F.col("confidence").alias("intent_confidence")
         )
         messages = messages.drop("intent", "intent_confidence").join(predicted, "id", "left")
-    messages = staged(messages, "messages")  # used by search, drafts and decision: classified once
+    # used by search, drafts and decision: classified once; a micro-batch may be one file, which is one task
+    messages = staged(features.spread(messages), "messages")
     if pool is None:
         pool = similarity.top_k(messages, documents, settings.pool, dim, index, probe, skip_same)
     # at most top_k rows per message, used three times below: searched once
