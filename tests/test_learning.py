@@ -217,3 +217,44 @@ def test_training_cuts_a_text_once_for_each_of_its_three_uses(spark, talk, tmp_p
     )
     assert out.labelled.count() == 243 and out.labelled.filter("intent is null").count() == 0
     assert len(cuts) == 3
+
+
+def test_pairs_that_cannot_be_kept_are_not_counted_by_name(spark, talk, monkeypatch):
+    """The vocabulary is that of all counts, with several blocks of words to a batch."""
+    monkeypatch.setattr(features, "BLOCK_WORDS", 50)
+    rows = features.cut(talk.repartition(3), "conversation_id", "customer_message")
+    every = features.term_frequencies(rows, "customer_message")
+    for settings in (TermSettings(2, 0.9, 8), TermSettings(1, 1.0, 15), TermSettings(3, 0.5, 2000)):
+        some = features.kept_frequencies(rows, 240, settings)
+        want, got = ([tuple(r) for r in features.vocabulary(x, 240, settings).collect()] for x in (every, some))
+        assert got == want and len(got) > 5
+        assert settings.max_features > 100 or some.count() < every.count() - 50
+
+
+def test_rows_of_one_id_are_one_document(spark, monkeypatch):
+    """Their terms are counted together, wherever the rows are."""
+    texts = [(1, "ab cd ab"), (2, "cd"), (None, "ab"), (1, "cd cd xx"), (3, ""), (None, None), (2, "cd")] * 3
+    df = spark.createDataFrame(texts, "id bigint, text string").repartition(4)
+    model = features.fit_terms(df, "id", "text", TermSettings(1, 1.0, 100))
+    terms = list(model.table["term"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {r["id"]: dict(zip((terms[i] for i in r["indices"]), r["values"])) for r in model.transform(df, "id", "text").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {1, 2, 3, None} and got[3] == {} and got[2] == {"cd": 1.0} and got[None] == {"ab": 1.0}
+    idf = {t: np.log(22 / (1 + d)) + 1 for t, d in zip(terms, model.table["df"])}
+    want = {t: n * idf[t] for t, n in {"ab": 6, "cd": 9, "xx": 3, "ab cd": 3, "cd ab": 3, "cd cd": 3, "cd xx": 3}.items()}
+    length = np.sqrt(sum(x * x for x in want.values()))
+    assert got[1] == {t: pytest.approx(x / length) for t, x in want.items()}
+
+
+@pytest.mark.parametrize("name", ["m7_assign_intents"])
+def test_discovery_and_its_labels_cut_texts_once(spark, data_dir, monkeypatch, name):
+    from threadloom import catalog
+
+    cuts, cut = [], features.words
+    for module in (features, intents):
+        monkeypatch.setattr(module, "words", lambda *a: cuts.append(1) or cut(*a))
+    catalog.QUERIES[name](spark, data_dir)
+    assert len(cuts) == 1

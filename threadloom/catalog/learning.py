@@ -128,6 +128,12 @@ def _discovered(spark, sf_dir):
     return intents.discover(_docs(spark, sf_dir), "id", "text", k=10, settings=DISCOVERY_TERMS)
 
 
+def _discovered_once(spark, sf_dir):
+    """The model and the cleaned rows it was made of, for a job that also labels them."""
+    rows = intents.cleaned(_docs(spark, sf_dir), "id", "text")
+    return intents.discover(rows, "id", "text", k=10, settings=DISCOVERY_TERMS)[0], rows
+
+
 @query("m5_clusters")
 def m5(spark, sf_dir):
     model, _ = _discovered(spark, sf_dir)
@@ -149,8 +155,8 @@ def m6(spark, sf_dir):
 
 @query("m7_assign_intents")
 def m7(spark, sf_dir):
-    model, _ = _discovered(spark, sf_dir)
-    return model.assign(_docs(spark, sf_dir), "id", "text")
+    model, rows = _discovered_once(spark, sf_dir)
+    return model.assign(rows, "id", "text")
 
 
 @query("s9_saved_discovery", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS changed FROM documents")

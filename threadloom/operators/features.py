@@ -3,16 +3,22 @@
 Texts stay where they are: the vocabulary comes from counts combined by term,
 and a document's terms leave it as vocabulary numbers. The vocabulary is the
 model: at most `max_features` rows, so it may be held by the driver and
-broadcast.
+broadcast. Texts are cut into words by Spark's expressions; words and pairs are
+counted as numbers in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..config import TermSettings
 from ..functions import rules
@@ -85,6 +91,94 @@ def term_frequencies(df: DataFrame, text_col: str, stop_words: list[str] | None
     )
 
 
+#: Words of a block that is counted at once.
+BLOCK_WORDS = 1 << 20
+#: Counters that pairs of words share, and how many of them are one block of a task's sum.
+BUCKETS, BUCKET_BLOCK = 1 << 20, 1 << 16
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """Parts of a batch of word arrays: first and last row, distinct words, and of each word its number among these and its row in the part."""
+    column = batch.column(WORDS)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    lo = 0
+    while lo < len(lengths):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - lengths[lo] + BLOCK_WORDS, "right")))
+        found = column.slice(lo, hi - lo).flatten().dictionary_encode()
+        yield lo, hi, found.dictionary, found.indices.to_numpy().astype(np.int64), np.repeat(np.arange(hi - lo), lengths[lo:hi])
+        lo = hi
+
+
+def _neighbours(row: np.ndarray) -> np.ndarray:
+    """Places of words that are followed by one of the same row."""
+    return np.flatnonzero(row[1:] == row[:-1])
+
+
+def _buckets(names: pa.Array, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The counter of each pair of neighbours that begins `at`."""
+    hashes = np.fromiter((crc32(w) for w in names.cast(pa.binary()).to_pylist()), np.uint64, len(names))
+    mixed = (hashes[code[at]] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[code[at + 1]] * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed ^= mixed >> np.uint64(29)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)).astype(np.int64) % BUCKETS
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df, cf) of words by block of rows, and the task's counters of pairs as (block, part)."""
+    names = ["term", "df", "cf", "block", "part"]
+    counters = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for _, _, found, code, row in _blocks(batch):
+            n = len(found)
+            cf = np.bincount(code, minlength=n)
+            df = np.bincount(np.unique(row * n + code) % max(n, 1), minlength=n)
+            yield pa.RecordBatch.from_arrays([found, pa.array(df), pa.array(cf), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            counters += np.bincount(_buckets(found, code, _neighbours(row)), minlength=BUCKETS)
+    at = [i for i in range(0, BUCKETS, BUCKET_BLOCK) if counters[i : i + BUCKET_BLOCK].any()]
+    none = [pa.nulls(len(at), kind) for kind in (pa.string(), pa.int64(), pa.int64())]
+    yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array([counters[i : i + BUCKET_BLOCK].tobytes() for i in at], pa.binary())], names=names)
+
+
+def _add_counters(parts: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, np.int64) for x in parts["part"])
+    return pd.DataFrame({"block": [parts["block"].iloc[0]], "part": [total.tobytes()]})
+
+
+def kept_frequencies(rows: DataFrame, n_docs: int, settings: TermSettings) -> DataFrame:
+    """(term, df, cf) as by `term_frequencies`, without terms that cannot be among the `max_features`.
+
+    `rows` are staged word arrays, which are read twice. `max_features` words that may be kept set the
+    least `cf` that a term needs. Pairs of words share counters at first, which are never less than a pair's
+    own count: only pairs whose counter reaches that `cf` are counted by name.
+    """
+    spark = rows.sparkSession
+    counted = staged(rows.select(WORDS).mapInArrow(_count_words, "term string, df bigint, cf bigint, block int, part binary"), "counted")
+    single = staged(counted.filter(F.col("block").isNull()).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "single-words")
+    n, least = vocabulary(single, n_docs, settings).agg(F.count("*"), F.min("cf")).first()
+    least = max(1, settings.min_df, least if n >= settings.max_features and n else 0)
+    reached = np.zeros(BUCKETS, bool)
+    for r in counted.filter(F.col("block").isNotNull()).groupBy("block").applyInPandas(_add_counters, "block int, part binary").toLocalIterator():  # BUCKETS numbers in all
+        reached[r["block"] : r["block"] + BUCKET_BLOCK] = np.frombuffer(r["part"], np.int64) >= least
+    shared = spark.sparkContext.broadcast(reached)
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, found, code, row in _blocks(batch):
+                at = _neighbours(row)
+                at = at[shared.value[_buckets(found, code, at)]]
+                pair = code[at] * len(found) + code[at + 1]
+                order = np.argsort(pair, kind="stable")  # rows stay in order
+                pair, of = pair[order], row[at][order]
+                new = np.r_[True, pair[1:] != pair[:-1]][: len(pair)]
+                first = np.flatnonzero(new)
+                df = np.add.reduceat((new | np.r_[True, of[1:] != of[:-1]][: len(of)]).astype(np.int64), first) if len(first) else first
+                one, two = (found.take(pa.array(x)) for x in np.divmod(pair[first], max(len(found), 1)))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(one, two, " "), pa.array(df), pa.array(np.diff(np.append(first, len(pair))))], names=["term", "df", "cf"])
+
+    pairs = rows.select(WORDS).mapInArrow(count_pairs, "term string, df bigint, cf bigint")
+    return single.unionByName(pairs.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
+
+
 def vocabulary(frequencies: DataFrame, n_docs: int, settings: TermSettings) -> DataFrame:
     """(term, df, cf) of the terms kept: by document share, then by corpus frequency."""
     return (
@@ -138,25 +232,76 @@ class TermModel:
         """(id, indices, values): unit-length sparse rows, empty for documents without known terms.
 
         `df` has texts, or is what `cut` made of them. Terms become vocabulary numbers where the text is; what is shuffled by id
-        are numbers. A row without a number keeps every document.
+        are numbers. Rows of one id are one document.
         """
-        vocab = F.broadcast(self.as_frame(df.sparkSession).select("term", "index", "idf"))  # at most max_features rows
-        known = _cut_rows(df, text_col, self.stop_words, id_col).select(id_col, F.explode(terms(F.col("__words"))).alias("term")).join(vocab, "term").select(id_col, "index", "idf")
-        every = df.select(F.col(id_col), F.lit(None).cast("int").alias("index"), F.lit(None).cast("double").alias("idf"))
-        counts = known.union(every).repartition(F.col(id_col)).groupBy(id_col, "index").agg(F.count("*").alias("tf"), F.max("idf").alias("idf"))
-        tf = F.col("tf").cast("double")
-        tf = 1 + F.log(tf) if self.settings.sublinear else tf
-        weighted = counts.select(id_col, "index", (tf * F.col("idf")).alias("weight"))
-        entry = F.when(F.col("index").isNotNull(), F.struct("index", "weight"))
-        # the squares are summed here: a length computed from the array would be evaluated once per element
-        rows = weighted.groupBy(id_col).agg(
-            F.sort_array(F.collect_list(entry)).alias("e"),
-            F.sum(F.when(F.col("index").isNotNull(), F.col("weight") * F.col("weight"))).alias("squares"),
-        )
-        return rows.select(
-            id_col, F.col("e.index").alias("indices"),
-            F.transform("e", lambda x: x["weight"] / F.sqrt("squares")).alias("values"),
-        )
+        size, key = self.size, df.schema[id_col].dataType.simpleString()
+        terms_of = self.table["term"].tolist()
+        single = {t: i for i, t in enumerate(terms_of) if " " not in t}
+        pairs = [(*t.split(" "), i) for i, t in enumerate(terms_of) if " " in t]
+        part = {w: i for i, w in enumerate(dict.fromkeys(w for p in pairs for w in p[:2]))}
+        pair_keys = np.array([part[a] * len(part) + part[b] for a, b, _ in pairs], np.int64)
+        order = np.argsort(pair_keys)
+        idf = np.log((1 + self.n_docs) / (1 + self.table["df"].to_numpy(np.float64))) + 1
+        sublinear = self.settings.sublinear
+        # at most max_features rows
+        shared = df.sparkSession.sparkContext.broadcast((single, part, pair_keys[order], np.array([i for _, _, i in pairs], np.int64)[order], idf))
+        lists = lambda x, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            single, part, pair_keys, pair_index, _ = shared.value
+            for batch in batches:
+                for lo, hi, found, code, row in _blocks(batch):
+                    names = found.to_pylist()
+                    index = np.fromiter((single.get(w, -1) for w in names), np.int64, len(names))[code]
+                    known = index >= 0
+                    cells = [row[known] * size + index[known]]
+                    if len(pair_keys):
+                        word = np.fromiter((part.get(w, -1) for w in names), np.int64, len(names))[code]
+                        at = _neighbours(row)
+                        at = at[(word[at] >= 0) & (word[at + 1] >= 0)]
+                        wanted = word[at] * len(part) + word[at + 1]
+                        place = np.minimum(np.searchsorted(pair_keys, wanted), len(pair_keys) - 1)
+                        hit = pair_keys[place] == wanted
+                        cells.append(row[at[hit]] * size + pair_index[place[hit]])
+                    cell, tf = np.unique(np.concatenate(cells), return_counts=True)
+                    ends = np.searchsorted(cell, np.arange(hi - lo + 1) * size)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(lo, hi - lo), lists(cell % max(size, 1), ends, pa.int32()), lists(tf, ends, pa.int32())], names=[id_col, "indices", "tf"])
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            idf = shared.value[4]
+
+            def weighed(batch: pa.RecordBatch) -> pa.RecordBatch:
+                first = np.flatnonzero(batch.column("n").to_numpy() == 1)
+                of = np.repeat(np.arange(len(first)), np.diff(np.append(first, batch.num_rows)))
+                lengths = pc.list_value_length(batch.column("indices")).to_numpy(zero_copy_only=False)
+                cell = np.repeat(of, lengths) * size + batch.column("indices").flatten().to_numpy()
+                tf = batch.column("tf").flatten().to_numpy().astype(np.float64)
+                if len(first) < batch.num_rows:
+                    cell, to = np.unique(cell, return_inverse=True)
+                    tf = np.bincount(to, tf, len(cell)).astype(np.float64)
+                index, of = cell % max(size, 1), cell // max(size, 1)
+                weight = (1 + np.log(tf) if sublinear else tf) * idf[index]
+                squares = np.bincount(of, weight * weight, len(first)).astype(np.float64)
+                ends = np.searchsorted(of, np.arange(len(first) + 1))
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(first)), lists(index, ends, pa.int32()), lists(weight / np.sqrt(squares[of]), ends, pa.float64())], names=[id_col, "indices", "values"])
+
+            held = None  # the last id, whose rows may go on in the next batch
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                batch = batch if held is None else pa.concat_batches([held, batch])
+                last = int(np.flatnonzero(batch.column("n").to_numpy() == 1)[-1])
+                if last:
+                    yield weighed(batch.slice(0, last))
+                held = batch.slice(last)
+            if held is not None:
+                yield weighed(held)
+
+        counts = _cut_rows(df, text_col, self.stop_words, id_col).mapInArrow(look_up, f"`{id_col}` {key}, indices array<int>, tf array<int>")
+        runs = counts.withColumn("n", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
+        return runs.mapInArrow(weigh, f"`{id_col}` {key}, indices array<int>, values array<double>")
 
     def stage_rows(self, df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> "StagedRows":
         """Rows of `transform` written to the scratch folder, with `keep` columns of `df`."""
@@ -195,5 +340,6 @@ def fit_terms(
     df: DataFrame, id_col: str, text_col: str, settings: TermSettings, stop_words: list[str] | None = None
 ) -> TermModel:
     n_docs = df.count()
-    table = vocabulary(term_frequencies(df, text_col, stop_words), n_docs, settings).toPandas()  # <= max_features rows
+    rows = df if WORDS in df.columns else staged(_cut_rows(df, text_col, stop_words), "words")
+    table = vocabulary(kept_frequencies(rows, n_docs, settings), n_docs, settings).toPandas()  # <= max_features rows
     return TermModel(table.sort_values("term").reset_index(drop=True), n_docs, settings, stop_words)
