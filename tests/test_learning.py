@@ -249,7 +249,7 @@ def test_rows_of_one_id_are_one_document(spark, monkeypatch):
     assert got[1] == {t: pytest.approx(x / length) for t, x in want.items()}
 
 
-@pytest.mark.parametrize("name", ["m7_assign_intents"])
+@pytest.mark.parametrize("name", ["m7_assign_intents", "s9_saved_discovery"])
 def test_discovery_and_its_labels_cut_texts_once(spark, data_dir, monkeypatch, name):
     from threadloom import catalog
 

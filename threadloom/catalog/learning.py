@@ -162,12 +162,11 @@ def m7(spark, sf_dir):
 @query("s9_saved_discovery", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS changed FROM documents")
 def s9_discovery(spark, sf_dir):
     """A discovery model read back labels every message as before."""
-    model, _ = _discovered(spark, sf_dir)
+    model, rows = _discovered_once(spark, sf_dir)
     path = scratch_path(spark, "intents")
     model.save(spark, path)
-    docs = _docs(spark, sf_dir)
-    again = intents.IntentModel.load(spark, path).assign(docs, "id", "text").select("id", F.col("intent").alias("again"))
-    both = model.assign(docs, "id", "text").join(again, "id")
+    again = intents.IntentModel.load(spark, path).assign(rows, "id", "text").select("id", F.col("intent").alias("again"))
+    both = model.assign(rows, "id", "text").join(again, "id")
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("intent") != F.col("again")).alias("changed"))
 
 
