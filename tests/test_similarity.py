@@ -195,3 +195,34 @@ def test_probing_every_cell_copies_no_query_to_cells(table, data, monkeypatch, s
     index = similarity.build_cells(table, 6)
     got = index.search(table, 4, 6, skip_same=True).collect()
     assert {(r["q_id"], r["d_id"], r["rank"]) for r in got} == brute(data, 4, True)
+
+
+@pytest.mark.parametrize("most", [0, 3, 256])
+def test_frequent_terms_are_held_densely(monkeypatch, most):
+    """Few lists are left to look up, and near ties are told apart as by whole products."""
+    monkeypatch.setattr(similarity, "DENSE_TERMS", most)
+    rng, dim, n = np.random.default_rng(3), 12, 300
+    x = rng.random((n, dim)) * (rng.random((n, dim)) < np.linspace(0.9, 0.02, dim))
+    x[7], x[100:140] = 0, x[50] * (1 + 1e-8 * rng.random((40, 1)))
+    row, idx = np.nonzero(x)
+    lengths, ends = np.bincount(row, minlength=n), np.r_[0, np.cumsum(np.bincount(row, minlength=n))]
+    held = similarity._Posted.of(np.arange(n) * 2, lengths, idx, x[row, idx], dim)
+    assert len(held.rows) == sum(sorted((x > 0).sum(axis=0))[: dim - min(most, dim)])
+    dense = held.dense_sums(lengths, idx, x[row, idx])
+    scores = np.round(x @ x.T, 9)
+    np.fill_diagonal(scores, -1)
+    for q in range(n):
+        at = slice(ends[q], ends[q + 1])
+        d, s = similarity._posted_top_k(2 * q, idx[at], x[q, idx[at]], dense[q], held, 3, True, 1e-9)
+        want = [i for i in np.argsort(-scores[q], kind="stable")[:3] if scores[q, i] >= 1e-9]
+        assert s == pytest.approx(scores[q, want], abs=1.1e-9) and len(d) == len(want)
+        assert [scores[q, i // 2] for i in d] == pytest.approx(scores[q, want], abs=1.1e-9)
+
+
+def test_words_of_a_document_are_cut_before_it_meets_queries(spark):
+    """A document is in many pools: no expression above the joins cuts its text."""
+    d = spark.createDataFrame([(i, "login fails", "r") for i in range(3)], "id bigint, text string, reply string")
+    hits = spark.createDataFrame([(0, 1, 0.5, 1), (2, 1, 0.5, 1)], "q_id bigint, d_id bigint, score double, rank int")
+    plan = retrieval.rerank(hits, d.withColumn("intent", F.lit("x")), d)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.rindex("Join")]
+    assert "regexp_extract_all" not in above.split("Join")[0] and "regexp_extract_all" in plan

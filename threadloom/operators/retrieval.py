@@ -38,8 +38,9 @@ def rerank(
     """
     pool = hits.filter(F.col("score") >= settings.min_similarity)
     q = queries.select(F.col("id").alias("q_id"), tx.word_set(F.col("text")).alias("q_words"), F.col("intent").alias("q_intent"))
-    d = documents.select(F.col("id").alias("d_id"), F.col("text").alias("d_text"), F.col("reply").alias("d_reply"))
-    share = tx.overlap_share(F.col("q_words"), tx.word_set(F.col("d_text")))
+    # words are cut before the join: a document is in many pools
+    d = documents.select(F.col("id").alias("d_id"), tx.word_set(F.col("text")).alias("d_words"), F.col("text").alias("d_text"), F.col("reply").alias("d_reply"))
+    share = tx.overlap_share(F.col("q_words"), F.col("d_words"))
     boost = F.lit(settings.overlap_boost) * share + F.when(
         judgement.intent_aligned(F.col("q_intent"), F.col("d_text"), F.col("d_reply")), settings.intent_boost
     ).otherwise(0.0)

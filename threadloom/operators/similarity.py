@@ -269,27 +269,89 @@ def _pass_by(asked: DataFrame, held: DataFrame, k: int, dim: int, skip_same: boo
     return both.mapInArrow(search, HIT)
 
 
-def _posted(ids, lengths, idx, val, dim: int):
-    """Posting lists of held rows: ids in order, and each term's rows and weights from `starts[term]` to `starts[term + 1]`."""
-    order = np.argsort(idx, kind="stable")
-    starts = np.searchsorted(idx[order], np.arange(dim + 1))
-    return ids, starts, np.repeat(np.arange(len(ids)), lengths)[order], val[order]
+#: Terms whose posting lists are the longest are held as dense rows of single precision, at most so many, where a list has one row in `DENSE_SHARE`.
+DENSE_TERMS, DENSE_SHARE = 256, 100
+#: Approximate scores that are made at once.
+DENSE_SCORES = 1 << 23
+#: What a product of so many single-precision terms may be off by, in lengths of both rows.
+DENSE_ERROR = 4e-5
 
 
-def _posted_top_k(q_id, idx, val, ids, starts, rows, weights, k: int, skip_same: bool, floor: float):
-    """Best k of the held rows for one sparse query: (d_id, score), best first."""
-    lists = [slice(starts[t], starts[t + 1]) for t in idx]
-    if not lists:
+@dataclass
+class _Posted:
+    """Held rows in order of id: by row, and by term as posting lists (rows and weights from `starts[term]` to `starts[term + 1]`)."""
+
+    ids: np.ndarray
+    row_starts: np.ndarray
+    idx: np.ndarray
+    val: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+    column: np.ndarray  # [term] its place in `dense`, or -1
+    dense: np.ndarray
+    longest: float
+
+    @classmethod
+    def of(cls, ids, lengths, idx, val, dim: int) -> "_Posted":
+        row = np.repeat(np.arange(len(ids)), lengths)
+        n = np.bincount(idx, minlength=dim)
+        often = np.argsort(-n, kind="stable")[:DENSE_TERMS]
+        often = often[n[often] * DENSE_SHARE > len(ids)]
+        column = np.full(dim, -1)
+        column[often] = np.arange(len(often))
+        dense, is_dense = np.zeros((len(often), len(ids)), np.float32), column[idx] >= 0
+        dense[column[idx[is_dense]], row[is_dense]] = val[is_dense]
+        left = np.flatnonzero(~is_dense)
+        left = left[np.argsort(idx[left], kind="stable")]
+        starts = np.searchsorted(idx[left], np.arange(dim + 1))
+        longest = np.sqrt(np.bincount(row, val * val, len(ids)).max(initial=0))
+        return cls(ids, np.r_[0, np.cumsum(lengths)], idx, val, starts, row[left], val[left], column, dense, longest)
+
+    def dense_sums(self, lengths, idx, val) -> np.ndarray:
+        """[query, row] what the dense terms add, in single precision."""
+        queries = np.zeros((len(lengths), len(self.dense)), np.float32)
+        at = self.column[idx]
+        queries[np.repeat(np.arange(len(lengths)), lengths)[at >= 0], at[at >= 0]] = val[at >= 0]
+        return queries @ self.dense
+
+    def sums(self, idx, val) -> np.ndarray:
+        """Of each row what the other terms add, by their posting lists."""
+        other = self.column[idx] < 0
+        first, last = self.starts[idx[other]], self.starts[idx[other] + 1]
+        lists = list(map(slice, first.tolist(), last.tolist()))
+        if not lists:
+            return np.zeros(len(self.ids))
+        given = np.concatenate([self.weights[x] for x in lists]) * np.repeat(val[other], last - first)
+        return np.bincount(np.concatenate([self.rows[x] for x in lists]), given, len(self.ids)).astype(np.float64)  # whole numbers if there is nothing to add
+
+    def products(self, at, idx, val) -> np.ndarray:
+        """Of some rows their product with a whole query, rounded."""
+        query = np.zeros(len(self.column))
+        query[idx] = val
+        n = self.row_starts[at + 1] - self.row_starts[at]
+        cells = np.repeat(self.row_starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.round(np.bincount(np.repeat(np.arange(len(at)), n), query[self.idx[cells]] * self.val[cells], len(at)).astype(np.float64), DECIMALS)
+
+
+def _posted_top_k(q_id, idx, val, dense, held: _Posted, k: int, skip_same: bool, floor: float):
+    """Best k of the held rows for one sparse query: (d_id, score), best first.
+
+    Rows whose sum is so near to the k-th that single precision may hide their place are scored anew.
+    """
+    ids = held.ids
+    if not len(idx):
         return ids[:0], val[:0]
-    given = np.concatenate([weights[x] * w for x, w in zip(lists, val)])
-    sums = np.bincount(np.concatenate([rows[x] for x in lists]), given, len(ids)).astype(np.float64)  # whole numbers if there is nothing to add
-    scores = np.round(sums, DECIMALS)
+    sums = held.sums(idx, val) + dense
     if skip_same:
-        scores[np.searchsorted(ids, q_id, "left") : np.searchsorted(ids, q_id, "right")] = -np.inf
-    low = floor if len(scores) <= k else max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
-    at = np.flatnonzero(scores >= low)
-    at = at[np.argsort(-scores[at], kind="stable")[:k]]  # of equal scores the smaller id first
-    return ids[at], scores[at]
+        sums[np.searchsorted(ids, q_id, "left") : np.searchsorted(ids, q_id, "right")] = -np.inf
+    slack = DENSE_ERROR * np.sqrt(val @ val) * held.longest + 10.0**-DECIMALS
+    kth = -np.inf if len(ids) <= k else np.partition(sums, len(sums) - k)[len(sums) - k]
+    at = np.flatnonzero((sums >= max(floor - slack, kth - 2 * slack)) & (sums != 0) & (sums > -np.inf))
+    scores = held.products(at, idx, val)
+    best = np.flatnonzero(scores >= floor)
+    best = best[np.argsort(-scores[best], kind="stable")[:k]]  # of equal scores the smaller id first
+    return ids[at[best]], scores[best]
 
 
 def _pass_by_sparse(asked: DataFrame, held: DataFrame, k: int, dim: int, skip_same: bool, floor: float) -> DataFrame:
@@ -318,10 +380,13 @@ def _pass_by_sparse(asked: DataFrame, held: DataFrame, k: int, dim: int, skip_sa
                 if found is None:
                     if not parts:
                         continue
-                    found, parts = _posted(*[np.concatenate(p) for p in zip(*parts)], dim), []
-                for i in range(lo, hi):
-                    d, score = _posted_top_k(ids[i], idx[at[i] : at[i + 1]], val[at[i] : at[i + 1]], *found, k, skip_same, floor)
-                    best.append((np.full(len(d), ids[i]), d, score))
+                    found, parts = _Posted.of(*[np.concatenate(p) for p in zip(*parts)], dim), []
+                for block in _slices(hi - lo, max(1, min(BLOCK, DENSE_SCORES // max(1, len(found.ids))))):
+                    first, last = lo + block.start, lo + block.stop
+                    dense = found.dense_sums(lengths[first:last], idx[at[first] : at[last]], val[at[first] : at[last]])
+                    for i in range(first, last):
+                        d, score = _posted_top_k(ids[i], idx[at[i] : at[i + 1]], val[at[i] : at[i + 1]], dense[i - first], found, k, skip_same, floor)
+                        best.append((np.full(len(d), ids[i]), d, score))
             if best:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*best)], names=["q_id", "d_id", "score"])
 
@@ -329,7 +394,7 @@ def _pass_by_sparse(asked: DataFrame, held: DataFrame, k: int, dim: int, skip_sa
 
 
 def sparse_top_k_held(queries: DataFrame, corpus: DataFrame, k: int, dim: int, floor: float = 10.0**-DECIMALS, skip_same: bool = False, held_bytes: int = SPARSE_HELD_BYTES) -> DataFrame:
-    """Exact top k of sparse rows over `dim` terms: (q_id, d_id, score, rank), of documents with a score of `floor` or more, which is above zero.
+    """Exact top k of sparse rows over `dim` terms, whose values are not negative: (q_id, d_id, score, rank), of documents with a score of `floor` or more, which is above zero.
 
     No pair leaves a task: what is shuffled are the documents, the queries once for each part of
     the documents, and k results for each of those.
